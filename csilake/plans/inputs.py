@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from csilake.functions.payload import payload_text
 from csilake.functions.text import mac_text
-from csilake.operators.wire import render_line
+from csilake.operators.wire import accepted, classify_lines, render_line
 from csilake.schema import CLOCK_MODULUS
 
 N_VALUES = 128
@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all slots where a table has fewer files than that; a large table already does."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if len(df.inputFiles()) < slots else df
+
+
 def _payload_value(embedding: Column, i: Column) -> Column:
     even = (i / 2).cast("int")
     odd = (F.floor(i / 2).cast("int") + 32) % 64
@@ -42,7 +48,7 @@ def device_mac(user_id: Column) -> Column:
 
 def sender_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per event with the columns of a received frame, payload still as text."""
-    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    events = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"))
     texts = payloads(spark, sf_dir).select("vec_id", payload_text(F.col("payload")).alias("data_text"))
     n = table(spark, sf_dir, "embeddings").select(F.count("*")).scalar()
     return (
@@ -87,3 +93,135 @@ def csi_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         render_line(fields, F.col("data_text"))
     )
     return frames.select("event_id", "device", "ts", "session_date", "scenario", line.alias("value"))
+
+
+def stored_rows(spark: SparkSession, sf_dir: str, profile: str = "strict") -> DataFrame:
+    """Accepted packets of the landed lines."""
+    return accepted(classify_lines(csi_lines(spark, sf_dir), profile))
+
+
+def byte_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as received: some with a byte that is no UTF-8, some with a real U+FFFD, all with blanks around."""
+    event_id = F.col("event_id")
+    head = F.concat(F.lit("CSI_DATA,"), event_id.cast("string"), F.lit(",é"))
+    broken = F.when(event_id % 71 == 3, F.unhex(F.lit("FF"))).when(event_id % 73 == 5, F.unhex(F.lit("E282")))
+    inserted = F.coalesce(broken, F.when(event_id % 79 == 7, F.encode(F.lit("�"), "UTF-8")), F.unhex(F.lit("")))
+    tail = F.concat(F.lit(","), F.col("event_type"), F.lit(" \r\n"))
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        F.concat(F.encode(F.concat(F.lit(" \t"), head), "UTF-8"), inserted, F.encode(tail, "UTF-8")).alias("value"),
+    )
+
+
+def start_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(session_id, device, ts, msg): a start command per signup; some carry no usable duration."""
+    event_id = F.col("event_id")
+    argument = (
+        F.when(event_id % 10 == 0, "abc")
+        .when(event_id % 10 == 1, "0")
+        .otherwise((3600 + event_id % 7200).cast("string"))
+    )
+    return (
+        table(spark, sf_dir, "events")
+        .where("event_type = 'signup'")
+        .select(
+            event_id.alias("session_id"), F.col("user_id").alias("device"), "ts",
+            F.concat(F.lit("start,"), argument).alias("msg"),
+        )
+    )
+
+
+def repeat_messages(log: DataFrame, copies: int, seconds: int) -> DataFrame:
+    """Each message several times, some seconds apart, as senders repeat it."""
+    shift = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("_copy") * seconds)
+    return (
+        log.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        .withColumn("ts", F.col("ts") + shift)
+        .drop("_copy")
+    )
+
+
+def discovery_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(device, ts, msg): ten announcements per view event; every seventh event says something else."""
+    event_id, user_id = F.col("event_id"), F.col("user_id")
+    address = F.concat_ws(
+        ".", F.lit("10"), F.floor(user_id / 256).cast("string"), (user_id % 256).cast("string"), (event_id % 250).cast("string")
+    )
+    tag = F.when(event_id % 7 == 0, "HELLO,").otherwise("CSI_IP,")
+    boots = (
+        table(spark, sf_dir, "events")
+        .where("event_type = 'view'")
+        .select(user_id.alias("device"), "ts", F.concat(tag, address).alias("msg"))
+    )
+    return repeat_messages(boots, 10, 2)
+
+
+def link_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(device, arrival, failed): errors are disconnects, signups are connects."""
+    return (
+        table(spark, sf_dir, "events")
+        .where("event_type in ('error', 'signup')")
+        .select(
+            F.col("user_id").alias("device"), F.col("event_id").alias("arrival"), (F.col("event_type") == "error").alias("failed")
+        )
+    )
+
+
+def packet_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(arrival, device, ts, session_date) of every landed packet."""
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("arrival"), F.col("user_id").alias("device"), "ts", F.to_date("ts").alias("session_date")
+    )
+
+
+def session_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per (device, session_date): stamp of the save, scenario as typed in, which may be empty."""
+    events = table(spark, sf_dir, "events")
+    return (
+        events.groupBy(F.col("user_id").alias("device"), F.to_date("ts").alias("session_date"))
+        .agg(F.max("ts").alias("captured_at"))
+        .select(
+            "device", "session_date", "captured_at",
+            F.concat_ws("-", F.col("device").cast("string"), F.date_format("session_date", "yyyyMMdd")).alias("session_id"),
+            F.expr("CASE WHEN device % 7 = 0 THEN '' ELSE concat('walk-', device % 5) END").alias("scenario"),
+        )
+    )
+
+
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(
+        (F.col("c_custkey") + 1).alias("id"),
+        F.col("c_name").alias("nome"),
+        F.lower("c_mktsegment").alias("apelido"),
+        F.when(F.col("c_acctbal") < 0, 0).otherwise(1).alias("status"),
+    )
+
+
+def user_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, op, nome, apelido, status, at, nr): one change per order, ordered by at and nr."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    key = F.col("o_orderkey")
+    op = F.when(key % 50 == 0, "I").when((F.col("o_orderstatus") == "F") & (key % 3 == 0), "D").otherwise("U")
+    named = users(spark, sf_dir).select("id", "nome", "apelido")
+    changes = orders.select(
+        F.when(key % 50 == 0, 1_000_000 + key).otherwise(F.col("o_custkey") + 1).alias("id"),
+        op.alias("op"),
+        F.when(F.col("o_orderstatus") == "P", 0).otherwise(2).alias("status"),
+        F.col("o_orderdate").alias("at"),
+        key.alias("nr"),
+    )
+    # Updates repeat the stored names; inserts bring their own.
+    return changes.join(named, "id", "left").select(
+        "id", "op",
+        F.when(F.col("op") == "I", "new").otherwise(F.col("nome")).alias("nome"),
+        F.when(F.col("op") == "I", "new").otherwise(F.col("apelido")).alias("apelido"),
+        "status", "at", "nr",
+    )
+
+
+def rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"),
+        (1 + F.col("p_size") % 4).cast("int").alias("width"),
+        (1 + F.col("p_partkey") % 3).cast("int").alias("length"),
+    )
