@@ -5,8 +5,8 @@
     rows.write.format("collector_sqlite").option("layout", "mobile").mode("append").save("/shared/out")
 
 Options: ``path`` (a file or folder every executor can reach), ``columns`` (comma list of canonical
-columns to read), ``bytes_per_split``, ``layout``, ``rows_per_file``. Simple comparisons are pushed
-into the files when ``spark.sql.python.filterPushdown.enabled`` is on.
+columns to read), ``bytes_per_split``, ``pushdown``, ``layout``, ``rows_per_file``. With ``pushdown``
+simple comparisons run inside the files; it needs ``spark.sql.python.filterPushdown.enabled``.
 """
 
 from __future__ import annotations
@@ -81,7 +81,8 @@ class CollectorSqlite(DataSource):
         return ", ".join(f"`{name.strip()}` {ddl[name.strip()]}" for name in wanted.split(","))
 
     def reader(self, schema: StructType) -> "SqliteReader":
-        return SqliteReader(schema, self.options)
+        pushdown = self.options.get("pushdown", "false").lower() == "true"
+        return (PushdownReader if pushdown else SqliteReader)(schema, self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> "SqliteWriter":
         return SqliteWriter(schema, self.options, overwrite)
@@ -94,16 +95,6 @@ class SqliteReader(DataSourceReader):
         self.bytes_per_split = int(options.get("bytes_per_split", 128 << 20))
         self.where: list[tuple[str, str, list]] = []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for item in filters:
-            column = item.attribute[0] if len(item.attribute) == 1 else None
-            if column in _PUSHABLE and type(item) in _COMPARE and item.value is not None:
-                self.where.append((column, f"{_COMPARE[type(item)]} ?", [item.value]))
-            elif column in _PUSHABLE and isinstance(item, In) and len(item.value) <= 500 and None not in item.value:
-                self.where.append((column, f"IN ({','.join('?' * len(item.value))})", list(item.value)))
-            else:
-                yield item
-
     def partitions(self) -> list[FileSlice]:
         """Files by size, from the folder listing alone. No file is opened on the driver."""
         slices = []
@@ -137,6 +128,18 @@ class SqliteReader(DataSourceReader):
                 yield _to_batch(rows, names, kinds, arrow, part.path)
 
 
+class PushdownReader(SqliteReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for item in filters:
+            column = item.attribute[0] if len(item.attribute) == 1 else None
+            if column in _PUSHABLE and type(item) in _COMPARE and item.value is not None:
+                self.where.append((column, f"{_COMPARE[type(item)]} ?", [item.value]))
+            elif column in _PUSHABLE and isinstance(item, In) and len(item.value) <= 500 and None not in item.value:
+                self.where.append((column, f"IN ({','.join('?' * len(item.value))})", list(item.value)))
+            else:
+                yield item
+
+
 def _stored_name(name: str, layout: str) -> str:
     return STORED_NAMES[layout].get(name, name)
 

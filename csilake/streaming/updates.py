@@ -1,0 +1,26 @@
+"""Tables of keyed results that a stream keeps correcting.
+
+An update-mode stream sends a key again whenever its result changed. Each batch is stored under its own
+folder, which a repeated batch overwrites; readers take the row of the latest batch per key.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+
+def start_updates(results: DataFrame, table: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+
+    writer = results.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
+
+
+def latest(spark: SparkSession, table: str, keys: list[str]) -> DataFrame:
+    rows = spark.read.parquet(table)
+    values = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    last = rows.groupBy(*keys).agg(F.max(F.struct("batch_id", *values)).alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in values])
