@@ -110,10 +110,12 @@ def bound_packets(packets: DataFrame, sessions: DataFrame, bucket_seconds: int =
 
 def tag_sessions(rows: DataFrame, sessions: DataFrame, on: list[str], spread_by: list[str]) -> DataFrame:
     """Adds the session's ``session_id``, ``captured_at`` and ``scenario`` to each row."""
-    tags = sessions.select(
-        *on, "session_id", "captured_at", scenario_or_default(F.col("scenario")).alias("scenario")
-    )
-    return lookup(rows, tags, on, spread_by)
+    return lookup(rows, session_tags(sessions, on), on, spread_by)
+
+
+def session_tags(sessions: DataFrame, on: list[str]) -> DataFrame:
+    """What a session adds to its rows; an empty scenario gets the default."""
+    return sessions.select(*on, "session_id", "captured_at", scenario_or_default(F.col("scenario")).alias("scenario"))
 
 
 def assign_seq(rows: DataFrame, session: list[str], arrival: str, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
@@ -122,12 +124,21 @@ def assign_seq(rows: DataFrame, session: list[str], arrival: str, rows_per_block
 
 
 def assign_row_id(
-    rows: DataFrame, date: str, session: str, arrival: str, first_id: int = 1, rows_per_block: int = ROWS_PER_BLOCK
+    rows: DataFrame,
+    date: str,
+    session: str,
+    arrival: str,
+    first_id: int = 1,
+    rows_per_block: int = ROWS_PER_BLOCK,
+    tags: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``id``: 1, 2, ... over sessions in (date, session) order, in arrival order inside each.
 
     ``first_id`` continues the numbers of earlier appends. The offsets are summed in steps: rows of a
     block, blocks of a date, dates. Only the last step has no key, and it sees one row per date.
+
+    ``tags``, one row per (date, session), are added too: they join the offsets, which are narrow and
+    cut a long session into blocks, so tagging costs the wide rows no shuffle of its own.
     """
     keys = [date, session, "_block"]
     blocked = rows.withColumn("_block", arrival_block(arrival, rows_per_block))
@@ -142,10 +153,12 @@ def assign_row_id(
         .join(date_offsets, date)
         .select(*keys, (F.col("_offset") + F.col("_date_offset") + F.lit(first_id - 1)).alias("_offset"))
     )
+    added = []
+    if tags is not None:
+        offsets = offsets.join(tags, [date, session])
+        added = [c for c in tags.columns if c not in (date, session)]
     numbered = blocked.withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy(arrival)))
-    return numbered.join(offsets, keys).select(
-        (F.col("_offset") + F.col("_row")).alias("id"), *rows.columns
-    )
+    return numbered.join(offsets, keys).select((F.col("_offset") + F.col("_row")).alias("id"), *rows.columns, *added)
 
 
 def progress(packets: DataFrame, session: list[str], period: str = "5 seconds") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
+SALTS = 8
 
 
 def lookup(df: DataFrame, dimension: DataFrame, on: list[str], spread_by: list[str], salts: int = SALTS) -> DataFrame:

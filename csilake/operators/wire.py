@@ -90,33 +90,32 @@ def classify_lines(lines: DataFrame, profile: str = "strict", value: str = "valu
     indexes = F.array(*[F.lit(i) for i in _NUMERIC])
     bad_indexes = F.filter(indexes, lambda i: _number_text(F.get(parts, i), i, profile).isNull())
     names = F.array(*[F.lit(name) for name in WIRE_NAMES])
-    bad_fields = F.when(plain, F.array().cast("array<string>")).otherwise(
-        F.transform(bad_indexes, lambda i: F.get(names, i))
-    )
-    canonical = F.when(plain, parts).otherwise(
-        F.transform(parts, lambda p, i: _canonical(p, i, profile))
-    )
-    # The plain test comes first: a filter on the reason then skips all else for plain lines,
-    # also where Catalyst moves it below the projections.
-    reason = (
-        F.when(plain, F.lit(None).cast("string"))
-        .when(~has_prefix(raw), "prefix")
-        .when(F.size(parts) != N_FIELDS, "field_count")
-    )
+    reason = F.when(~has_prefix(raw), "prefix").when(F.size(parts) != N_FIELDS, "field_count")
     if profile == "strict":
         reason = reason.when(F.size(bad_indexes) > 0, "bad_number")
+    as_written = _checked(parts, F.array().cast("array<string>"), F.lit(None).cast("string"))
+    repaired = _checked(
+        F.transform(parts, lambda p, i: _canonical(p, i, profile)),
+        F.transform(bad_indexes, lambda i: F.get(names, i)),
+        reason,
+    )
 
     split = lines.where(F.col(value).isNotNull()).select(
         *carried, F.col(value).alias("raw"), split_fields(F.col(value)).alias("_parts")
     )
-    fields = split.select(
+    # Exploding the one checked line makes it a computed value for everything above. Without that,
+    # Catalyst would copy the whole check into each filter and field that uses its outcome.
+    checked = split.select(
+        *carried, "raw", F.explode(F.array(F.when(plain, as_written).otherwise(repaired))).alias("_line")
+    )
+    fields = F.col("_line.fields")
+    typed = checked.select(
         *carried,
+        *_typed(fields, profile),
+        F.col("_line.bad_fields").alias("bad_fields"),
         "raw",
-        canonical.alias("_fields"),
-        bad_fields.alias("bad_fields"),
-        reason.alias("reject_reason"),
+        F.col("_line.reject_reason").alias("reject_reason"),
     )
-    typed = fields.select(*carried, *_typed(F.col("_fields"), profile), "bad_fields", "raw", "reject_reason")
     return typed.select(
         *carried,
         *WIRE_NAMES,
@@ -127,6 +126,10 @@ def classify_lines(lines: DataFrame, profile: str = "strict", value: str = "valu
     )
 
 
+def _checked(fields: Column, bad_fields: Column, reason: Column) -> Column:
+    return F.struct(fields.alias("fields"), bad_fields.alias("bad_fields"), reason.alias("reject_reason"))
+
+
 def _canonical(part: Column, index: Column, profile: str) -> Column:
     """Slow path, one field: numbers to canonical text, strings cleaned as the profile does."""
     string = part

@@ -35,7 +35,7 @@ def _payload_value(embedding: Column, i: Column) -> Column:
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, payload) with 128 signed values per vector."""
-    index = F.array(*[F.lit(i) for i in range(N_VALUES)])
+    index = F.sequence(F.lit(0), F.lit(N_VALUES - 1))
     return table(spark, sf_dir, "embeddings").select(
         "vec_id", F.transform(index, lambda i: _payload_value(F.col("embedding"), i)).alias("payload")
     )

@@ -149,10 +149,9 @@ def tag_sessions(spark, sf_dir):
     return tagged.select("arrival", "session_id", "captured_at", "scenario")
 
 
-def _stored_packets(spark, sf_dir):
-    """Accepted packets with their session's tags, as the stored table holds them."""
-    rows = inputs.stored_rows(spark, sf_dir).drop("scenario")
-    return sessions.tag_sessions(rows, inputs.session_table(spark, sf_dir), SESSION, ["event_id"])
+def _wire_rows(spark, sf_dir):
+    """Accepted packets without what only the parser needs."""
+    return inputs.stored_rows(spark, sf_dir).select("event_id", *SESSION, *WIRE_NAMES)
 
 
 @query
@@ -179,7 +178,9 @@ def overwrite_session(spark, sf_dir):
 @query
 def union_profiles(spark, sf_dir):
     """Desktop rows and mobile rows, each under its own column names, as one table."""
-    rows = _stored_packets(spark, sf_dir).select("event_id", "captured_at", "scenario", *WIRE_NAMES)
+    rows = sessions.tag_sessions(
+        _wire_rows(spark, sf_dir), inputs.session_table(spark, sf_dir), SESSION, ["event_id"]
+    ).select("event_id", "captured_at", "scenario", *WIRE_NAMES)
     desktop = views.to_stored_names(rows.where("event_id % 2 = 0").drop("event_id"), "desktop")
     mobile = views.to_stored_names(rows.where("event_id % 2 = 1").drop("event_id"), "mobile")
     return views.union_layouts(desktop, mobile)
@@ -194,7 +195,8 @@ def assign_seq(spark, sf_dir):
 
 def _with_ids(spark, sf_dir):
     """Stored rows under the ids that appending them session by session gives."""
-    return sessions.assign_row_id(_stored_packets(spark, sf_dir), "session_date", "device", "event_id")
+    tags = sessions.session_tags(inputs.session_table(spark, sf_dir), SESSION)
+    return sessions.assign_row_id(_wire_rows(spark, sf_dir), "session_date", "device", "event_id", tags=tags)
 
 
 @query
