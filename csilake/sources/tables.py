@@ -32,12 +32,21 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return reader.parquet(path)
 
 
+# Quotes are doubled as in common CSV; a null is an empty cell, an empty text a quoted one.
+CSV_OPTIONS = {"header": True, "escape": '"', "multiLine": True}
+CSV_ROWS_PER_FILE = 1_000_000
+
+
 def export_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).option("emptyValue", '""').csv(path)
+    """A text may hold line breaks, so one file is read by one task: files are kept small instead."""
+    writer = rows.write.mode("overwrite").options(**CSV_OPTIONS).option("maxRecordsPerFile", CSV_ROWS_PER_FILE)
+    writer.option("emptyValue", '""').csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+    # With the default null text, the empty one, a quoted empty cell would be read as null too.
+    reader = spark.read.schema(schema).options(**CSV_OPTIONS).option("enforceSchema", False)
+    return reader.option("nullValue", "\0").csv(path)
 
 
 def delete_all(spark: SparkSession, path: str) -> None:
