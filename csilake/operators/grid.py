@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from csilake.operators.skew import lookup
+
 
 def grid_points(rooms: DataFrame) -> DataFrame:
     """(room_id, numero, x, y): full grid of each room, numbered from 1 row by row."""
@@ -28,4 +30,4 @@ def coordinates(rooms: DataFrame) -> DataFrame:
 
 
 def points_with_room(points: DataFrame, rooms: DataFrame) -> DataFrame:
-    return points.join(rooms.withColumnRenamed("id", "room_id"), "room_id")
+    return lookup(points, rooms.withColumnRenamed("id", "room_id"), ["room_id"], ["numero"])

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BLOCK = 1 << 20
-SECONDS_PER_BLOCK = 3600
+SECONDS_PER_BLOCK = 60
 
 
 def arrival_block(arrival: str, rows: int = ROWS_PER_BLOCK) -> Column:
@@ -53,7 +53,8 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[str], block: Column,
 def previous_value(df: DataFrame, keys: list[str], order: list[str], block: Column, value: str, out: str) -> DataFrame:
     """Adds ``out``: ``value`` of the row before this one in the key's order; null on the first row."""
     rows = df.withColumn("_block", block)
-    position = F.struct(*order)
+    # A single number as position keeps this a hash aggregate.
+    position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     ends = rows.groupBy(*keys, "_block").agg(F.max_by(value, position).alias("_end"))
     along = Window.partitionBy(*keys).orderBy("_block")
     before = ends.select(*keys, "_block", F.lag("_end").over(along).alias("_before"))

@@ -9,7 +9,7 @@ from csilake.functions.numbers import digits_only, leading_int
 from csilake.functions.text import scenario_or_default
 from csilake.operators.ordered import ROWS_PER_BLOCK, SECONDS_PER_BLOCK, arrival_block, row_numbers, running_total, time_block
 from csilake.operators.repeats import collapse_repeats
-from csilake.operators.skew import lookup
+from csilake.operators.skew import SALTS, lookup
 from csilake.schema import START_TAG
 
 
@@ -43,8 +43,8 @@ def session_end(start: Column, seconds: Column) -> Column:
 def packets_per_session(packets: DataFrame, sessions: DataFrame, block_seconds: int = SECONDS_PER_BLOCK) -> DataFrame:
     """Packets of the same device with ``started_at <= ts < started_at + n``, counted per session.
 
-    No packet meets a session: both go into one time order per device, packets as 1 and session
-    bounds as 0, and the running total at the end bound minus that at the start bound is the count.
+    No packet meets a session: both go into one time order per device, packets by their number and
+    session bounds as 0, and the running total at the end bound minus that at the start bound is the count.
     Overlapping and very long sessions cost two rows each, like any other.
     """
     bounds = sessions.select(
@@ -57,11 +57,12 @@ def packets_per_session(packets: DataFrame, sessions: DataFrame, block_seconds:
                 F.struct(session_end(F.col("started_at"), F.col("n")).alias("ts"), F.lit(1).alias("sign")),
             )
         ).alias("bound"),
-    ).select("device", "bound.ts", F.lit(0).alias("is_packet"), "session_id", "n", "bound.sign")
-    points = packets.select(
+    ).select("device", "bound.ts", F.lit(0).alias("weight"), "session_id", "n", "bound.sign")
+    # Packets of one instant are counted before the shuffle.
+    points = packets.groupBy("device", "ts").agg(F.count("*").cast("int").alias("weight")).select(
         "device",
         "ts",
-        F.lit(1).alias("is_packet"),
+        "weight",
         F.lit(None).cast("bigint").alias("session_id"),
         F.lit(None).cast("int").alias("n"),
         F.lit(0).alias("sign"),
@@ -70,24 +71,27 @@ def packets_per_session(packets: DataFrame, sessions: DataFrame, block_seconds:
     counted = running_total(
         points.unionByName(bounds),
         ["device"],
-        ["ts", "is_packet"],
+        ["ts", "weight"],
         time_block("ts", block_seconds),
-        F.col("is_packet"),
+        F.col("weight"),
         "seen",
     )
     return (
-        counted.where(F.col("is_packet") == 0)
+        counted.where(F.col("weight") == 0)
         .groupBy("session_id", "n")
         .agg(F.sum(F.col("seen") * F.col("sign")).alias("packets"))
         .where(F.col("packets") > 0)
     )
 
 
-def bound_packets(packets: DataFrame, sessions: DataFrame, bucket_seconds: int = SECONDS_PER_BLOCK) -> DataFrame:
+def bound_packets(
+    packets: DataFrame, sessions: DataFrame, bucket_seconds: int = 3600, salts: int = SALTS
+) -> DataFrame:
     """Packets with the ``session_id`` of every session that holds them.
 
     Sessions are listed in each time bucket they touch, so the join is an equality on device and
     bucket and the time bounds filter its few candidates. Buckets past the last packet are not listed.
+    The packets of a full bucket are spread over ``salts`` tasks; the narrow listing is repeated.
     """
     last = packets.select(F.max("ts")).scalar()
 
@@ -98,11 +102,13 @@ def bound_packets(packets: DataFrame, sessions: DataFrame, bucket_seconds: int =
         sessions.withColumn("_ends_at", session_end(F.col("started_at"), F.col("n")))
         .where(F.col("started_at") <= last)
         .withColumn("_bucket", F.explode(F.sequence(bucket(F.col("started_at")), bucket(F.least("_ends_at", last)))))
-        .select("device", "session_id", F.col("started_at").alias("_starts_at"), "_ends_at", "_bucket")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        .select("device", "session_id", F.col("started_at").alias("_starts_at"), "_ends_at", "_bucket", "_salt")
     )
     return (
         packets.withColumn("_bucket", bucket(F.col("ts")))
-        .join(spans, ["device", "_bucket"])
+        .withColumn("_salt", F.pmod(F.xxhash64("ts"), F.lit(salts)).cast("int"))
+        .join(spans, ["device", "_bucket", "_salt"])
         .where((F.col("ts") >= F.col("_starts_at")) & (F.col("ts") < F.col("_ends_at")))
         .select(*packets.columns, "session_id")
     )

@@ -366,6 +366,6 @@ ORACLE["stream_session_timer"] = FRAMES.replace("WITH payloads", "WITH RECURSIVE
           row_number() OVER (PARTITION BY s.device ORDER BY s.started_at, s.session_id) AS nr
         FROM ran r JOIN starts s ON s.device = r.device AND epoch_us(s.started_at) >= r.ends) WHERE nr = 1
     )
-    SELECT r.session_id, r.device, r.started, r.ends, count(e.event_id) AS packets
+    SELECT r.session_id, r.device, make_timestamp(r.started) AS started_at, make_timestamp(r.ends) AS ends_at, count(e.event_id) AS packets
     FROM ran r LEFT JOIN events e ON e.user_id = r.device AND epoch_us(e.ts) >= r.started AND epoch_us(e.ts) < r.ends
     GROUP BY ALL"""

@@ -69,22 +69,20 @@ def stream_discovery_dedup(spark, sf_dir):
 @query
 def stream_failure_streaks(spark, sf_dir):
     events = _landed(spark, inputs.link_events(spark, sf_dir))
-    table = new_folder(spark, "streaks")
-    found = stateful.streak_stream(events, STREAK_THRESHOLD)
-    updates.start_updates(found, table, new_folder(spark, "checkpoint")).awaitTermination()
-    return updates.latest(spark, table, ["device"]).withColumnRenamed("device", "user_id")
+    state = new_folder(spark, "streaks")
+    stateful.start_streaks(events, state, new_folder(spark, "checkpoint"), STREAK_THRESHOLD).awaitTermination()
+    return stateful.streaks_so_far(spark, state, STREAK_THRESHOLD).withColumnRenamed("device", "user_id")
 
 
 @query
 def stream_session_timer(spark, sf_dir):
     """Sessions that each device really ran, one at a time, with the packets in them."""
-    at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
-    starts = sessions.read_starts(inputs.start_commands(spark, sf_dir)).where("n > 0")
-    marks = starts.select("device", at, F.lit(0).alias("is_packet"), "session_id", "n")
+    starts = sessions.read_starts(inputs.start_commands(spark, sf_dir))
+    marks = starts.select("device", "ts", F.lit(False).alias("is_packet"), "session_id", "n")
     packets = inputs.packet_times(spark, sf_dir).select(
-        "device", at, F.lit(1).alias("is_packet"), F.lit(-1).cast("bigint").alias("session_id"), F.lit(0).alias("n")
+        "device", "ts", F.lit(True).alias("is_packet"), F.lit(None).cast("bigint").alias("session_id"), F.lit(None).cast("int").alias("n")
     )
-    table = new_folder(spark, "timed")
-    timed = stateful.session_timer_stream(_landed(spark, packets.unionByName(marks)))
-    updates.start_updates(timed, table, new_folder(spark, "checkpoint")).awaitTermination()
-    return updates.latest(spark, table, ["session_id", "device"]).select("session_id", "device", "started", "ends", "packets")
+    state, counts = new_folder(spark, "timed"), new_folder(spark, "timed-packets")
+    stream = _landed(spark, packets.unionByName(marks))
+    stateful.start_session_timer(stream, state, counts, new_folder(spark, "checkpoint")).awaitTermination()
+    return stateful.sessions_so_far(spark, state, counts)

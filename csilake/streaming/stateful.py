@@ -1,93 +1,153 @@
 """Per-device state over a stream: failure counters and the session timer.
 
-Rows are taken in arrival order, as the devices and collectors act on them. A batch holds the rows of a
-bounded number of landed files, so the rows of one device in one batch are bounded too. The state of a
-device is one small row; a cluster with very many devices keeps it in the RocksDB state store.
+Each batch reads the state the batch before it stored and stores its own, under a folder per batch that
+a repeated batch overwrites. Inside a batch all operators of the batch jobs can be used, so a device
+that sends most of the rows is still spread over many tasks, which a per-key state function cannot do.
+Rows count in arrival order; batches follow the order in which files land.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from csilake.operators.sessions import packets_per_session, session_end
+from csilake.operators.streaks import failure_runs, hits_in_run
+
+STREAK_STATE = "device bigint, running bigint, longest bigint, closed_hits bigint"
+SESSION_STATE = "device bigint, session_id bigint, started_at timestamp_ntz, n int, is_last boolean"
+
+
+def start_with_state(
+    rows: DataFrame,
+    state: str,
+    schema: str,
+    checkpoint: str,
+    advance: Callable[[DataFrame, DataFrame], DataFrame],
+    every: str | None = None,
+    then: Callable[[DataFrame, DataFrame, int], None] | None = None,
+) -> StreamingQuery:
+    """``advance(batch, state before)`` gives the state after the batch; ``then(batch, state, batch id)``
+    runs once that state is stored."""
+    spark = rows.sparkSession
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        before = spark.read.schema(schema).parquet(f"{state}/batch_id={batch_id - 1}") if batch_id else _none(spark, schema)
+        folder = f"{state}/batch_id={batch_id}"
+        advance(batch, before).write.mode("overwrite").parquet(folder)
+        if then is not None:
+            then(batch, spark.read.schema(schema).parquet(folder), batch_id)
+
+    writer = rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
+
+
+def _none(spark: SparkSession, schema: str) -> DataFrame:
+    return spark.createDataFrame([], schema)
+
+
+def current_state(spark: SparkSession, state: str) -> DataFrame:
+    stored = spark.read.parquet(state)
+    return stored.where(F.col("batch_id") == stored.select(F.max("batch_id")).scalar()).drop("batch_id")
+
+
+# --- failure counters -----------------------------------------------------------------------------
+
+
+def advance_streaks(batch: DataFrame, before: DataFrame, threshold: int) -> DataFrame:
+    """Joins the runs of a batch to the run each device was in."""
+    run, failures = F.col("run"), F.col("failures")
+    new = (
+        failure_runs(batch)
+        .groupBy("device")
+        .agg(
+            F.max("run").alias("connects"),
+            F.coalesce(F.max(F.when(run == 0, failures)), F.lit(0)).alias("lead"),
+            F.max_by("failures", "run").alias("tail"),
+            F.coalesce(F.max(F.when(run > 0, failures)), F.lit(0)).alias("later_longest"),
+            F.coalesce(F.sum(F.when(run > 0, hits_in_run(failures, threshold))), F.lit(0)).alias("later_hits"),
+        )
+    )
+
+    def old(name: str):
+        return F.coalesce(F.col(name), F.lit(0))
+
+    first = old("running") + F.coalesce("lead", F.lit(0))
+    reconnected = F.coalesce(F.col("connects") > 0, F.lit(False))
+    closed_now = hits_in_run(first, threshold) + F.col("later_hits") - hits_in_run(F.col("tail"), threshold)
+    return before.join(new, "device", "full_outer").select(
+        "device",
+        F.when(reconnected, F.col("tail")).otherwise(first).alias("running"),
+        F.greatest(old("longest"), first, "later_longest").alias("longest"),
+        (old("closed_hits") + F.when(reconnected, closed_now).otherwise(0)).alias("closed_hits"),
+    )
 
-Update = Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]
 
+def start_streaks(link_events: DataFrame, state: str, checkpoint: str, threshold: int, every: str | None = None) -> StreamingQuery:
+    return start_with_state(
+        link_events, state, STREAK_STATE, checkpoint, lambda batch, before: advance_streaks(batch, before, threshold), every
+    )
 
-def _in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="stable", ignore_index=True)
 
+def streaks_so_far(spark: SparkSession, state: str, threshold: int) -> DataFrame:
+    hits = F.col("closed_hits") + hits_in_run(F.col("running"), threshold)
+    return current_state(spark, state).select("device", F.col("longest").alias("max_streak"), hits.alias("hits"))
 
-def streak_update(threshold: int) -> Update:
-    """State: running failure counter, longest run so far, times the threshold was reached."""
 
-    def update(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        running, longest, hits = state.get if state.exists else (0, 0, 0)
-        failed = _in_order(rows, ["arrival"])["failed"].to_numpy(dtype=bool)
-        # Length of the run at each row; the first run continues the stored one.
-        position = np.arange(1, len(failed) + 1)
-        last_connect = np.maximum.accumulate(np.where(failed, 0, position))
-        length = position - last_connect + np.where(last_connect == 0, running, 0)
-        hits += int((failed & (length % threshold == 0)).sum())
-        longest = max(longest, int(np.where(failed, length, 0).max()))
-        state.update((int(length[-1]), longest, hits))
-        yield pd.DataFrame({"device": [key[0]], "max_streak": [longest], "hits": [hits]})
+# --- session timer --------------------------------------------------------------------------------
 
-    return update
 
+def open_sessions(starts: pd.DataFrame) -> pd.DataFrame:
+    """Sessions one device really runs: a start is heard only when the session before it has ended."""
+    starts = starts.sort_values(["carried", "ts"], ascending=[False, True], ignore_index=True)
+    at = starts["ts"].to_numpy(dtype="datetime64[us]").astype("int64")
+    seconds = starts["n"].to_numpy(dtype="int64")
+    # The session carried over, if any, is row 0 and may have started after rows that land late.
+    first = int(starts["carried"].sum())
+    taken, row = [0], 0
+    while True:
+        ends = at[row] + seconds[row] * 1_000_000
+        row = max(first + int(at[first:].searchsorted(ends, side="left")), row + 1)
+        if row >= len(at):
+            break
+        taken.append(row)
+    found = starts.iloc[taken][["device", "session_id", "ts", "n"]].rename(columns={"ts": "started_at"})
+    return found.assign(is_last=[False] * (len(taken) - 1) + [True])
 
-def streak_stream(link_events: DataFrame, threshold: int) -> DataFrame:
-    """(device, max_streak, hits), sent again when a device had new events."""
-    return link_events.groupBy("device").applyInPandasWithState(
-        streak_update(threshold),
-        outputStructType="device bigint, max_streak bigint, hits bigint",
-        stateStructType="running bigint, longest bigint, hits bigint",
-        outputMode="update",
-        timeoutConf=GroupStateTimeout.NoTimeout,
-    )
 
+def start_session_timer(messages: DataFrame, state: str, counts: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Input: device, ts, is_packet, and for start commands session_id and n (seconds).
 
-def session_update(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: the device's last session and the packets in it so far."""
-    session, started, ends, packets = state.get if state.exists else (-1, 0, 0, 0)
-    ordered = _in_order(rows, ["at", "is_packet", "session_id"])
-    at = ordered["at"].to_numpy()
-    is_packet = ordered["is_packet"].to_numpy() == 1
-    seen = np.concatenate([[0], np.cumsum(is_packet)])
-    out = []
-
-    def packets_until(limit: int, first: int) -> int:
-        stop = max(int(np.searchsorted(at, limit, side="left")), first)
-        return int(seen[stop] - seen[first])
-
-    if session >= 0:
-        packets += packets_until(ends, 0)
-        out.append((session, key[0], started, ends, packets))
-    for row in np.flatnonzero(~is_packet):
-        if at[row] < ends:
-            continue
-        session, started = int(ordered["session_id"].iloc[row]), int(at[row])
-        ends = started + int(ordered["n"].iloc[row]) * 1_000_000
-        packets = packets_until(ends, int(row))
-        out.append((session, key[0], started, ends, packets))
-    if session >= 0:
-        state.update((session, started, ends, packets))
-    yield pd.DataFrame(out, columns=["session_id", "device", "started", "ends", "packets"])
-
-
-def session_timer_stream(packets_and_starts: DataFrame) -> DataFrame:
-    """One session at a time: a start opens it for n seconds, and starts meanwhile are not heard.
-
-    Input: device, at (microseconds), is_packet, session_id and n (-1 and 0 for packets). Packet counts
-    are sent again as they grow.
+    Sessions go to ``state``, the packets each batch adds to them to ``counts``. Only start commands,
+    one per device and instant, are gathered per device; packets are counted in time blocks.
     """
-    return packets_and_starts.groupBy("device").applyInPandasWithState(
-        session_update,
-        outputStructType="session_id bigint, device bigint, started bigint, ends bigint, packets bigint",
-        stateStructType="session_id bigint, started bigint, ends bigint, packets bigint",
-        outputMode="update",
-        timeoutConf=GroupStateTimeout.NoTimeout,
+
+    def advance(batch: DataFrame, before: DataFrame) -> DataFrame:
+        heard = (
+            batch.where(~F.col("is_packet") & (F.col("n") > 0))
+            .groupBy("device", "ts")
+            .agg(F.min(F.struct("session_id", "n")).alias("_first"))
+            .select("device", "ts", "_first.session_id", "_first.n", F.lit(0).alias("carried"))
+        )
+        carried = before.where("is_last").select("device", F.col("started_at").alias("ts"), "session_id", "n", F.lit(1).alias("carried"))
+        return heard.unionByName(carried).groupBy("device").applyInPandas(open_sessions, SESSION_STATE)
+
+    def count(batch: DataFrame, sessions: DataFrame, batch_id: int) -> None:
+        packets = batch.where("is_packet").select("device", "ts")
+        packets_per_session(packets, sessions).write.mode("overwrite").parquet(f"{counts}/batch_id={batch_id}")
+
+    return start_with_state(messages, state, SESSION_STATE, checkpoint, advance, every, count)
+
+
+def sessions_so_far(spark: SparkSession, state: str, counts: str) -> DataFrame:
+    """(session_id, device, started_at, ends_at, packets) of every session of the stream."""
+    sessions = spark.read.parquet(state).select("session_id", "device", "started_at", "n").distinct()
+    packets = spark.read.parquet(counts).groupBy("session_id").agg(F.sum("packets").alias("packets"))
+    return sessions.join(packets, "session_id", "left").select(
+        "session_id", "device", "started_at", session_end(F.col("started_at"), F.col("n")).alias("ends_at"),
+        F.coalesce("packets", F.lit(0)).alias("packets"),
     )

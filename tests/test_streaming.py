@@ -48,34 +48,34 @@ def test_streaks_over_batches(spark, folder):
     schema = "device bigint, arrival bigint, failed boolean"
     for part in range(3):
         spark.createDataFrame(data[part * 100 : part * 100 + 100], schema).write.mode("append").parquet(f"{folder}/in")
-        found = stateful.streak_stream(stream_of(spark, f"{folder}/in", schema), 4)
-        updates.start_updates(found, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    expected = failure_streaks(spark.createDataFrame(data, schema), 4)
-    found = updates.latest(spark, f"{folder}/out", ["device"])
-    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+        events = stream_of(spark, f"{folder}/in", schema)
+        stateful.start_streaks(events, f"{folder}/state", f"{folder}/checkpoint", 4).awaitTermination()
+        expected = failure_streaks(spark.createDataFrame(data[: part * 100 + 100], schema), 4)
+        found = stateful.streaks_so_far(spark, f"{folder}/state", 4)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
 
 
 def test_session_timer_over_batches(spark, folder):
     rng = random.Random(4)
     rows = []
     for i in range(400):
-        device, at = rng.choice([1, 1, 2]), i * 1_000_000
-        rows.append((device, at, 1, -1, 0) if rng.random() < 0.8 else (device, at, 0, i, rng.choice([3, 30, 90])))
-    schema = "device bigint, at bigint, is_packet int, session_id bigint, n int"
+        device, ts = rng.choice([1, 1, 2]), T0 + timedelta(seconds=i)
+        rows.append((device, ts, True, None, None) if rng.random() < 0.8 else (device, ts, False, i, rng.choice([0, 3, 30, 90])))
+    schema = "device bigint, ts timestamp_ntz, is_packet boolean, session_id bigint, n int"
     for part in range(4):
         spark.createDataFrame(rows[part * 100 : part * 100 + 100], schema).write.mode("append").parquet(f"{folder}/in")
-        timed = stateful.session_timer_stream(stream_of(spark, f"{folder}/in", schema))
-        updates.start_updates(timed, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+        stream = stream_of(spark, f"{folder}/in", schema)
+        stateful.start_session_timer(stream, f"{folder}/state", f"{folder}/counts", f"{folder}/checkpoint").awaitTermination()
     expected, running = {}, {}
-    for device, at, is_packet, session, n in rows:
+    for device, ts, is_packet, session, n in rows:
         current = running.get(device)
-        if is_packet and current and at < expected[current][2]:
+        if is_packet and current is not None and ts < expected[current][2]:
             expected[current][3] += 1
-        elif not is_packet and (not current or at >= expected[current][2]):
+        elif not is_packet and n > 0 and (current is None or ts >= expected[current][2]):
             running[device] = session
-            expected[session] = [device, at, at + n * 1_000_000, 0]
-    found = updates.latest(spark, f"{folder}/out", ["session_id"])
-    assert {r["session_id"]: [r["device"], r["started"], r["ends"], r["packets"]] for r in found.collect()} == expected
+            expected[session] = [device, ts, ts + timedelta(seconds=n), 0]
+    found = stateful.sessions_so_far(spark, f"{folder}/state", f"{folder}/counts")
+    assert {r["session_id"]: [r["device"], r["started_at"], r["ends_at"], r["packets"]] for r in found.collect()} == expected
 
 
 def test_progress_and_announcements(spark, folder):
