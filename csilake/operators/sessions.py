@@ -84,6 +84,35 @@ def packets_per_session(packets: DataFrame, sessions: DataFrame, block_seconds:
     )
 
 
+def progress_ticks(
+    packets: DataFrame, sessions: DataFrame, period_seconds: int = 5, block_seconds: int = SECONDS_PER_BLOCK
+) -> DataFrame:
+    """(session_id, tick, in_buffer): what a session's timer reports at its start and every period after.
+
+    Ticks come whether packets do or not, up to the end of the session or of the data. As above, ticks
+    and packets share one time order, and no packet meets a tick.
+    """
+    last = packets.select(F.max("ts")).scalar()
+    step = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(period_seconds))
+    # The final tick of a timer is its end, which reports nothing.
+    final = session_end(F.col("started_at"), F.col("n") - 1)
+    ticks = (
+        sessions.where(F.col("started_at") <= last)
+        .withColumn("ts", F.explode(F.sequence(F.col("started_at"), F.least(final, last), step)))
+        .select("device", "ts", F.lit(0).alias("weight"), "session_id", "started_at")
+    )
+    points = packets.groupBy("device", "ts").agg(F.count("*").cast("int").alias("weight")).select(
+        "device", "ts", "weight", F.lit(None).cast("bigint").alias("session_id"), F.lit(None).cast("timestamp_ntz").alias("started_at")
+    )
+    counted = running_total(
+        points.unionByName(ticks), ["device"], ["ts", "weight"], time_block("ts", block_seconds), F.col("weight"), "seen"
+    ).where(F.col("weight") == 0)
+    at_start = counted.where(F.col("ts") == F.col("started_at")).select("session_id", F.col("seen").alias("_before"))
+    return lookup(counted, at_start, ["session_id"], ["ts"]).select(
+        "session_id", F.col("ts").alias("tick"), (F.col("seen") - F.col("_before")).alias("in_buffer")
+    )
+
+
 def bound_packets(
     packets: DataFrame, sessions: DataFrame, bucket_seconds: int = 3600, salts: int = SALTS
 ) -> DataFrame:

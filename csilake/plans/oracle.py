@@ -199,6 +199,15 @@ oracle(
     FROM events GROUP BY user_id, CAST(ts AS DATE), time_bucket(INTERVAL 1 HOUR, ts)""",
 )
 
+oracle(
+    "progress_ticks",
+    """SELECT s.session_id, s.started_at + to_seconds(1800 * k) AS tick,
+      (SELECT count(*) FROM events e WHERE e.user_id = s.device AND e.ts >= s.started_at
+        AND e.ts < s.started_at + to_seconds(1800 * k)) AS in_buffer
+    FROM starts s, unnest(range(0, (s.n - 1) // 1800 + 1)) AS t(k)
+    WHERE s.started_at + to_seconds(1800 * k) <= (SELECT max(ts) FROM events)""",
+)
+
 oracle("view_newest_first", f"SELECT id, captured_at, scenario, {WIRE} FROM tagged ORDER BY id DESC")
 CARD = "SELECT id, captured_at, mac, rssi, channel || ' (' || secondary_channel || ')' AS channel FROM tagged"
 oracle("view_newest_100", f"{CARD} ORDER BY id DESC LIMIT 100")
@@ -284,6 +293,15 @@ oracle(
     "entity_text",
     "SELECT id, 'ID: ' || id || ', Nome: ' || nome || ', Apelido: ' || apelido || ', Status: ' || status AS entity FROM users",
 )
+oracle(
+    "survey_text",
+    """SELECT id, 'ID: ' || id || ', Descrição: Sala ' || id || ', Largura: ' || (width / 2.0::DOUBLE) || ', Comprimento: ' ||
+        CAST(length AS DOUBLE) || ', Status: 1' AS entity FROM rooms
+    UNION ALL
+    SELECT r.id, 'ID: ' || (y.y * r.width + x.x + 1) || ', Ambiente ID: ' || r.id || ', Número: ' || (y.y * r.width + x.x + 1) ||
+      ', Posição X: ' || (x.x / 4.0::DOUBLE) || ', Posição Y: ' || CAST(y.y AS DOUBLE) || ', Status: 0'
+    FROM rooms r, unnest(range(0, r.width)) AS x(x), unnest(range(0, r.length)) AS y(y)""",
+)
 oracle(
     "grid_points",
     """SELECT r.id AS room_id, CAST(y.y * r.width + x.x + 1 AS INT) AS numero, CAST(x.x AS INT) AS x, CAST(y.y AS INT) AS y

@@ -239,6 +239,11 @@ def progress_5s(spark, sf_dir):
     return sessions.progress(inputs.packet_times(spark, sf_dir), SESSION, PROGRESS_PERIOD)
 
 
+@query
+def progress_ticks(spark, sf_dir):
+    return sessions.progress_ticks(inputs.packet_times(spark, sf_dir), _sessions(spark, sf_dir), 1800)
+
+
 # --- viewer ---------------------------------------------------------------------------------------
 
 
@@ -275,7 +280,9 @@ def collector_roundtrip(spark, sf_dir):
     """Rows saved as collector files in both layouts and read back under the canonical names."""
     path = new_folder(spark, "collected")
     spark.dataSource.register(CollectorSqlite)
-    rows = _with_ids(spark, sf_dir).select("id", "captured_at", "scenario", *WIRE_NAMES)
+    table = new_folder(spark, "stored")
+    _with_ids(spark, sf_dir).select("id", "captured_at", "scenario", *WIRE_NAMES).write.parquet(table)
+    rows = spark.read.parquet(table)
     for layout, part in (("desktop", "id % 2 = 0"), ("mobile", "id % 2 = 1")):
         rows.where(part).write.format("collector_sqlite").option("layout", layout).mode("append").save(path)
     stored = spark.read.format("collector_sqlite").load(path)
@@ -365,6 +372,18 @@ def entity_text(spark, sf_dir):
     return rows.select("id", text.user_text(F.col("id"), F.col("nome"), F.col("apelido"), F.col("status")).alias("entity"))
 
 
+@query
+def survey_text(spark, sf_dir):
+    """Rooms and their points as text."""
+    rooms = inputs.rooms(spark, sf_dir)
+    sized = rooms.select("id", (F.col("width") / 2).alias("w"), F.col("length").cast("double").alias("l"))
+    room = text.room_text(F.col("id"), F.concat(F.lit("Sala "), "id"), F.col("w"), F.col("l"), F.lit(1))
+    points = grid.grid_points(rooms)
+    x, y = (F.col("x") / 4).alias("x"), F.col("y").cast("double")
+    point = text.point_text(F.col("numero"), F.col("room_id"), F.col("numero"), x, y, F.lit(0))
+    return sized.select("id", room.alias("entity")).unionByName(points.select(F.col("room_id").alias("id"), point.alias("entity")))
+
+
 @query
 def grid_points(spark, sf_dir):
     return grid.grid_points(inputs.rooms(spark, sf_dir))

@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+import csilake
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """Session for tests and the benchmark. A cluster brings its own settings."""
@@ -23,7 +26,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Wall-clock columns carry no zone, so every job reads them as UTC."""
+    """Wall-clock columns carry no zone, so every job reads them as UTC.
+
+    The package's Python functions travel with the tasks: workers need not have it installed.
+    """
+    cloudpickle.register_pickle_by_value(csilake)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 

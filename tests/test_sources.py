@@ -141,3 +141,18 @@ def test_csv(spark, folder):
     rows = spark.createDataFrame([(1, 'a,"b"\\', 2.5), (2, "", None), (3, None, 0.0), (4, "two\nlines", 1.0)], "id int, s string, x double")
     tables.export_csv(rows, folder)
     assert tables.read_csv(spark, folder, "id int, s string, x double").orderBy("id").collect() == rows.collect()
+
+
+def test_functions_travel_to_workers_without_the_package(spark, folder):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from csilake.streaming.stateful import open_sessions
+
+    with open(f"{folder}/sent", "wb") as out:
+        out.write(cloudpickle.dumps([open_sessions, CollectorSqlite]))
+    code = "import pyspark.cloudpickle as c, sys; print(len(c.loads(open('sent', 'rb').read())), 'csilake' in sys.modules)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=folder, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
+    assert done.stdout.split() == ["2", "False"], done.stderr
