@@ -8,8 +8,9 @@ Rows count in arrival order; batches follow the order in which files land.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from csilake.operators.sessions import packets_per_session, session_end
 from csilake.operators.streaks import failure_runs, hits_in_run
 
 STREAK_STATE = "device bigint, running bigint, longest bigint, closed_hits bigint"
-SESSION_STATE = "device bigint, session_id bigint, started_at timestamp_ntz, n int, is_last boolean"
+SESSION_STATE = "device bigint, session_id bigint, started_at timestamp_ntz, n int"
 
 
 def start_with_state(
@@ -101,29 +102,28 @@ def streaks_so_far(spark: SparkSession, state: str, threshold: int) -> DataFrame
 # --- session timer --------------------------------------------------------------------------------
 
 
-def open_sessions(starts: pd.DataFrame) -> pd.DataFrame:
-    """Sessions one device really runs: a start is heard only when the session before it has ended."""
-    starts = starts.sort_values(["carried", "ts"], ascending=[False, True], ignore_index=True)
-    at = starts["ts"].to_numpy(dtype="datetime64[us]").astype("int64")
-    seconds = starts["n"].to_numpy(dtype="int64")
-    # The session carried over, if any, is row 0 and may have started after rows that land late.
-    first = int(starts["carried"].sum())
-    taken, row = [0], 0
-    while True:
-        ends = at[row] + seconds[row] * 1_000_000
-        row = max(first + int(at[first:].searchsorted(ends, side="left")), row + 1)
-        if row >= len(at):
-            break
-        taken.append(row)
-    found = starts.iloc[taken][["device", "session_id", "ts", "n"]].rename(columns={"ts": "started_at"})
-    return found.assign(is_last=[False] * (len(taken) - 1) + [True])
+def open_sessions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sessions devices really run: a start is heard only when the session before it has ended.
+
+    Rows come sorted by device and time, so one end time is all that is remembered, however many starts
+    a device sends.
+    """
+    current, ends = None, 0
+    for starts in batches:
+        at = starts["ts"].to_numpy(dtype="datetime64[us]").astype("int64")
+        until = at + starts["n"].to_numpy(dtype="int64") * 1_000_000
+        heard = np.zeros(len(starts), dtype=bool)
+        for row, device in enumerate(starts["device"].to_numpy()):
+            if device != current or at[row] >= ends:
+                current, ends, heard[row] = device, until[row], True
+        yield starts.loc[heard, ["device", "session_id", "ts", "n"]].rename(columns={"ts": "started_at"})
 
 
 def start_session_timer(messages: DataFrame, state: str, counts: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Input: device, ts, is_packet, and for start commands session_id and n (seconds).
 
-    Sessions go to ``state``, the packets each batch adds to them to ``counts``. Only start commands,
-    one per device and instant, are gathered per device; packets are counted in time blocks.
+    Sessions go to ``state``, the packets each batch adds to them to ``counts``. Only start commands, one
+    per device and instant, are scanned in order per device; packets are counted in time blocks.
     """
 
     def advance(batch: DataFrame, before: DataFrame) -> DataFrame:
@@ -133,8 +133,11 @@ def start_session_timer(messages: DataFrame, state: str, counts: str, checkpoint
             .agg(F.min(F.struct("session_id", "n")).alias("_first"))
             .select("device", "ts", "_first.session_id", "_first.n", F.lit(0).alias("carried"))
         )
-        carried = before.where("is_last").select("device", F.col("started_at").alias("ts"), "session_id", "n", F.lit(1).alias("carried"))
-        return heard.unionByName(carried).groupBy("device").applyInPandas(open_sessions, SESSION_STATE)
+        last = before.groupBy("device").agg(F.max(F.struct(F.col("started_at").alias("ts"), "session_id", "n")).alias("_last"))
+        carried = last.select("device", "_last.*", F.lit(1).alias("carried"))
+        # The session carried over comes first, also where starts from before it land late.
+        ordered = heard.unionByName(carried).repartition("device").sortWithinPartitions("device", F.desc("carried"), "ts")
+        return ordered.mapInPandas(open_sessions, SESSION_STATE)
 
     def count(batch: DataFrame, sessions: DataFrame, batch_id: int) -> None:
         packets = batch.where("is_packet").select("device", "ts")
