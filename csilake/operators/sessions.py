@@ -176,7 +176,11 @@ def assign_row_id(
     cut a long session into blocks, so tagging costs the wide rows no shuffle of its own.
     """
     keys = [date, session, "_block"]
-    blocked = rows.withColumn("_block", arrival_block(arrival, rows_per_block))
+    # The joins below would infer these filters for some branches only; stated here, all branches
+    # are alike and the counts per block are computed once.
+    blocked = rows.where(F.col(date).isNotNull() & F.col(session).isNotNull() & F.col(arrival).isNotNull()).withColumn(
+        "_block", arrival_block(arrival, rows_per_block)
+    ).where(F.col("_block").isNotNull())
     blocks = blocked.groupBy(*keys).agg(F.count("*").alias("_rows"))
     dates = blocks.groupBy(date).agg(F.sum("_rows").alias("_date_rows"))
     date_offsets = dates.select(

@@ -23,7 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Use all slots where a table has fewer files than that; a large table already does."""
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if len(df.inputFiles()) < slots else df
+    # Counted in the JVM: the list of names of a large table should not cross into Python.
+    files = len(df._jdf.inputFiles())
+    return df.repartition(slots) if files < slots else df
 
 
 def _payload_value(embedding: Column, i: Column) -> Column:

@@ -12,11 +12,15 @@ simple comparisons run inside the files; it needs ``spark.sql.python.filterPushd
 from __future__ import annotations
 
 import os
+import re
 import sqlite3
 import uuid
 from collections.abc import Iterator
+from contextlib import closing
 from dataclasses import dataclass
+from urllib.parse import quote
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql.datasource import (
     DataSource,
@@ -173,8 +177,6 @@ def _to_batch(rows: list[tuple], names: list[str], kinds: dict[str, str], schema
 
 
 def _stamps(texts: tuple, kind: pa.DataType) -> pa.Array:
-    import pandas as pd
-
     parsed = pd.to_datetime(pd.Series(texts, dtype="object"), format="ISO8601", errors="coerce")
     return pa.Array.from_pandas(parsed, type=kind, safe=False)
 
@@ -193,8 +195,16 @@ def _as_number(stored: object, kind: str) -> float | int | None:
     return stored if -limit <= stored < limit else None
 
 
+def mounted(path: str) -> str:
+    """SQLite opens files by plain path, so the folder has to be mounted wherever tasks run."""
+    plain = re.sub("^file:(//)?", "", path)
+    if "://" in plain:
+        raise ValueError(f"collector files need a mounted folder, not {path}")
+    return plain
+
+
 def _list_files(path: str) -> list[tuple[str, int]]:
-    root = path.removeprefix("file://")
+    root = mounted(path)
     if os.path.isfile(root):
         return [(root, os.path.getsize(root))]
     found = []
@@ -206,10 +216,7 @@ def _list_files(path: str) -> list[tuple[str, int]]:
     return sorted(found)
 
 
-def _open_readonly(path: str):
-    from contextlib import closing
-    from urllib.parse import quote
-
+def _open_readonly(path: str) -> closing:
     return closing(sqlite3.connect(f"file:{quote(path)}?mode=ro&immutable=1", uri=True))
 
 
@@ -223,7 +230,7 @@ class SqliteWriter(DataSourceArrowWriter):
 
     def __init__(self, schema: StructType, options: dict[str, str], overwrite: bool) -> None:
         self.columns = schema.names
-        self.path = options["path"].removeprefix("file://")
+        self.path = mounted(options["path"])
         self.layout = options.get("layout", "desktop")
         self.rows_per_file = int(options.get("rows_per_file", 200_000))
         self.overwrite = overwrite

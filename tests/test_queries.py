@@ -40,4 +40,4 @@ def test_known_counts(spark):
     assert QUERIES["failure_streaks"](spark, folder).count() == 150
     assert QUERIES["grid_points"](spark, folder).count() == 10170
     users = QUERIES["users_apply_changes"](spark, folder)
-    assert (users.count(), users.where("id > 1000000").count(), users.agg({"status": "sum"}).collect()[0][0]) == (822, 300, 1016)
+    assert (users.count(), users.where("id >= 1000000").count(), users.agg({"status": "sum"}).collect()[0][0]) == (822, 300, 1016)
