@@ -144,8 +144,11 @@ def bound_packets(
 
 
 def tag_sessions(rows: DataFrame, sessions: DataFrame, on: list[str], spread_by: list[str]) -> DataFrame:
-    """Adds the session's ``session_id``, ``captured_at`` and ``scenario`` to each row."""
-    return lookup(rows, session_tags(sessions, on), on, spread_by)
+    """Adds the session's ``session_id``, ``captured_at`` and ``scenario`` to each row.
+
+    A row whose session is not known is kept, with nulls.
+    """
+    return lookup(rows, session_tags(sessions, on), on, spread_by, "left")
 
 
 def session_tags(sessions: DataFrame, on: list[str]) -> DataFrame:
@@ -194,7 +197,7 @@ def assign_row_id(
     )
     added = []
     if tags is not None:
-        offsets = offsets.join(tags, [date, session])
+        offsets = offsets.join(tags, [date, session], "left")
         added = [c for c in tags.columns if c not in (date, session)]
     numbered = blocked.withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy(arrival)))
     return numbered.join(offsets, keys).select((F.col("_offset") + F.col("_row")).alias("id"), *rows.columns, *added)

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 SALTS = 8
 
 
-def lookup(df: DataFrame, dimension: DataFrame, on: list[str], spread_by: list[str], salts: int = SALTS) -> DataFrame:
-    """Inner join with a dimension that has one row per key.
+def lookup(
+    df: DataFrame, dimension: DataFrame, on: list[str], spread_by: list[str], how: str = "inner", salts: int = SALTS
+) -> DataFrame:
+    """Join with a dimension that has one row per key; ``how`` is inner or left.
 
     Catalyst broadcasts the dimension when its size allows. Beyond that, rows of one key are spread
     over ``salts`` partitions by ``spread_by``, and the narrow dimension is repeated once per salt.
     """
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     repeated = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*on, "_salt"]).drop("_salt")
+    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")

@@ -172,3 +172,10 @@ def test_lookup_keeps_every_row_of_a_hot_key(spark):
     found = lookup(df, dim, ["k"], ["arrival"])
     assert found.columns == ["k", "arrival", "v", "name"]
     assert found.count() == 600 and found.where("name <> concat('n', k)").count() == 0
+
+
+def test_tagging_keeps_rows_without_a_session(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "arrival bigint, s string")
+    known = spark.createDataFrame([("a", "id-a", T0, "")], "s string, session_id string, captured_at timestamp_ntz, scenario string")
+    found = sessions.tag_sessions(rows, known, ["s"], ["arrival"]).select("arrival", "session_id", "captured_at", "scenario")
+    assert sorted(map(tuple, found.collect())) == [(1, "id-a", T0, "N/A"), (2, None, None, None), (3, "id-a", T0, "N/A")]
