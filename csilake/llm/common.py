@@ -105,7 +105,7 @@ _CACHE: dict[str, np.ndarray] = {}
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if "up" not in _CACHE or len(_CACHE["up"]) < n:
-        n = max(n, CHUNK_BYTES)
+        n = 1 << max(12, n.bit_length())
         _CACHE["up"], _CACHE["down"] = _powers(_ODD, n), _powers(pow(_ODD, -1, 1 << 64), n)
         _CACHE["byte"] = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
     return _CACHE["up"], _CACHE["down"], _CACHE["byte"]

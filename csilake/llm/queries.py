@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from csilake.llm.bpe import op4_bpe
+from csilake.llm.secrets import op3_secrets
 from csilake.llm.sharding import op10_sharding
 from csilake.llm.syncmers import op9_syncmers
 
-QUERIES = {f.__name__: f for f in (op9_syncmers, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op3_secrets, op4_bpe, op9_syncmers, op10_sharding)}
 
 #: None of the operators can be said in SQL; the tests hold each against a brute-force version.
 ORACLE: dict[str, str] = {}
