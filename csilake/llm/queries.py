@@ -5,12 +5,13 @@ from __future__ import annotations
 from csilake.llm.bpe import op4_bpe
 from csilake.llm.decontaminate import op8_decontaminate
 from csilake.llm.lm_score import op7_lm_score
+from csilake.llm.near_dups import op5_near_dups
 from csilake.llm.secrets import op3_secrets
 from csilake.llm.sharding import op10_sharding
 from csilake.llm.syncmers import op9_syncmers
 from csilake.llm.toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_secrets, op4_bpe, op6_toxicity, op7_lm_score, op8_decontaminate, op9_syncmers, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op3_secrets, op4_bpe, op5_near_dups, op6_toxicity, op7_lm_score, op8_decontaminate, op9_syncmers, op10_sharding)}
 
 #: None of the operators can be said in SQL; the tests hold each against a brute-force version.
 ORACLE: dict[str, str] = {}
