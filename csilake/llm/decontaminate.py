@@ -21,7 +21,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from csilake.llm import common
@@ -177,8 +178,8 @@ class Windows:
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("spans", _SPAN), ("items", pa.list_(pa.string()))])
-_TYPE = "doc_id bigint, text string, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
+#: Columns under way; named so that they clash with none of the rows' own.
+_WORDS, _SPANS, _ITEMS = "_decontaminate_words", "_decontaminate_spans", "_decontaminate_items"
 
 
 def _merged(flags: np.ndarray, spans: list[dict]) -> list[dict]:
@@ -189,19 +190,20 @@ def _merged(flags: np.ndarray, spans: list[dict]) -> list[dict]:
     return [{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()]
 
 
-def _search(block, last: bool, keep_text: bool):
+def _search(block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = block.value
         for batch in batches:
-            for a, b in chunks(batch, "text"):
+            at = batch.schema.get_field_index("text")
+            filled = batch.set_column(at, "text", pc.fill_null(batch.column(at), ""))
+            for a, b in chunks(filled, "text"):
                 part = batch.slice(a, b - a)
-                first, flags, items = windows.hits(part.column(1))
-                old_spans, old_items = part.column(3).to_pylist(), part.column(4).to_pylist()
+                first, flags, items = windows.hits(filled.column(at).slice(a, b - a))
+                old_spans, old_items = part.column(_SPANS).to_pylist(), part.column(_ITEMS).to_pylist()
                 spans = [_merged(flags[first[i] : first[i + 1]], old_spans[i]) for i in range(len(items))]
                 names = [sorted(new.union(old)) for new, old in zip(items, old_items, strict=True)]
-                text = part.column(1) if keep_text or not last else pa.nulls(len(items), pa.string())
-                columns = [part.column(0), text.cast(pa.string()), pa.array(np.diff(first)), pa.array(spans, _SPAN), pa.array(names, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)
+                new = {_WORDS: pa.array(np.diff(first)), _SPANS: pa.array(spans, _SPAN), _ITEMS: pa.array(names, pa.list_(pa.string()))}
+                yield pa.RecordBatch.from_arrays([new.get(x, part.column(x)) for x in part.schema.names], names=part.schema.names)
 
     return run
 
@@ -216,17 +218,34 @@ def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> I
         yield [(x.item, x.text) for x in own.toLocalIterator()]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_hit, ``spans`` (runs of hit words), ``items`` (ids, as sorted strings), contaminated; with the text if asked."""
+def searched(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows, with the number of words, the runs of hit words and the items' ids (sorted strings) as columns _WORDS, _SPANS and _ITEMS."""
     context = docs.sparkSession.sparkContext
-    empty = F.array()
-    now = texts(docs).select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), empty.cast("array<struct<start:bigint,end:bigint>>").alias("spans"), empty.cast("array<string>").alias("items"))
-    each = [context.broadcast(Windows.of(x)) for x in blocks(benchmark)]
-    for k, block in enumerate(each):
-        now = now.mapInArrow(_search(block, k == len(each) - 1, keep_text), _TYPE)
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    out = now.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-    return out if keep_text else out.drop("text")
+    kinds = {_WORDS: "bigint", _SPANS: "array<struct<start:bigint,end:bigint>>", _ITEMS: "array<string>"}
+    start = {_WORDS: F.lit(0), _SPANS: F.array(), _ITEMS: F.array()}
+    now = docs.withColumns({x: start[x].cast(kinds[x]) for x in kinds})
+    for block in blocks(benchmark):
+        now = now.mapInArrow(_search(context.broadcast(Windows.of(block))), now.schema)
+    return now
+
+
+def hit_words() -> Column:
+    return F.aggregate(_SPANS, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+
+
+def contaminated() -> Column:
+    return (hit_words() > 0) & (20 * hit_words() >= F.col(_WORDS))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_hit, ``spans`` (runs of hit words), ``items`` (ids, as sorted strings), contaminated."""
+    found = searched(texts(docs), benchmark)
+    return found.select("doc_id", F.col(_WORDS).alias("n_words"), hit_words().alias("n_hit"), F.col(_SPANS).alias("spans"), F.col(_ITEMS).alias("items"), contaminated().alias("contaminated"))
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows that aren't contaminated, with all their columns."""
+    return searched(docs, benchmark).filter(~contaminated()).select(*docs.columns)
 
 
 def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:

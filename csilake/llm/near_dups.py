@@ -74,7 +74,7 @@ def set_ids(value: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(0x9E3779B97F4A7C15) + mix(b) + np.diff(first).astype(np.uint64)).view(np.int64)
 
 
-_FEATURES = "doc_id bigint, n_shingles bigint, id bigint, signature binary"
+_FEATURES = "doc_id bigint, n_shingles bigint, id bigint, signature binary, text_key bigint"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,8 +84,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             value, first = shingles(part.column(1))
             sign = signatures(value, first)
             held = pa.array([x.tobytes() for x in sign], pa.binary())
-            columns = [part.column(0), pa.array(np.diff(first)), pa.array(set_ids(value, first)), held]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "id", "signature"])
+            columns = [part.column(0), pa.array(np.diff(first)), pa.array(set_ids(value, first)), held, part.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "id", "signature", "text_key"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,9 +205,9 @@ def crossing(buckets: DataFrame, found: DataFrame, signed: DataFrame) -> DataFra
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row."""
+    """doc_id, n_shingles, component_id, kept of each row, with its ``set_id`` and the ``text_key`` xxhash64(text)."""
     docs = texts(docs)
-    features = stored(docs.mapInArrow(_features, _FEATURES), "signatures")
+    features = stored(docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_features, _FEATURES), "signatures")
     classes = features.filter("n_shingles > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
     classes = stored(classes, "classes")
     signed = classes.select("id", "signature")
@@ -232,10 +232,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = classes.join(whole, "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("component"))
     least = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_set = known.join(least, "component").select("id", "component_id")
-    out = features.filter("n_shingles > 0").join(by_set, "id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = out.unionAll(features.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    features = features.drop("signature")
+    out = features.filter("n_shingles > 0").join(by_set, "id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = out.unionByName(features.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id")))
+    out = out.select("doc_id", "n_shingles", "component_id", F.col("id").alias("set_id"), "text_key")
     kept = F.when(F.col("doc_id").isNull(), F.col("component_id").isNull()).otherwise(F.col("doc_id") == F.col("component_id"))
-    return out.withColumn("kept", kept)
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "set_id", "text_key")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One row of each component, with all its columns; of rows that repeat its id, the least by text hash."""
+    found = near_duplicates(docs).filter("kept")
+    groups = found.groupBy("component_id", F.col("n_shingles") == 0, F.when(F.col("component_id").isNull(), F.col("set_id")))
+    chosen = groups.agg(F.min(F.struct("doc_id", "text_key")).alias("row")).select(F.col("row.doc_id").alias("_id"), F.col("row.text_key").alias("_key"))
+    keyed = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_text": F.xxhash64(F.coalesce("text", F.lit("")))})
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))
+    return keyed.join(chosen, same, "left_semi").dropDuplicates(["_doc", "_text"]).select(*docs.columns)
 
 
 def near(pairs: DataFrame, signed: DataFrame) -> DataFrame:

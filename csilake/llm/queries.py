@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from csilake.llm.bpe import op4_bpe
 from csilake.llm.decontaminate import op8_decontaminate
 from csilake.llm.lm_score import op7_lm_score
@@ -12,6 +13,7 @@ from csilake.llm.syncmers import op9_syncmers
 from csilake.llm.toxicity import op6_toxicity
 
 QUERIES = {f.__name__: f for f in (op3_secrets, op4_bpe, op5_near_dups, op6_toxicity, op7_lm_score, op8_decontaminate, op9_syncmers, op10_sharding)}
+QUERIES["pipeline"] = corpus_pipeline.run
 
 #: None of the operators can be said in SQL; the tests hold each against a brute-force version.
 ORACLE: dict[str, str] = {}

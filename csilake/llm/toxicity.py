@@ -150,6 +150,13 @@ def scored(docs: DataFrame, weights: Weights) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows that score below THRESHOLD, with all their columns."""
+    keyed = docs.withColumnsRenamed({"score": "_score"}) if "score" in docs.columns else docs
+    kept = scored(keyed, train(docs, labels)).filter(F.col("score") < THRESHOLD).drop("score")
+    return kept.withColumnsRenamed({"_score": "score"}).select(*docs.columns)
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     weights = train(docs, table(spark, folder, "labels"))
