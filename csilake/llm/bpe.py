@@ -233,7 +233,7 @@ def _coded(docs: DataFrame, path: str, row, schema: str) -> DataFrame:
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and the ids of its text."""
-    return _coded(docs, path, lambda _, ids: (np.frombuffer(ids, dtype="<u4").astype(np.int32).tolist(),), "doc_id bigint, ids array<int>")
+    return _coded(docs, path, lambda _, ids: (np.frombuffer(ids, dtype="<u4").astype(np.int32),), "doc_id bigint, ids array<int>")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from csilake.llm.common import _tables, chunks, mix, ranges_hash, raw, stored, table, texts
+from csilake.llm.common import CHUNK_BYTES, _tables, chunks, mix, ranges_hash, raw, stored, table, texts
 
 LENGTH, SEED, STEP = 100, 16, 16
 HOT = 20_000
@@ -109,7 +109,7 @@ def _rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in chunks(batch, "text"):
+        for a, b in chunks(batch, "text", min(CHUNK_BYTES, PIECE)):
             part = batch.slice(a, b - a)
             whole, at = raw(part.column(2))
             doc, text_key = (part.column(i).to_numpy() for i in (0, 1))

@@ -1,0 +1,290 @@
+"""Operators 1, 3, 4, 8 and 9 against brute-force versions."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from csilake.llm import bpe, common, decontaminate, secrets, suffix_dedup, syncmers
+
+LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+PLAIN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+SPACED = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def prose(rng, n, alphabet="abcdeé ."):
+    return "".join(rng.choice(alphabet) for _ in range(n))
+
+
+def test_words_are_those_of_the_patterns():
+    rng = random.Random(1)
+    texts = ["", "A", " ", "ab", "é", *("".join(rng.choice("aZ9 \t\n.é日\x0b_`{") for _ in range(rng.randrange(40))) for _ in range(300))]
+    for inside, pattern in ((common.PLAIN, PLAIN), (common.SPACED, SPACED)):
+        data, start, end, hashes, first = common.words(pa.array(texts).slice(0), inside)
+        got = [[data[a:b].tobytes().decode() for a, b in zip(start[i:j], end[i:j])] for i, j in zip(first, first[1:])]
+        assert got == [pattern.findall(x.translate(LOWER)) for x in texts]
+        by_word = {}
+        for a, b, h in zip(start, end, hashes.tolist()):
+            assert by_word.setdefault(data[a:b].tobytes(), h) == h
+        assert len(set(by_word.values())) == len(by_word)
+
+
+def repeats_by_hand(rows):
+    seen, out = set(), []
+    for doc, text in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        data = (text or "").encode()
+        gone = [False] * len(data)
+        for i in range(len(data) - 99):
+            if data[i : i + 100] in seen:
+                gone[i : i + 100] = [True] * 100
+            seen.add(data[i : i + 100])
+        left = bytes(b for b, g in zip(data, gone) if not g)
+        spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
+        out.append((doc, len(data), sum(gone), spans, hashlib.sha256(left).hexdigest()))
+    return sorted(out, key=str)
+
+
+def repeat_rows():
+    rng = random.Random(2)
+    passage = prose(rng, 260)
+    rows = [(i, prose(rng, 150) + passage + prose(rng, 90)) for i in range(0, 40, 2)]
+    whole = prose(rng, 900)
+    rows += [(100 + i, whole) for i in range(8)]
+    rows += [(200 + i, whole[: 60 * i] + "X" + whole[60 * i + 1 :]) for i in range(14)]
+    rows += [(300, "a" * 700), (301, "ab" * 300), (302, passage + passage), (303, passage[:99]), (304, ""), (305, None), (None, passage), (306, "日本語" * 80)]
+    return rows
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 2])
+def test_repeated_bytes_go(documents, small_batches, hot):
+    rows, docs = repeat_rows(), documents(repeat_rows(), 4)
+    small_batches()
+    found = suffix_dedup.repeats(docs, hot)
+    assert sorted((tuple(r)[:5] for r in found.collect()), key=str) == repeats_by_hand(rows)
+
+
+def test_merged_transforms_give_the_suffix_order():
+    rng = random.Random(3)
+    base = prose(rng, 300, "ab")
+    strings = [base[i : i + 130].encode() for i in range(0, 160, 7)]
+    owner, place, interval = suffix_dedup.repeated(strings)
+    windows = [strings[o][p : p + 100] for o, p in zip(owner, place)]
+    assert windows == sorted(windows)
+    assert len(windows) == 31 * len(strings)
+    assert [a == b for a, b in zip(windows, windows[1:])] == (np.diff(interval) == 0).tolist()
+
+
+def test_a_text_in_pieces_gives_the_same(documents, monkeypatch):
+    rng = random.Random(4)
+    passage = prose(rng, 400)
+    rows = [(1, prose(rng, 5_000) + passage + prose(rng, 3_000)), (2, passage), (3, prose(rng, 2_000) + passage)]
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1_000)
+    assert sorted((tuple(r)[:5] for r in suffix_dedup.repeats(documents(rows)).collect()), key=str) == repeats_by_hand(rows)
+
+
+def test_repeated_rows_and_no_rows(documents):
+    text = prose(random.Random(5), 500)
+    same = [tuple(r) for r in suffix_dedup.repeats(documents([(1, text), (1, text), (2, text)])).select("doc_id", "n_removed").collect()]
+    assert sorted(same) == [(1, 0), (1, 0), (2, len(text.encode()))]
+    assert suffix_dedup.repeats(documents([])).count() == 0
+
+
+SECRET_TEXTS = [
+    'x token = "abcdef123456" y', "api-key: zz apiKey=AAAAAA passwd:'a' PASSWORD  =  q1w2e3r4", "AKIA" + "B" * 16 + " AKIA123 xAKIAAKIA" + "C" * 14,
+    "hex 0123456789abcdef01234567 and 0123456789abcdef0123456 token:=abcdefg ſecret=abcdef toKen=abcdef", "token=pass", "", None, "é" * 30 + " secret: s3cr3tvalue",
+    "Zm9vYmFyQmF6MTIzNDU2Nzg5MGFiY2Rl alone",
+]
+
+
+def secrets_by_hand(text):
+    text = text or ""
+    assign = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    spans = [(m.start(), 0, m.end()) for m in re.finditer(assign, text, re.I | re.A) if len(m[2]) >= 6]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    counts = [sum(k == kind for _, k, _ in spans) for kind in range(3)]
+    return (*counts, ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(spans)))
+
+
+def test_secrets_and_owners(documents):
+    rows = [(i, x, "src1") for i, x in enumerate(SECRET_TEXTS)]
+    rows += [(100 + i, SECRET_TEXTS[8], f"src{i}") for i in range(2)] + [(200 + i, SECRET_TEXTS[0], f"src{i}") for i in range(5)] + [(300, "k9XqZt7LmN2pVw4RbY8c", "src7"), (0, SECRET_TEXTS[0], "src1"), (None, SECRET_TEXTS[1], None)]
+    docs = documents([(a, b, c) for a, b, c in rows]).withColumn("spans", F.lit("own"))
+    found = secrets.judged(secrets.scan(docs)).collect()
+    assert len(found) == len(rows)
+    text_of = {(a): b for a, b, _ in rows if a is not None}
+    for r in found:
+        text = SECRET_TEXTS[1] if r.doc_id is None else text_of[r.doc_id]
+        *counts, base = secrets_by_hand(text)
+        assert [r.n_assign, r.n_access, r.n_hex, r.base] == [*counts, base]
+        assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
+    by_id = {r.doc_id: r for r in found}
+    assert by_id[200].n_shared == 1 and by_id[200].n_live == 0  # many owners hold it
+    assert by_id[3].n_live >= 1
+    assert by_id[300].spans == "owned:0:20" and by_id[8].spans == ""  # one owner; three owners
+    assert secrets.judged(secrets.scan(documents([]))).count() == 0
+
+
+def test_secrets_are_replaced(documents):
+    docs = documents([(1, "é token=abcdef, secret: zzzzzz!"), (2, "clean"), (3, None), (1, "é token=abcdef, secret: zzzzzz!"), (4, "token=0123456789abcdef01234567 é")])
+    got = sorted(map(tuple, secrets.redact(docs).select("doc_id", "text", "n_chars").collect()), key=str)
+    one = (1, "é [SECRET], [SECRET]!", 21)
+    assert got == [one, one, (2, "clean", 5), (3, None, None), (4, "[SECRET] é", 10)]
+    assert secrets.redact(docs).columns == docs.columns
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(bpe.vocabulary_path())
+
+
+def odd_texts():
+    rng = random.Random(6)
+    fixed = ["", "a", " \n\n  x ", "<|endoftext|>", "a<|endoftext|><|endoftext|> b<|endoftext", "\x1c\x1dx\x85\xa0y", "it's I'LL we've", "日本語" * 60, "🎉👍🏽 x" * 30, "a" * 3_000, "ab" * 500 + "<|endoftext|>", "é" * 70]
+    return fixed + ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(1, 0x2FF), rng.randrange(0x2000, 0x3100), 32, 10])) for _ in range(rng.randrange(1, 200))) for _ in range(300)]
+
+
+def test_ids_are_the_library_s_and_decode_back(tokenizer):
+    codec, texts = bpe.Codec(bpe.Vocabulary(bpe.vocabulary_path())), odd_texts()
+    for text, ids, want in zip(texts, codec.encode(texts), tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(ids, "<u4").tolist() == want.ids
+        assert codec.decode(ids) == tokenizer.decode(want.ids, skip_special_tokens=False) == text
+
+
+def test_long_and_short_words_merge_alike():
+    vocab, rng = bpe.Vocabulary(bpe.vocabulary_path()), random.Random(7)
+    words = ["".join(rng.choice("theinréouat") for _ in range(rng.randrange(2, 40))).encode() for _ in range(300)]
+    words = [w for w in words if len(w) <= bpe.WIDE]
+    for word, ids in zip(words, bpe.merge_rows(words, vocab)):
+        assert np.frombuffer(ids, "<u4").tolist() == bpe.merge_long(word, vocab)
+
+
+def test_bpe_rows(documents, tokenizer):
+    rows = [(i, x) for i, x in enumerate(odd_texts()[:20])] + [(50, None), (None, "x y"), (1, "a")]
+    got = sorted(map(tuple, bpe.round_trip(documents(rows).withColumn("n_tokens", F.lit(9)), bpe.vocabulary_path()).collect()), key=str)
+    want = []
+    for doc, text in rows:
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids
+        want.append((doc, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
+    assert got == sorted(want, key=str)
+    assert bpe.encode(documents([(1, "hello")]), bpe.vocabulary_path()).first().ids == tokenizer.encode("hello").ids
+    assert bpe.round_trip(documents([]), bpe.vocabulary_path()).count() == 0
+
+
+def contamination_by_hand(rows, items):
+    owners = {}
+    for item, text in items:
+        own = PLAIN.findall((text or "").translate(LOWER))
+        for i in range(max(1, len(own) - 12) if own else 0):
+            owners.setdefault(tuple(own[i : i + 13]), set()).add("" if item is None else str(item))
+    out = []
+    for doc, text in rows:
+        own = PLAIN.findall((text or "").translate(LOWER))
+        hit, found = [False] * len(own), set()
+        for window, who in owners.items():
+            for i in range(len(own) - len(window) + 1):
+                if tuple(own[i : i + len(window)]) == window:
+                    hit[i : i + len(window)] = [True] * len(window)
+                    found |= who
+        n = sum(hit)
+        out.append((doc, len(own), n, sorted(found), n > 0 and 20 * n >= len(own)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 150])
+def test_contamination(spark, documents, monkeypatch, block):
+    rng = random.Random(8)
+    word = lambda: rng.choice("the of and in on é9 was that is it".split())
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, text(rng.randrange(14, 40))) for i in range(6)] + [(6, "Zebra Finch"), (7, ""), (8, None), (None, text(20)), (2, text(13)), (9, items_text := text(30)), (10, items_text)]
+    rows = [(i, text(30) + " " + items[i % 6][1][: rng.randrange(20, 200)] + ". " + text(rng.randrange(200))) for i in range(40)]
+    rows += [(100, items[0][1]), (101, items[0][1].upper().replace(" ", "--")), (102, "a zebra, finch! " + text(60)), (103, None), (104, ""), (None, items_text), (100, items[0][1]), (105, text(4_000))]
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontaminate.contamination(documents(rows), table)
+    got = [(r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in found.collect()]
+    assert sorted(got, key=str) == contamination_by_hand(rows, items)
+
+
+def test_contamination_keeps_the_rest(spark, documents):
+    table = spark.createDataFrame([(1, "one two three four")], "item_id bigint, text string")
+    docs = documents([(1, "x one two three four"), (2, "clean text"), (3, None)]).withColumn("spans", F.lit(1))
+    kept = decontaminate.decontaminated(docs, table)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(2, "clean text"), (3, None)]
+    assert decontaminate.decontaminated(docs, table.limit(0)).count() == 3
+    assert decontaminate.decontaminated(documents([]), table).count() == 0
+
+
+def test_fm_index_finds_and_places():
+    rng = np.random.default_rng(9)
+    line = np.concatenate([np.append(rng.integers(1, 4, rng.integers(1, 50)), 0) for _ in range(20)])
+    index, text = decontaminate.FmIndex(line, 3), line.tolist()
+    patterns = np.array([[a, b, c] for a in (1, 2, 3) for b in (1, 2, 3) for c in (1, 2, 3)])
+    found, low, high = index.search(patterns)
+    places = {tuple(patterns[f]): sorted(index.locate(np.arange(a, b)).tolist()) for f, a, b in zip(found, low, high)}
+    want = {}
+    for i in range(len(text) - 2):
+        if 0 not in text[i : i + 3]:
+            want.setdefault(tuple(text[i : i + 3]), []).append(i)
+    assert places == want
+
+
+def long_hash(values, seed=42):
+    for v in values:
+        data = v.encode() if isinstance(v, str) else (v % 2**64).to_bytes(8, "little")
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def anchors_by_hand(text):
+    symbols = [long_hash([x]) for x in re.findall(r"[^\x20\x09-\x0D]{1,16}", text)]
+    k, s = syncmers.K, syncmers.S
+    if len(symbols) >= k:
+        minor = [long_hash(symbols[i : i + s]) for i in range(len(symbols) - s + 1)]
+        inner = k - s + 1
+        picked = [long_hash(minor[i : i + inner]) for i in range(len(minor) - inner + 1) if min(minor[i], minor[i + inner - 1]) <= min(minor[i + 1 : i + inner - 1])]
+    else:
+        picked = [long_hash(symbols)] if symbols else []
+    return sorted({x % 2**64 >> 24 for x in picked})[: syncmers.SKETCH]
+
+
+def likeness_by_hand(a, b):
+    if not a and not b:
+        return 1.0
+    least = sorted({*a, *b})[: syncmers.SKETCH]
+    return len(set(least) & set(a) & set(b)) / len(least)
+
+
+def test_syncmer_fingerprints(documents, monkeypatch):
+    rng = random.Random(10)
+    rows = [(i, " ".join(rng.choice("the of ant be cé do elk".split()) + str(rng.randrange(30)) for _ in range(rng.randrange(1, 400)))) for i in range(60)]
+    rows += [(70, ""), (71, None), (72, "日本語テキスト" * 40), (73, "one"), (74, "one two three"), (75, rows[0][1]), (80, "x" * 3_000)]
+    monkeypatch.setattr(syncmers, "ROWS_PER_RANGE", 7)
+    got = {r.doc_id: r for r in syncmers.fingerprints(documents(rows).withColumn("anchors", F.lit(1))).collect()}
+    order = sorted(rows, reverse=True)
+    for i, (doc, text) in enumerate(order):
+        text, after = text or "", order[(i + 1) % len(order)][1] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        own, changed, near = map(anchors_by_hand, (text, edited, after))
+        r = got[doc]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert r.fingerprint == ",".join(f"{x:x}" for x in own) and r.edited_fingerprint == ",".join(f"{x:x}" for x in changed)
+        assert r.near_edited == pytest.approx(likeness_by_hand(own, changed)) and r.near_next == pytest.approx(likeness_by_hand(own, near))
+    assert got[75].fingerprint == got[0].fingerprint
+
+
+def test_syncmers_of_odd_tables(documents):
+    assert syncmers.fingerprints(documents([])).count() == 0
+    one = syncmers.fingerprints(documents([(5, "a lone text of some words")])).first()
+    assert one.near_next == 1.0
+    found = syncmers.fingerprints(documents([(5, "b x y z"), (5, "b x y z"), (None, "c"), (None, None)])).collect()
+    assert len(found) == 4 and sum(r.near_next == 1.0 for r in found) >= 1
