@@ -3,14 +3,15 @@
 A signature has SLOTS minima of SLOT_BITS bits. It is cut into CHUNKS chunks of WIDTH slots; two signatures that differ in
 fewer than 2 * CHUNKS slots agree in some chunk up to one slot (pigeonhole), so each chunk is entered once for each of its slots
 with that slot left out: all pairs at a distance up to MOST_ERRORS meet under a key. Pairs of similarity 0.8 differ
-in a fifth of the slots on average and miss all keys with a chance below 1e-9; bucket mates at a larger distance
-aren't dropped before DROP_ERRORS, half the slots. All links are confirmed on the sets, by 64-bit hashes of shingles.
+in a fifth of the slots on average and miss all keys with a chance below 1e-9; mates at a larger distance
+aren't dropped. All links are confirmed on the sets, by 64-bit hashes of shingles.
 
-No bucket is expanded into its pairs. Rows of equal sets become one class first. Then each bucket's best connected member (the one
-whose buckets hold most rows) is compared with the others, which joins most of a group of copies by as many links as it has rows. What is
-left are buckets whose members are still in several components: there each member outside the bucket's largest component
-meets all members of other components, so no link between components is lost; links inside one are not needed. Members
-of the largest component are dealt over blocks of BLOCK rows and the others copied to each, so no task holds a whole bucket.
+No bucket is expanded into its pairs. Rows of equal sets become one class first. Each bucket's best connected member (the one
+whose buckets hold most rows) is its hub; a hub and all mates from its buckets are a star, of one row for each mate. Hubs are
+compared with their mates first, which joins most of a group of copies. Two mates of a bucket are in one star, so what is left is to
+compare, in each star, the members outside its largest component with members of other components: links inside a
+component aren't needed. Members are dealt over blocks of BLOCK shingles and the outsiders copied to each, so no
+task holds a whole star; a block compares by an index of its shingles and gives back confirmed links alone, one for each outsider and component.
 
 Components are found by repeated minima over links, with a table written each round; nothing is collected. A null text or
 one without words has no set, is linked with nothing and kept; its component is its own id. Each row goes by its own text: rows of
@@ -31,8 +32,10 @@ from csilake.llm.common import SPACED, chunks, mix, stored, table, texts, words
 
 CHUNKS, WIDTH = 16, 5
 SLOTS = CHUNKS * WIDTH
-MOST_ERRORS, DROP_ERRORS = 2 * CHUNKS - 1, SLOTS // 2
-BLOCK = 4_096
+SLOT_BITS = 16
+MOST_ERRORS = 2 * CHUNKS - 1
+#: Shingles of a star's members that one task holds.
+BLOCK = 1 << 21
 #: Members compared with one hub in one task.
 HUB_BLOCK = 512
 
@@ -111,7 +114,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(a, b - a)
             value, first = shingles(part.column(1))
             held = pa.array([value[first[i] : first[i + 1]].tobytes() for i in range(part.num_rows)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(set_ids(value, first)), held], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(set_ids(value, first)), held, pa.array(np.diff(first))], names=["id", "shingles", "size"])
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -126,6 +129,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     placed = pairs.withColumn("block", F.pmod(F.xxhash64("b"), F.lit(1 << 20)))
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_BLOCK).alias("n"))
     placed = placed.join(sizes, "a").withColumn("block", F.col("block") % F.col("n"))
+    sets = sets.select("id", "shingles")
     members = placed.join(sets, placed.b == sets.id).select("a", "block", F.col("b").alias("id"), "shingles")
     hubs = placed.select("a", "block").distinct().join(sets, F.col("a") == sets.id).select("a", "block", F.lit(None).cast("long").alias("id"), "shingles")
 
@@ -162,46 +166,55 @@ def components(links: DataFrame) -> DataFrame:
         now = now.drop("changed")
 
 
-def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each (key, block): pairs of a guest and another row of another component, if their signatures are near."""
-
-    def pairs(rows: list) -> tuple[np.ndarray, np.ndarray]:
-        ids, comp, guest, home = (np.array([x[i] for x in rows]) for i in range(4))
-        sign = np.frombuffer(b"".join(x[4] for x in rows), dtype=np.uint16).reshape(-1, SLOTS)
-        left, right = [], []
-        for g in np.flatnonzero(guest):
-            other = np.flatnonzero(home & (comp != comp[g]))
-            near = other[np.count_nonzero(sign[other] != sign[g], axis=1) <= DROP_ERRORS]
-            left.append(np.minimum(ids[near], ids[g]))
-            right.append(np.maximum(ids[near], ids[g]))
-        return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    def out(rows: list) -> Iterator[pa.RecordBatch]:
-        found = np.unique(np.stack(pairs(rows)), axis=1) if rows else np.zeros((2, 0), dtype=np.int64)
-        for at in range(0, found.shape[1], 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in found], names=["a", "b"])
+def _outsiders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block (a, block): links of its guests with its own members of other components."""
+
+    def links(rows: list) -> Iterator[pa.RecordBatch]:
+        own, guests = [x for x in rows if x[3]], [x for x in rows if x[2]]
+        out = []
+        if own and guests:
+            ids, component = (np.array([x[i] for x in own], dtype=np.int64) for i in (0, 1))
+            sets = [np.frombuffer(x[4], dtype=np.uint64) for x in own]
+            size = np.array([len(x) for x in sets])
+            value, member = np.concatenate(sets), np.repeat(np.arange(len(own)), size)
+            order = np.argsort(value)
+            value, member = value[order], member[order]
+            for guest, kind, _, _, held in guests:
+                mine = np.frombuffer(held, dtype=np.uint64)
+                low, high = np.searchsorted(value, mine), np.searchsorted(value, mine, side="right")
+                many = high - low
+                places = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+                both = np.bincount(member[places], minlength=len(own))
+                near = np.flatnonzero((100 * both >= 80 * (size + len(mine) - both)) & (component != kind))
+                if len(near):
+                    one = near[np.unique(component[near], return_index=True)[1]]
+                    out.extend((guest, x) for x in ids[one].tolist())
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     group, rows = None, []
     for batch in batches:
-        for key, block, *row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-            if (key, block) != group:
-                yield from out(rows)
-                group, rows = (key, block), []
+        for a, block, *row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            if (a, block) != group:
+                yield from links(rows)
+                group, rows = (a, block), []
             rows.append(row)
-    yield from out(rows)
-
-
-def crossing(buckets: DataFrame, found: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket, of different components so far, with near signatures."""
-    label = buckets.filter("n > 2").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    each = label.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = each.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top")).filter("parts > 1")
-    rows = label.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.col("top.component").alias("top")), "key")
-    rows = rows.withColumns({"guest": F.col("component") != F.col("top"), "own": F.pmod(F.xxhash64("id"), F.col("blocks"))})
+    yield from links(rows)
+
+
+def outsiders(stars: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between members of one star (hub a, mate b) that are in different components so far."""
+    members = stars.select("a", F.col("b").alias("id")).union(stars.select("a", F.col("a").alias("id")).distinct())
+    label = members.join(found, "id", "left").join(sets.select("id", "size"), "id").select("a", "id", "size", F.coalesce("component", "id").alias("component"))
+    each = label.groupBy("a", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    mixed = each.groupBy("a").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "component")).alias("top"))
+    # a star of two is its hub and one mate, which have been compared
+    open_ = mixed.filter("parts > 1 and n > 2").select("a", F.ceil(F.col("size") / BLOCK).alias("blocks"), F.col("top.component").alias("top"))
+    rows = label.join(open_, "a").withColumns({"guest": F.col("component") != F.col("top"), "own": F.pmod(F.xxhash64("id"), F.col("blocks"))})
     places = F.when(F.col("guest"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("own"))
     placed = rows.withColumn("block", F.explode(places)).withColumn("home", F.col("block") == F.col("own"))
-    ready = placed.join(signed, "id").select("key", "block", "id", "component", "guest", "home", "signature")
-    return ready.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_crossing, "a bigint, b bigint").distinct()
+    ready = placed.join(sets.select("id", "shingles"), "id").select("a", "block", "id", "component", "guest", "home", "shingles")
+    return ready.repartition("a", "block").sortWithinPartitions("a", "block").mapInArrow(_outsiders, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -216,18 +229,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = stored(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"), "buckets")
     weighed = buckets.join(buckets.groupBy("id").agg(F.sum("n").alias("weight")), "id")
     hubs = weighed.groupBy("key").agg(F.max(F.struct("weight", "id")).alias("top")).select("key", F.col("top.id").alias("a"))
-    stars = buckets.join(hubs, "key").filter("a != id").select("a", F.col("id").alias("b")).distinct()
-    stars = stored(near(stars, signed), "stars")
+    stars = stored(buckets.join(hubs, "key").filter("a != id").select("a", F.col("id").alias("b")).distinct(), "stars")
 
     # one text of each class that has a bucket mate
     wanted = classes.join(buckets.select("id").distinct(), "id", "left_semi").select("doc_id").distinct()
     some = docs.join(wanted, "doc_id").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"])
-    sets = stored(some.select("doc_id", "text").mapInArrow(_sets, "id bigint, shingles binary"), "sets")
+    sets = stored(some.select("doc_id", "text").mapInArrow(_sets, "id bigint, shingles binary, size bigint"), "sets")
 
     links = stored(confirmed(stars, sets), "links")
-    seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stored(crossing(buckets, components(links), signed).join(seen, ["a", "b"], "left_anti"), "rest")
-    whole = components(links.union(confirmed(rest, sets)))
+    whole = components(links.union(outsiders(stars, components(links), sets)))
 
     known = classes.join(whole, "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("component"))
     least = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -250,19 +260,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     return keyed.join(chosen, same, "left_semi").dropDuplicates(["_doc", "_text"]).select(*docs.columns)
 
 
-def near(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs whose signatures differ in at most DROP_ERRORS slots."""
-    both = pairs.join(signed.select(F.col("id").alias("a"), F.col("signature").alias("left")), "a")
-    both = both.join(signed.select(F.col("id").alias("b"), F.col("signature").alias("right")), "b").select("a", "b", "left", "right")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint16).reshape(-1, SLOTS) for i in (2, 3))
-            few = np.count_nonzero(left != right, axis=1) <= DROP_ERRORS
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(few)) for i in (0, 1)], names=["a", "b"])
-
-    return both.mapInArrow(run, "a bigint, b bigint")
-
-
 def op5_near_dups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))

@@ -124,10 +124,10 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("block", [near_dups.BLOCK, 2])
+@pytest.mark.parametrize("block", [near_dups.BLOCK, 200])
 def test_near_duplicates(documents, small_batches, monkeypatch, block):
     monkeypatch.setattr(near_dups, "BLOCK", block)
-    monkeypatch.setattr(near_dups, "HUB_BLOCK", block)
+    monkeypatch.setattr(near_dups, "HUB_BLOCK", block // 100)
     docs = documents(near_rows()).withColumn("id", F.lit(1))
     small_batches()
     got = near_dups.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept").collect()
