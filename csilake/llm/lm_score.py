@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from csilake.llm.common import SPACED, chunks, stored, table, texts, words
 
-VOCABULARY = 2_046
+VOCABULARY = 1_022
 BLEND = 5.0
 #: Distinct words that a task counts before it hands them on.
 HELD_WORDS = 1 << 20
