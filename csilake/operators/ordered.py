@@ -5,7 +5,8 @@ rows becomes one endless task. Here rows are cut into *blocks* along the order,
 scanned on its own, and a second pass over one row per block supplies what came before it. Blocks of
 one key run in parallel; the second pass sees one small row per non-empty block.
 
-Keys and order columns must not be null, and ``block`` must not decrease along the order.
+Rows with a null key form a key of their own, rows with a null order come first; none are dropped. ``block`` must
+not decrease along the order.
 """
 
 from __future__ import annotations
@@ -26,6 +27,13 @@ def time_block(ts: str, seconds: int = SECONDS_PER_BLOCK) -> Column:
     return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
+def _per_block(rows: DataFrame, added: DataFrame, keys: list[str]) -> DataFrame:
+    """Joins what is known per (key, block), nulls being equal."""
+    names = [*keys, "_block"]
+    other = added.withColumnsRenamed({name: f"_of_{name}" for name in names})
+    return rows.join(other, [F.col(name).eqNullSafe(F.col(f"_of_{name}")) for name in names])
+
+
 def running_total(
     df: DataFrame, keys: list[str], order: list[str], block: Column, value: Column, out: str
 ) -> DataFrame:
@@ -38,8 +46,7 @@ def running_total(
         Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        rows.withColumn("_inside", F.sum("_value").over(inside))
-        .join(prior, [*keys, "_block"])
+        _per_block(rows.withColumn("_inside", F.sum("_value").over(inside)), prior, keys)
         .select(*df.columns, (F.col("_prior") + F.col("_inside")).alias(out))
     )
 
@@ -59,9 +66,8 @@ def previous_value(df: DataFrame, keys: list[str], order: list[str], block: Colu
     along = Window.partitionBy(*keys).orderBy("_block")
     before = ends.select(*keys, "_block", F.lag("_end").over(along).alias("_before"))
     inside = Window.partitionBy(*keys, "_block").orderBy(*order)
+    lagged = rows.withColumn("_lag", F.lag(value).over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
     return (
-        rows.withColumn("_lag", F.lag(value).over(inside))
-        .withColumn("_first", F.row_number().over(inside) == 1)
-        .join(before, [*keys, "_block"])
+        _per_block(lagged, before, keys)
         .select(*df.columns, F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_lag")).alias(out))
     )

@@ -9,8 +9,8 @@ from csilake.functions.numbers import digits_only, leading_int
 from csilake.functions.text import scenario_or_default
 from csilake.operators.ordered import ROWS_PER_BLOCK, SECONDS_PER_BLOCK, arrival_block, row_numbers, running_total, time_block
 from csilake.operators.repeats import collapse_repeats
-from csilake.operators.skew import SALTS, lookup
 from csilake.schema import START_TAG
+from csilake.session import new_folder
 
 
 def read_starts(commands: DataFrame) -> DataFrame:
@@ -40,9 +40,13 @@ def session_end(start: Column, seconds: Column) -> Column:
     return start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
 
 
-def packets_per_session(packets: DataFrame, sessions: DataFrame, block_seconds: int = SECONDS_PER_BLOCK) -> DataFrame:
+def packets_per_session(
+    packets: DataFrame, sessions: DataFrame, block_seconds: int = SECONDS_PER_BLOCK, weight: Column | None = None
+) -> DataFrame:
     """Packets of the same device with ``started_at <= ts < started_at + n``, counted per session.
 
+    ``weight`` is how many packets a row stands for, one by default.
+
     No packet meets a session: both go into one time order per device, packets by their number and
     session bounds as 0, and the running total at the end bound minus that at the start bound is the count.
     Overlapping and very long sessions cost two rows each, like any other.
@@ -59,7 +63,8 @@ def packets_per_session(packets: DataFrame, sessions: DataFrame, block_seconds:
         ).alias("bound"),
     ).select("device", "bound.ts", F.lit(0).alias("weight"), "session_id", "n", "bound.sign")
     # Packets of one instant are counted before the shuffle.
-    points = packets.groupBy("device", "ts").agg(F.count("*").cast("int").alias("weight")).select(
+    many = F.count("*") if weight is None else F.sum(weight)
+    points = packets.groupBy("device", "ts").agg(many.cast("int").alias("weight")).select(
         "device",
         "ts",
         "weight",
@@ -108,19 +113,19 @@ def progress_ticks(
         points.unionByName(ticks), ["device"], ["ts", "weight"], time_block("ts", block_seconds), F.col("weight"), "seen"
     ).where(F.col("weight") == 0)
     at_start = counted.where(F.col("ts") == F.col("started_at")).select("session_id", F.col("seen").alias("_before"))
-    return lookup(counted, at_start, ["session_id"], ["ts"]).select(
+    return counted.join(at_start, "session_id").select(
         "session_id", F.col("ts").alias("tick"), (F.col("seen") - F.col("_before")).alias("in_buffer")
     )
 
 
 def bound_packets(
-    packets: DataFrame, sessions: DataFrame, bucket_seconds: int = 3600, salts: int = SALTS
+    packets: DataFrame, sessions: DataFrame, bucket_seconds: int = 3600
 ) -> DataFrame:
     """Packets with the ``session_id`` of every session that holds them.
 
     Sessions are listed in each time bucket they touch, so the join is an equality on device and
     bucket and the time bounds filter its few candidates. Buckets past the last packet are not listed.
-    The packets of a full bucket are spread over ``salts`` tasks; the narrow listing is repeated.
+    A full bucket is split at run time by the adaptive skew join, by its measured size.
     """
     last = packets.select(F.max("ts")).scalar()
 
@@ -131,24 +136,22 @@ def bound_packets(
         sessions.withColumn("_ends_at", session_end(F.col("started_at"), F.col("n")))
         .where(F.col("started_at") <= last)
         .withColumn("_bucket", F.explode(F.sequence(bucket(F.col("started_at")), bucket(F.least("_ends_at", last)))))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        .select("device", "session_id", F.col("started_at").alias("_starts_at"), "_ends_at", "_bucket", "_salt")
+        .select("device", "session_id", F.col("started_at").alias("_starts_at"), "_ends_at", "_bucket")
     )
     return (
         packets.withColumn("_bucket", bucket(F.col("ts")))
-        .withColumn("_salt", F.pmod(F.xxhash64("ts"), F.lit(salts)).cast("int"))
-        .join(spans, ["device", "_bucket", "_salt"])
+        .join(spans, ["device", "_bucket"])
         .where((F.col("ts") >= F.col("_starts_at")) & (F.col("ts") < F.col("_ends_at")))
         .select(*packets.columns, "session_id")
     )
 
 
-def tag_sessions(rows: DataFrame, sessions: DataFrame, on: list[str], spread_by: list[str]) -> DataFrame:
+def tag_sessions(rows: DataFrame, sessions: DataFrame, on: list[str]) -> DataFrame:
     """Adds the session's ``session_id``, ``captured_at`` and ``scenario`` to each row.
 
     A row whose session is not known is kept, with nulls.
     """
-    return lookup(rows, session_tags(sessions, on), on, spread_by, "left")
+    return rows.join(session_tags(sessions, on), on, "left")
 
 
 def session_tags(sessions: DataFrame, on: list[str]) -> DataFrame:
@@ -162,45 +165,31 @@ def assign_seq(rows: DataFrame, session: list[str], arrival: str, rows_per_block
 
 
 def assign_row_id(
-    rows: DataFrame,
-    date: str,
-    session: str,
-    arrival: str,
-    first_id: int = 1,
-    rows_per_block: int = ROWS_PER_BLOCK,
-    tags: DataFrame | None = None,
+    rows: DataFrame, date: str, session: str, arrival: str, first_id: int = 1, tags: DataFrame | None = None
 ) -> DataFrame:
     """Adds ``id``: 1, 2, ... over sessions in (date, session) order, in arrival order inside each.
 
-    ``first_id`` continues the numbers of earlier appends. The offsets are summed in steps: rows of a
-    block, blocks of a date, dates. Only the last step has no key, and it sees one row per date.
+    ``first_id`` continues the numbers of earlier appends. Rows are cut into ranges of that order, whatever dates and
+    sessions they fall in, and stored; a row's number is its place in its range plus the rows of the ranges
+    before, of which there is one small row each. Nulls come first; no row is dropped. Rows alike in all three
+    columns are numbered in any order.
 
-    ``tags``, one row per (date, session), are added too: they join the offsets, which are narrow and
-    cut a long session into blocks, so tagging costs the wide rows no shuffle of its own.
+    ``tags``, one row per (date, session), are added too.
     """
-    keys = [date, session, "_block"]
-    # The joins below would infer these filters for some branches only; stated here, all branches
-    # are alike and the counts per block are computed once.
-    blocked = rows.where(F.col(date).isNotNull() & F.col(session).isNotNull() & F.col(arrival).isNotNull()).withColumn(
-        "_block", arrival_block(arrival, rows_per_block)
-    ).where(F.col("_block").isNotNull())
-    blocks = blocked.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    dates = blocks.groupBy(date).agg(F.sum("_rows").alias("_date_rows"))
-    date_offsets = dates.select(
-        date, (F.sum("_date_rows").over(Window.orderBy(date)) - F.col("_date_rows")).alias("_date_offset")
-    )
-    inside_date = Window.partitionBy(date).orderBy(session, "_block")
-    offsets = (
-        blocks.withColumn("_offset", F.sum("_rows").over(inside_date) - F.col("_rows"))
-        .join(date_offsets, date)
-        .select(*keys, (F.col("_offset") + F.col("_date_offset") + F.lit(first_id - 1)).alias("_offset"))
-    )
-    added = []
-    if tags is not None:
-        offsets = offsets.join(tags, [date, session], "left")
-        added = [c for c in tags.columns if c not in (date, session)]
-    numbered = blocked.withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy(arrival)))
-    return numbered.join(offsets, keys).select((F.col("_offset") + F.col("_row")).alias("id"), *rows.columns, *added)
+    spark, order = rows.sparkSession, [date, session, arrival]
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    path = new_folder(spark, "ranges")
+    ranged.write.parquet(path)
+    stored = spark.read.schema(ranged.schema).parquet(path)
+    stored = stored.withColumns({"_range": F.shiftright("_place", 33), "_row": F.col("_place").bitwiseAND((1 << 33) - 1)})
+    counts = stored.groupBy("_range").agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_range")) - F.col("_rows")
+    offsets = counts.select("_range", (before + F.lit(first_id)).alias("_offset"))
+    numbered = stored.join(offsets, "_range").select((F.col("_offset") + F.col("_row")).alias("id"), *rows.columns)
+    if tags is None:
+        return numbered
+    added = [c for c in tags.columns if c not in (date, session)]
+    return numbered.join(tags, [date, session], "left").select("id", *rows.columns, *added)
 
 
 def progress(packets: DataFrame, session: list[str], period: str = "5 seconds") -> DataFrame:
@@ -216,9 +205,7 @@ def progress(packets: DataFrame, session: list[str], period: str = "5 seconds")
 
 
 def first_packets(packets: DataFrame, session: list[str], arrival: str) -> DataFrame:
-    """The first packet of each session.
-
-    Only the arrival number is aggregated, which hashes well; lines would have to be sorted for it.
-    """
-    firsts = packets.groupBy(*session).agg(F.min(arrival).alias(arrival))
-    return packets.join(firsts, [*session, arrival], "left_semi")
+    """The first packet of each session: one scan, and one row per session and task is shuffled."""
+    rest = F.struct(*(c for c in packets.columns if c not in session))
+    firsts = packets.groupBy(*session).agg(F.min_by(rest, arrival).alias("_first"))
+    return firsts.select(*session, "_first.*").select(*packets.columns)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from csilake.functions.text import MOBILE_SPACE, is_blank, status_label
-from csilake.operators.skew import lookup
 
 
 def validate(users: DataFrame, required: tuple[str, ...] = ("nome", "apelido")) -> tuple[DataFrame, DataFrame]:
@@ -65,13 +64,13 @@ def change_report(base: DataFrame, changes: DataFrame, order: list[str]) -> Data
     inserted = changes.groupBy("id").agg(F.min(F.when(F.col("op") == "I", at)).alias("_born"))
     known = base.select("id").withColumn("_known", F.lit(True))
     lifetimes = inserted.join(known, "id", "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
-    born = lookup(changes, lifetimes, ["id"], order).withColumn(
+    born = changes.join(lifetimes, "id").withColumn(
         "_alive_from", F.col("_known") | F.coalesce(at >= F.col("_born"), F.lit(False))
     )
     first_delete = born.groupBy("id").agg(
         F.min(F.when((F.col("op") == "D") & F.col("_alive_from"), at)).alias("_died")
     )
-    judged = lookup(born, first_delete, ["id"], order)
+    judged = born.join(first_delete, "id")
     met = F.col("_alive_from") & (F.col("_died").isNull() | (at <= F.col("_died")))
     return judged.groupBy("op").agg(
         F.count_if(met).alias("applied"), F.count_if(~met).alias("unmatched")

@@ -372,7 +372,8 @@ oracle(
       UNION ALL SELECT 'start' FROM events WHERE event_type = 'signup') GROUP BY route""",
 )
 ORACLE["stream_progress"] = ORACLE["progress_5s"]
-oracle("stream_discovery_dedup", "SELECT DISTINCT device, address FROM announcements WHERE announces")
+ORACLE["stream_discovery_dedup"] = ORACLE["discovery_dedup"]
+ORACLE["stream_reject_counts"] = ORACLE["reject_reasons"]
 ORACLE["stream_failure_streaks"] = ORACLE["failure_streaks"]
 # One session at a time: the next session of a device is its first start at or after the last end.
 ORACLE["stream_session_timer"] = FRAMES.replace("WITH payloads", "WITH RECURSIVE payloads", 1) + """, ran AS (

@@ -129,9 +129,9 @@ def filter_sender_list(spark, sf_dir):
     allowed = inputs.table(spark, sf_dir, "events").where("event_type = 'error' and event_id % 11 = 0").select(
         inputs.device_mac(F.col("user_id")).alias("mac")
     ).distinct()
-    kept = control.allowed_senders(frames, allowed).groupBy("mac").agg(F.count("*").alias("n"))
-    others = control.allowed_senders(frames, allowed, keep=False).groupBy("mac").agg(F.count("*").alias("n"))
-    return kept.withColumn("allowed", F.lit(True)).unionByName(others.withColumn("allowed", F.lit(False)))
+    counts = frames.groupBy("mac").agg(F.count("*").alias("n"))
+    listed = counts.join(allowed.withColumn("allowed", F.lit(True)), "mac", "left")
+    return listed.select("mac", "n", F.coalesce("allowed", F.lit(False)).alias("allowed"))
 
 
 @query
@@ -145,7 +145,7 @@ def scenario_summary(spark, sf_dir):
 @query
 def tag_sessions(spark, sf_dir):
     packets = inputs.packet_times(spark, sf_dir)
-    tagged = sessions.tag_sessions(packets, inputs.session_table(spark, sf_dir), SESSION, ["arrival"])
+    tagged = sessions.tag_sessions(packets, inputs.session_table(spark, sf_dir), SESSION)
     return tagged.select("arrival", "session_id", "captured_at", "scenario")
 
 
@@ -179,7 +179,7 @@ def overwrite_session(spark, sf_dir):
 def union_profiles(spark, sf_dir):
     """Desktop rows and mobile rows, each under its own column names, as one table."""
     rows = sessions.tag_sessions(
-        _wire_rows(spark, sf_dir), inputs.session_table(spark, sf_dir), SESSION, ["event_id"]
+        _wire_rows(spark, sf_dir), inputs.session_table(spark, sf_dir), SESSION
     ).select("event_id", "captured_at", "scenario", *WIRE_NAMES)
     desktop = views.to_stored_names(rows.where("event_id % 2 = 0").drop("event_id"), "desktop")
     mobile = views.to_stored_names(rows.where("event_id % 2 = 1").drop("event_id"), "mobile")

@@ -5,36 +5,69 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from csilake.operators import sessions
+from csilake.operators import control, sessions
 from csilake.plans import inputs
 from csilake.plans.queries import PROGRESS_PERIOD, SESSION, STREAK_THRESHOLD, messages, query
 from csilake.schema import WIRE_NAMES
 from csilake.session import new_folder
 from csilake.sources import landed
-from csilake.streaming import ingest, stateful, updates, windows
+from csilake.streaming import ingest, stateful, windows
 
 
-def _landed(spark, rows):
+BATCHES = 3
+
+
+def _parts(rows, order):
+    """The rows in BATCHES parts along ``order``, as they would land one after the other."""
+    at = F.col(order).cast("bigint") if dict(rows.dtypes)[order] != "timestamp_ntz" else F.unix_micros(F.col(order).cast("timestamp"))
+    low, high = rows.select(F.min(at), F.max(at)).first()
+    width = ((high or 0) - (low or 0)) // BATCHES + 1
+    return [rows.where(F.coalesce(F.floor((at - (low or 0)) / width), F.lit(0)) == k) for k in range(BATCHES)]
+
+
+def _run(spark, rows, order, start):
+    """Lands the parts and runs the stream to its end after each: one batch or more per part."""
     path = new_folder(spark, "landed")
-    rows.write.parquet(path)
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    for part in _parts(rows, order):
+        part.write.mode("append").parquet(path)
+        start(spark.readStream.schema(part.schema).parquet(path)).awaitTermination()
+
+
+def _run_lines(spark, rows, order, start, columns=()):
+    path = new_folder(spark, "landed")
+    for part in _parts(rows, order):
+        landed.land_lines(part, path, list(columns))
+        start(ingest.read_line_stream(spark, path, ", ".join(f"{c} string" for c in columns))).awaitTermination()
+
+
+def _ingested(spark, sf_dir):
+    table, rejects, checkpoint = (new_folder(spark, x) for x in ("packets", "rejects", "checkpoint"))
+    _run_lines(
+        spark, inputs.csi_lines(spark, sf_dir), "event_id",
+        lambda lines: ingest.start_ingest(lines, table, checkpoint, partition_by=["scenario"], rejects=rejects, keep=["scenario"]), ["scenario"],
+    )
+    return spark.read.parquet(table), spark.read.parquet(rejects)
 
 
 @query
 def stream_ingest(spark, sf_dir):
-    path, table = new_folder(spark, "landed"), new_folder(spark, "packets")
-    landed.land_lines(inputs.csi_lines(spark, sf_dir), path, ["scenario"])
-    lines = ingest.read_line_stream(spark, path, "scenario string")
-    ingest.start_ingest(lines, table, new_folder(spark, "checkpoint"), partition_by=["scenario"]).awaitTermination()
-    return spark.read.parquet(table).select("scenario", *WIRE_NAMES)
+    return _ingested(spark, sf_dir)[0].select("scenario", *WIRE_NAMES)
+
+
+@query
+def stream_reject_counts(spark, sf_dir):
+    """What the stream rejected, by reason."""
+    return _ingested(spark, sf_dir)[1].groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query
 def stream_route_counts(spark, sf_dir):
-    path, stored = new_folder(spark, "landed"), new_folder(spark, "routed")
-    landed.land_lines(messages(spark, sf_dir), path)
-    lines = ingest.read_line_stream(spark, path)
-    ingest.start_routing(lines, stored, new_folder(spark, "checkpoint")).awaitTermination()
+    stored, checkpoint = new_folder(spark, "routed"), new_folder(spark, "checkpoint")
+    rows = messages(spark, sf_dir).withColumn("_part", F.pmod(F.xxhash64("value"), F.lit(BATCHES)))
+    path = new_folder(spark, "landed")
+    for part in range(BATCHES):
+        landed.land_lines(rows.where(F.col("_part") == part).drop("_part"), path)
+        ingest.start_routing(ingest.read_line_stream(spark, path), stored, checkpoint).awaitTermination()
     kept = spark.read.parquet(f"{stored}/packets").select(F.lit("packet").alias("route"))
     bad = spark.read.parquet(f"{stored}/rejects").select(F.lit("reject").alias("route"))
     other = spark.read.parquet(f"{stored}/messages").select("route")
@@ -43,34 +76,25 @@ def stream_route_counts(spark, sf_dir):
 
 @query
 def stream_progress(spark, sf_dir):
-    packets = _landed(spark, inputs.packet_times(spark, sf_dir))
-    table = new_folder(spark, "progress")
-    counts = windows.progress_counts(packets, SESSION, PROGRESS_PERIOD)
-    updates.start_updates(counts, table, new_folder(spark, "checkpoint")).awaitTermination()
+    table, checkpoint = new_folder(spark, "progress"), new_folder(spark, "checkpoint")
+    start = lambda packets: windows.start_progress(packets, table, checkpoint, SESSION, PROGRESS_PERIOD)
+    _run(spark, inputs.packet_times(spark, sf_dir), "arrival", start)
     so_far = Window.partitionBy(*SESSION).orderBy("tick").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return updates.latest(spark, table, [*SESSION, "tick"]).withColumn("in_buffer", F.sum("packets").over(so_far))
+    return windows.progress_so_far(spark, table, SESSION).withColumn("in_buffer", F.sum("packets").over(so_far))
 
 
 @query
 def stream_discovery_dedup(spark, sf_dir):
-    log = _landed(spark, inputs.discovery_log(spark, sf_dir))
-    table = new_folder(spark, "announcements")
-    query_ = (
-        windows.first_announcements(log)
-        .writeStream.format("parquet")
-        .option("checkpointLocation", new_folder(spark, "checkpoint"))
-        .trigger(availableNow=True)
-        .start(table)
-    )
-    query_.awaitTermination()
-    return spark.read.parquet(table)
+    table, checkpoint = new_folder(spark, "announcements"), new_folder(spark, "checkpoint")
+    _run(spark, inputs.discovery_log(spark, sf_dir), "ts", lambda log: windows.start_announcements(log, table, checkpoint))
+    return windows.announcements_so_far(spark, table, control.ANNOUNCEMENT_GAP_SECONDS)
 
 
 @query
 def stream_failure_streaks(spark, sf_dir):
-    events = _landed(spark, inputs.link_events(spark, sf_dir))
-    state = new_folder(spark, "streaks")
-    stateful.start_streaks(events, state, new_folder(spark, "checkpoint"), STREAK_THRESHOLD).awaitTermination()
+    state, checkpoint = new_folder(spark, "streaks"), new_folder(spark, "checkpoint")
+    start = lambda events: stateful.start_streaks(events, state, checkpoint, STREAK_THRESHOLD)
+    _run(spark, inputs.link_events(spark, sf_dir), "arrival", start)
     return stateful.streaks_so_far(spark, state, STREAK_THRESHOLD).withColumnRenamed("device", "user_id")
 
 
@@ -82,7 +106,7 @@ def stream_session_timer(spark, sf_dir):
     packets = inputs.packet_times(spark, sf_dir).select(
         "device", "ts", F.lit(True).alias("is_packet"), F.lit(None).cast("bigint").alias("session_id"), F.lit(None).cast("int").alias("n")
     )
-    state, counts = new_folder(spark, "timed"), new_folder(spark, "timed-packets")
-    stream = _landed(spark, packets.unionByName(marks))
-    stateful.start_session_timer(stream, state, counts, new_folder(spark, "checkpoint")).awaitTermination()
+    state, counts, checkpoint = (new_folder(spark, x) for x in ("timed", "timed-packets", "checkpoint"))
+    start = lambda rows: stateful.start_session_timer(rows, state, counts, checkpoint)
+    _run(spark, packets.unionByName(marks), "ts", start)
     return stateful.sessions_so_far(spark, state, counts)

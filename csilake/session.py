@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,6 +19,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .appName("csilake")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", memory)
+        .config("spark.sql.files.maxPartitionBytes", "1m")
+        .config("spark.sql.files.openCostInBytes", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
@@ -35,15 +38,23 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, a laptop) gets a local folder.
+    Only a session whose executors are threads of the driver (tests, a laptop) may do without that setting:
+    it gets one local folder. Any other raises, since its executors would not see each other's files.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        folder = tempfile.mkdtemp(prefix="csilake-")
-        spark.sparkContext.setCheckpointDir(folder)
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {context.master} share")
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="csilake-")
+        folder = _LOCAL[context.applicationId]
     return folder.rstrip("/")
 
 

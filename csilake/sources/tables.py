@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 SESSION_DATE = "session_date"
@@ -50,6 +52,10 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def delete_all(spark: SparkSession, path: str) -> None:
-    """Empty the table, keep its schema."""
-    schema = spark.read.parquet(path).schema
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    """Empty the table; its schema and its partition columns stay."""
+    stored = spark.read.parquet(path)
+    files = stored.select("_metadata.file_path").limit(1).collect()
+    folders = re.findall(r"/([^/=]+)=[^/]*", files[0][0].removeprefix("file:")) if files else []
+    layout = [c for c in stored.columns if c in folders]
+    empty = spark.createDataFrame([], stored.schema)
+    empty.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*layout).parquet(path)

@@ -27,18 +27,30 @@ def read_line_stream(
 
 def start_ingest(
     lines: DataFrame, table: str, checkpoint: str, profile: str = "strict", partition_by: list[str] | None = None,
-    every: str | None = None,
+    every: str | None = None, rejects: str | None = None, keep: list[str] | None = None,
 ) -> StreamingQuery:
-    """Accepted packets to a table, each exactly once. Without ``every`` it ends with the landed files."""
+    """Accepted packets to ``table``, rejected lines with their reason and the columns ``keep`` to ``rejects``.
+
+    Each batch has folders of its own and overwrites them when it is repeated, so each line is stored exactly once.
+    Without ``every`` it ends with the landed files.
+    """
     decode = "mobile" if profile == "strict" else "desktop"
-    rows = accepted(classify_lines(ingest_lines(lines, decode), profile)).drop("payload")
-    writer = (
-        rows.writeStream.format("parquet")
-        .partitionBy(*(partition_by or []))
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-    )
-    return _triggered(writer, every).start(table)
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
+        classified = classify_lines(batch, profile).persist()
+        try:
+            outputs = [(table, accepted(classified).drop("payload"), partition_by or [])]
+            if rejects is not None:
+                outputs.append((rejects, rejected(classified, keep or []), []))
+            for path, rows, layout in outputs:
+                rows.write.mode("overwrite").partitionBy(*layout).parquet(f"{path}/batch_id={batch_id}")
+        finally:
+            classified.unpersist()
+
+    writer = ingest_lines(lines, decode).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    return _triggered(writer, every).start()
 
 
 def start_routing(messages: DataFrame, tables: str, checkpoint: str, every: str | None = None) -> StreamingQuery:

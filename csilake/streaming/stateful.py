@@ -1,9 +1,9 @@
-"""Per-device state over a stream: failure counters and the session timer.
+"""Failure counters and the session timer over a stream.
 
-Each batch reads the state the batch before it stored and stores its own, under a folder per batch that
+Failure counters: each batch reads the state the batch before it stored and stores its own, under a folder per batch that
 a repeated batch overwrites. Inside a batch all operators of the batch jobs can be used, so a device
 that sends most of the rows is still spread over many tasks, which a per-key state function cannot do.
-Rows count in arrival order; batches follow the order in which files land.
+Their rows count in arrival order; batches follow the order in which files land. The session timer keeps no state.
 """
 
 from __future__ import annotations
@@ -30,18 +30,13 @@ def start_with_state(
     checkpoint: str,
     advance: Callable[[DataFrame, DataFrame], DataFrame],
     every: str | None = None,
-    then: Callable[[DataFrame, DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
-    """``advance(batch, state before)`` gives the state after the batch; ``then(batch, state, batch id)``
-    runs once that state is stored."""
+    """``advance(batch, state before)`` gives the state after the batch."""
     spark = rows.sparkSession
 
     def save(batch: DataFrame, batch_id: int) -> None:
         before = spark.read.schema(schema).parquet(f"{state}/batch_id={batch_id - 1}") if batch_id else _none(spark, schema)
-        folder = f"{state}/batch_id={batch_id}"
-        advance(batch, before).write.mode("overwrite").parquet(folder)
-        if then is not None:
-            then(batch, spark.read.schema(schema).parquet(folder), batch_id)
+        advance(batch, before).write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
 
     writer = rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
@@ -122,35 +117,30 @@ def open_sessions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def start_session_timer(messages: DataFrame, state: str, counts: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Input: device, ts, is_packet, and for start commands session_id and n (seconds).
 
-    Sessions go to ``state``, the packets each batch adds to them to ``counts``. Only start commands, one
-    per device and instant, are scanned in order per device; packets are counted in time blocks.
+    Each batch stores its start commands in ``state`` and its packets, counted per device and instant, in ``counts``. Which
+    starts were heard follows from all of them, so a packet or a start that lands late counts as if in time.
     """
 
-    def advance(batch: DataFrame, before: DataFrame) -> DataFrame:
-        heard = (
-            batch.where(~F.col("is_packet") & (F.col("n") > 0))
-            .groupBy("device", "ts")
-            .agg(F.min(F.struct("session_id", "n")).alias("_first"))
-            .select("device", "ts", "_first.session_id", "_first.n", F.lit(0).alias("carried"))
-        )
-        last = before.groupBy("device").agg(F.max(F.struct(F.col("started_at").alias("ts"), "session_id", "n")).alias("_last"))
-        carried = last.select("device", "_last.*", F.lit(1).alias("carried"))
-        # The session carried over comes first, also where starts from before it land late.
-        ordered = heard.unionByName(carried).repartition("device").sortWithinPartitions("device", F.desc("carried"), "ts")
-        return ordered.mapInPandas(open_sessions, SESSION_STATE)
-
-    def count(batch: DataFrame, sessions: DataFrame, batch_id: int) -> None:
-        packets = batch.where("is_packet").select("device", "ts")
-        packets_per_session(packets, sessions).write.mode("overwrite").parquet(f"{counts}/batch_id={batch_id}")
+    def save(batch: DataFrame, batch_id: int) -> None:
+        starts = batch.where(~F.col("is_packet") & (F.col("n") > 0)).groupBy("device", "ts").agg(F.min(F.struct("session_id", "n")).alias("first"))
+        starts.select("device", "ts", "first.*").write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+        packets = batch.where("is_packet").groupBy("device", "ts").agg(F.count("*").alias("packets"))
+        packets.write.mode("overwrite").parquet(f"{counts}/batch_id={batch_id}")
 
-    return start_with_state(messages, state, SESSION_STATE, checkpoint, advance, every, count)
+    writer = messages.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
 
 
 def sessions_so_far(spark: SparkSession, state: str, counts: str) -> DataFrame:
-    """(session_id, device, started_at, ends_at, packets) of every session of the stream."""
-    sessions = spark.read.parquet(state).select("session_id", "device", "started_at", "n").distinct()
-    packets = spark.read.parquet(counts).groupBy("session_id").agg(F.sum("packets").alias("packets"))
-    return sessions.join(packets, "session_id", "left").select(
+    """(session_id, device, started_at, ends_at, packets) of every session of the stream.
+
+    Only start commands, one per device and instant, are scanned in order per device; packets are counted in time blocks.
+    """
+    first = spark.read.parquet(state).groupBy("device", "ts").agg(F.min(F.struct("session_id", "n")).alias("first"))
+    ordered = first.select("device", "ts", "first.*").repartition("device").sortWithinPartitions("device", "ts")
+    sessions = ordered.mapInPandas(open_sessions, SESSION_STATE)
+    packets = packets_per_session(spark.read.parquet(counts), sessions, weight=F.col("packets"))
+    return sessions.join(packets.select("session_id", "packets"), "session_id", "left").select(
         "session_id", "device", "started_at", session_end(F.col("started_at"), F.col("n")).alias("ends_at"),
         F.coalesce("packets", F.lit(0)).alias("packets"),
     )

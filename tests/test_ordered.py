@@ -11,7 +11,6 @@ from csilake.operators import sessions
 from csilake.operators.control import discovery_dedup
 from csilake.operators.ordered import arrival_block, previous_value, row_numbers, running_total
 from csilake.operators.repeats import collapse_repeats
-from csilake.operators.skew import lookup
 from csilake.operators.streaks import failure_streaks
 
 T0 = datetime(2024, 1, 1)
@@ -55,7 +54,7 @@ def test_assign_seq_and_row_id(spark, rows_per_block):
     order = sorted(data, key=lambda r: (r[2], r[1], r[0]))
     ids = {r[0]: 101 + i for i, r in enumerate(order)}
     tags = df.select("d", "k").distinct().withColumn("tag", F.concat_ws("-", "k", "d"))
-    found = sessions.assign_row_id(df, "d", "k", "arrival", 101, rows_per_block, tags).collect()
+    found = sessions.assign_row_id(df, "d", "k", "arrival", 101, tags).collect()
     assert {r["arrival"]: r["id"] for r in found} == ids
     assert all(r["tag"] == f"{r['k']}-{r['d']}" for r in found)
 
@@ -166,16 +165,21 @@ def test_failure_streaks(spark, rows_per_block, threshold):
     assert {r["device"]: (r["max_streak"], r["hits"]) for r in found.collect()} == expected
 
 
-def test_lookup_keeps_every_row_of_a_hot_key(spark):
-    df = spark.createDataFrame(skewed(), "arrival bigint, k bigint, v int")
-    dim = df.select("k").distinct().withColumn("name", F.concat(F.lit("n"), "k"))
-    found = lookup(df, dim, ["k"], ["arrival"])
-    assert found.columns == ["k", "arrival", "v", "name"]
-    assert found.count() == 600 and found.where("name <> concat('n', k)").count() == 0
-
-
 def test_tagging_keeps_rows_without_a_session(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "arrival bigint, s string")
     known = spark.createDataFrame([("a", "id-a", T0, "")], "s string, session_id string, captured_at timestamp_ntz, scenario string")
-    found = sessions.tag_sessions(rows, known, ["s"], ["arrival"]).select("arrival", "session_id", "captured_at", "scenario")
+    found = sessions.tag_sessions(rows, known, ["s"]).select("arrival", "session_id", "captured_at", "scenario")
     assert sorted(map(tuple, found.collect())) == [(1, "id-a", T0, "N/A"), (2, None, None, None), (3, "id-a", T0, "N/A")]
+
+
+def test_null_keys_and_orders_are_kept(spark):
+    schema = "arrival bigint, k bigint, d date"
+    rows = spark.createDataFrame([(1, None, None), (2, None, None), (3, 1, T0.date()), (None, 1, T0.date())], schema)
+    assert sorted(r["seq"] for r in sessions.assign_seq(rows, ["k", "d"], "arrival").collect()) == [0, 0, 1, 1]
+    assert sorted(r["id"] for r in sessions.assign_row_id(rows, "d", "k", "arrival").collect()) == [1, 2, 3, 4]
+
+
+def test_row_ids_of_many_interleaved_sessions(spark):
+    rows = spark.range(40_000).selectExpr("id AS arrival", "id % 20000 AS k", "date'2024-01-01' AS d")
+    found = sessions.assign_row_id(rows, "d", "k", "arrival")
+    assert found.selectExpr("count_if(id = k * 2 + 1 + int(arrival / 20000)) AS n").first().n == 40_000

@@ -7,7 +7,7 @@ from csilake.operators import wire
 from csilake.operators.streaks import failure_streaks
 from csilake.schema import WIRE_NAMES
 from csilake.sources import landed
-from csilake.streaming import ingest, stateful, updates, windows
+from csilake.streaming import ingest, stateful, windows
 from samples import frame, line
 
 T0 = datetime(2024, 1, 1)
@@ -78,24 +78,70 @@ def test_session_timer_over_batches(spark, folder):
     assert {r["session_id"]: [r["device"], r["started_at"], r["ends_at"], r["packets"]] for r in found.collect()} == expected
 
 
-def test_progress_and_announcements(spark, folder):
-    data = [(i, "s" if i % 3 else "t", T0 + timedelta(seconds=i)) for i in range(40)]
+def test_progress_with_late_rows(spark, folder):
+    data = [(i, "s" if i % 3 else "t", T0 + timedelta(seconds=i)) for i in range(60)]
+    late = sorted(data, key=lambda r: (r[0] % 3 == 0, r[0]))  # one device lands last
     schema = "arrival bigint, s string, ts timestamp_ntz"
-    for part in range(2):
-        spark.createDataFrame(data[part * 20 : part * 20 + 20], schema).write.mode("append").parquet(f"{folder}/in")
-        counts = windows.progress_counts(stream_of(spark, f"{folder}/in", schema), ["s"], "15 seconds")
-        updates.start_updates(counts, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    found = {(r["s"], r["tick"]): r["packets"] for r in updates.latest(spark, f"{folder}/out", ["s", "tick"]).collect()}
+    for part in range(3):
+        spark.createDataFrame(late[part * 20 : part * 20 + 20], schema).write.mode("append").parquet(f"{folder}/in")
+        packets = stream_of(spark, f"{folder}/in", schema)
+        windows.start_progress(packets, f"{folder}/out", f"{folder}/checkpoint", ["s"], "15 seconds").awaitTermination()
     expected = {}
     for i, s, _ in data:
         key = (s, T0 + timedelta(seconds=15 * (i // 15) + 15))
         expected[key] = expected.get(key, 0) + 1
-    assert found == expected
+    assert {(r["s"], r["tick"]): r["packets"] for r in windows.progress_so_far(spark, f"{folder}/out", ["s"]).collect()} == expected
+
 
-    log = [(1, T0 + timedelta(seconds=2 * i), "CSI_IP,10.0.0.1") for i in range(10)] + [(1, T0, "HELLO,1"), (2, T0, "CSI_IP,10.0.0.2")]
+def test_announcements_do_not_depend_on_cuts(spark, folder):
+    log = [(1, T0 + timedelta(seconds=2 * i + h * 3600), "CSI_IP,10.0.0.1") for h in range(2) for i in range(10)]
+    log += [(1, T0, "HELLO,1"), (2, T0, "CSI_IP,10.0.0.2")]
     schema = "device bigint, ts timestamp_ntz, msg string"
-    spark.createDataFrame(log, schema).write.parquet(f"{folder}/log")
-    once = windows.first_announcements(stream_of(spark, f"{folder}/log", schema))
-    query = once.writeStream.format("parquet").option("checkpointLocation", f"{folder}/c2").trigger(availableNow=True).start(f"{folder}/once")
-    query.awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(f"{folder}/once").collect())) == [(1, "10.0.0.1"), (2, "10.0.0.2")]
+    for cuts in (1, 4):
+        rows = log if cuts == 1 else log[::-1]
+        for part in range(cuts):
+            spark.createDataFrame(rows[part::cuts], schema).write.mode("append").parquet(f"{folder}/log{cuts}")
+            stream = stream_of(spark, f"{folder}/log{cuts}", schema)
+            windows.start_announcements(stream, f"{folder}/out{cuts}", f"{folder}/c{cuts}").awaitTermination()
+    one, four = (sorted(map(tuple, windows.announcements_so_far(spark, f"{folder}/out{c}", 10).collect())) for c in (1, 4))
+    assert one == four and [r[-1] for r in one] == [10, 10, 1]
+
+
+def test_session_timer_counts_late_packets(spark, folder):
+    at = lambda s: T0 + timedelta(seconds=s)
+    parts = [[(1, at(0), False, 7, 10), (1, at(1), True, None, None)], [(1, at(20), False, 8, 10)], [(1, at(5), True, None, None), (1, at(25), True, None, None)]]
+    schema = "device bigint, ts timestamp_ntz, is_packet boolean, session_id bigint, n int"
+    for part in parts:
+        spark.createDataFrame(part, schema).write.mode("append").parquet(f"{folder}/in")
+        stream = stream_of(spark, f"{folder}/in", schema)
+        stateful.start_session_timer(stream, f"{folder}/state", f"{folder}/counts", f"{folder}/checkpoint").awaitTermination()
+    found = stateful.sessions_so_far(spark, f"{folder}/state", f"{folder}/counts")
+    assert sorted((r["session_id"], r["packets"]) for r in found.collect()) == [(7, 2), (8, 1)]
+
+
+def test_rejects_of_the_stream_are_kept(spark, folder):
+    landed.land_lines(frame(spark, [line(0), line(1, rssi="x"), "CSI_DATA,1"]), f"{folder}/in")
+    stream = ingest.read_line_stream(spark, f"{folder}/in")
+    ingest.start_ingest(stream, f"{folder}/t", f"{folder}/c", rejects=f"{folder}/r").awaitTermination()
+    assert spark.read.parquet(f"{folder}/t").count() == 1
+    assert sorted(r["reason"] for r in spark.read.parquet(f"{folder}/r").collect()) == ["bad_number", "field_count"]
+
+
+def test_scratch_must_be_shared(spark, monkeypatch):
+    import pytest
+
+    from csilake import session
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+
+    with pytest.raises(RuntimeError):
+        session.new_folder(Session(), "x")
+    assert session.new_folder(spark, "x") != session.new_folder(spark, "x")
