@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from csilake.operators.control import route
 from csilake.operators.wire import accepted, classify_lines, rejected
-from csilake.sources.landed import clean_lines, ingest_lines
+from csilake.sources.landed import clean_lines
 
 
 def read_line_stream(
@@ -49,7 +49,7 @@ def start_ingest(
         finally:
             classified.unpersist()
 
-    writer = ingest_lines(lines, decode).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    writer = clean_lines(lines, decode).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return _triggered(writer, every).start()
 
 
