@@ -81,7 +81,7 @@ class Ftrl:
     """State per coordinate; one row at a time. The last coordinate is the bias, free of L1."""
 
     def __init__(self, size: int, bias: float):
-        self.z, self.n, self.start = np.zeros(size + 1), np.zeros(size + 1, dtype=np.float32), bias
+        self.z, self.n, self.start = np.zeros(size + 1, dtype=np.float32), np.zeros(size + 1, dtype=np.float32), bias
 
     def weight(self, at: np.ndarray) -> np.ndarray:
         z, n = self.z[at], self.n[at]
@@ -125,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Weights
     for _ in range(EPOCHS if 0 < toxic < n else 0):
         for row in kept.toLocalIterator():
             model.learn(np.frombuffer(row.features, dtype=np.int32), row.label)
-    held = np.flatnonzero(np.abs(model.z[:-1]) > L1)
+    held = np.flatnonzero((model.z[:-1] > L1) | (model.z[:-1] < -L1))
     weight = model.weight(held)
     if len(held) > WEIGHTS_MOST:
         raise ValueError(f"{len(held)} weights; raise L1")
