@@ -11,6 +11,7 @@ simple comparisons run inside the files; it needs ``spark.sql.python.filterPushd
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sqlite3
@@ -138,8 +139,8 @@ class PushdownReader(SqliteReader):
             column = item.attribute[0] if len(item.attribute) == 1 else None
             if column in _PUSHABLE and type(item) in _COMPARE and item.value is not None:
                 self.where.append((column, f"{_COMPARE[type(item)]} ?", [item.value]))
-            elif column in _PUSHABLE and isinstance(item, In) and len(item.value) <= 500 and None not in item.value:
-                self.where.append((column, f"IN ({','.join('?' * len(item.value))})", list(item.value)))
+            elif column in _PUSHABLE and isinstance(item, In) and None not in item.value:
+                self.where.append((column, "IN (SELECT value FROM json_each(?))", [json.dumps(list(item.value))]))
             else:
                 yield item
 
@@ -161,6 +162,13 @@ def _to_batch(rows: list[tuple], names: list[str], kinds: dict[str, str], schema
                 bad[i].append(name)
             typed.append(number)
         columns[name] = typed
+    stamps = None
+    if "captured_at" in columns:
+        kind = schema.field("captured_at").type if "captured_at" in schema.names else pa.timestamp("us")
+        stamps = _stamps(columns["captured_at"], kind)
+        for i, (text, stamp) in enumerate(zip(columns["captured_at"], stamps)):
+            if text is not None and not stamp.is_valid:
+                bad[i].append("captured_at")
     arrays = []
     for field in schema:
         if field.name == "file":
@@ -168,7 +176,7 @@ def _to_batch(rows: list[tuple], names: list[str], kinds: dict[str, str], schema
         elif field.name == "bad_fields":
             arrays.append(pa.array(bad, field.type))
         elif field.name == "captured_at":
-            arrays.append(_stamps(columns["captured_at"], field.type))
+            arrays.append(stamps)
         elif pa.types.is_string(field.type):
             arrays.append(pa.array([None if v is None else str(v) for v in columns[field.name]], field.type))
         else:
@@ -210,14 +218,17 @@ def _list_files(path: str) -> list[tuple[str, int]]:
     found = []
     for folder, _, names in os.walk(root):
         for name in names:
-            if name.endswith(".db"):
+            # users choose the names; hidden files and SQLite's own side files are no tables
+            if name[0] not in "._" and not name.endswith(("-wal", "-shm", "-journal")):
                 full = os.path.join(folder, name)
                 found.append((full, os.path.getsize(full)))
     return sorted(found)
 
 
 def _open_readonly(path: str) -> closing:
-    return closing(sqlite3.connect(f"file:{quote(path)}?mode=ro&immutable=1", uri=True))
+    """A file with a write-ahead log beside it is opened with the log, any other as one that nobody writes."""
+    fixed = "" if os.path.exists(f"{path}-wal") else "&immutable=1"
+    return closing(sqlite3.connect(f"file:{quote(path)}?mode=ro{fixed}", uri=True))
 
 
 @dataclass

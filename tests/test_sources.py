@@ -156,3 +156,14 @@ def test_functions_travel_to_workers_without_the_package(spark, folder):
     code = "import pyspark.cloudpickle as c, sys; print(len(c.loads(open('sent', 'rb').read())), 'csilake' in sys.modules)"
     done = subprocess.run([sys.executable, "-c", code], cwd=folder, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
     assert done.stdout.split() == ["2", "False"], done.stderr
+
+
+def test_collector_files_of_any_name_and_long_lists(spark, folder):
+    spark.dataSource.register(CollectorSqlite)
+    rows = [stored(i, "2024-03-01T10:00:00", "walk") for i in range(4)]
+    write_collector_file(f"{folder}/survey.sqlite3", "desktop", rows[:2])
+    write_collector_file(f"{folder}/no ending", "desktop", rows[2:])
+    write_collector_file(f"{folder}/.hidden.db", "desktop", rows)
+    found = spark.read.format("collector_sqlite").load(folder)
+    assert found.count() == 4
+    assert found.where(F.col("id").isin(*range(1, 2_000))).count() == 4
