@@ -164,28 +164,32 @@ def assign_seq(rows: DataFrame, session: list[str], arrival: str, rows_per_block
     return row_numbers(rows, session, [arrival], arrival_block(arrival, rows_per_block), "seq")
 
 
-def assign_row_id(
-    rows: DataFrame, date: str, session: str, arrival: str, first_id: int = 1, tags: DataFrame | None = None
-) -> DataFrame:
-    """Adds ``id``: 1, 2, ... over sessions in (date, session) order, in arrival order inside each.
+def number_rows(rows: DataFrame, order: list[str], out: str, first: int = 1) -> DataFrame:
+    """Adds ``out``: first, first + 1, ... along ``order``, without a gap.
 
-    ``first_id`` continues the numbers of earlier appends. Rows are cut into ranges of that order, whatever dates and
-    sessions they fall in, and stored; a row's number is its place in its range plus the rows of the ranges
-    before, of which there is one small row each. Nulls come first; no row is dropped. Rows alike in all three
-    columns are numbered in any order.
-
-    ``tags``, one row per (date, session), are added too.
+    Rows are cut into ranges of that order, whatever keys they fall in, and stored; a row's number is its place in its
+    range plus the rows of the ranges before, of which there is one small row each. Nulls come first; no row is
+    dropped. Rows alike in all order columns are numbered in any order.
     """
-    spark, order = rows.sparkSession, [date, session, arrival]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
-    path = new_folder(spark, "ranges")
+    path = new_folder(rows.sparkSession, "ranges")
     ranged.write.parquet(path)
-    stored = spark.read.schema(ranged.schema).parquet(path)
+    stored = rows.sparkSession.read.schema(ranged.schema).parquet(path)
     stored = stored.withColumns({"_range": F.shiftright("_place", 33), "_row": F.col("_place").bitwiseAND((1 << 33) - 1)})
     counts = stored.groupBy("_range").agg(F.count("*").alias("_rows"))
     before = F.sum("_rows").over(Window.orderBy("_range")) - F.col("_rows")
-    offsets = counts.select("_range", (before + F.lit(first_id)).alias("_offset"))
-    numbered = stored.join(offsets, "_range").select((F.col("_offset") + F.col("_row")).alias("id"), *rows.columns)
+    offsets = counts.select("_range", (before + F.lit(first)).alias("_offset"))
+    return stored.join(offsets, "_range").select((F.col("_offset") + F.col("_row")).alias(out), *rows.columns)
+
+
+def assign_row_id(
+    rows: DataFrame, date: str, session: str, arrival: str, first_id: int = 1, tags: DataFrame | None = None
+) -> DataFrame:
+    """Adds ``id``: 1, 2, ... over sessions in (date, session) order, in arrival order inside each.
+
+    ``first_id`` continues the numbers of earlier appends. ``tags``, one row per (date, session), are added too.
+    """
+    numbered = number_rows(rows, [date, session, arrival], "id", first_id)
     if tags is None:
         return numbered
     added = [c for c in tags.columns if c not in (date, session)]

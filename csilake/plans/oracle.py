@@ -145,6 +145,13 @@ oracle(
     """SELECT e.event_id AS arrival, t.session_id, t.captured_at, t.scenario
     FROM events e JOIN session_table t ON t.device = e.user_id AND t.session_date = CAST(e.ts AS DATE)""",
 )
+oracle(
+    "ingest_pipeline",
+    """SELECT session_id AS kind, captured_at, scenario, count(*) AS n, count(*) AS arrivals FROM tagged GROUP BY ALL
+    UNION ALL SELECT reason, NULL, NULL, count(*), count(*) FROM frames WHERE reason IS NOT NULL GROUP BY reason""",
+)
+oracle("delete_all", "SELECT event_id, session_date, rssi FROM stored WHERE device % 2 = 1")
+oracle("schema_growth", "SELECT event_id, session_date, CASE WHEN device % 2 = 1 THEN rssi END AS rssi FROM stored")
 oracle("append_sessions", "SELECT event_id, device, session_date, scenario, rssi, data FROM stored")
 oracle(
     "overwrite_session",

@@ -175,6 +175,45 @@ def overwrite_session(spark, sf_dir):
     return tables.read_table(spark, path).select("event_id", F.col("session_date").cast("date"), "scenario", "seq", "rssi")
 
 
+@query
+def ingest_pipeline(spark, sf_dir):
+    """Landed files to numbered, parsed, tagged and stored packets and stored rejects; rows per session and reason."""
+    path, table, bad = (new_folder(spark, x) for x in ("landed", "packets", "rejects"))
+    landed.land_lines(inputs.csi_lines(spark, sf_dir), path, ["session_date"])
+    lines = landed.clean_lines(landed.read_lines(spark, path), "mobile")
+    numbered = sessions.number_rows(lines, ["session_date", "file", "file_block", "line"], "arrival")
+    classified = wire.classify_lines(numbered, "strict")
+    tags = inputs.session_table(spark, sf_dir).withColumn("mac", inputs.device_mac(F.col("device")))
+    tagged = sessions.tag_sessions(wire.accepted(classified), tags, ["session_date", "mac"])
+    tables.append_sessions(tagged.drop("payload", "bad_fields", "raw"), table)
+    wire.rejected(classified, ["arrival"]).write.parquet(bad)
+    counts = [F.count("*").alias("n"), F.count_distinct("arrival").alias("arrivals")]
+    kept = spark.read.parquet(table).groupBy(F.col("session_id").alias("kind"), "captured_at", "scenario").agg(*counts)
+    reasons = spark.read.parquet(bad).groupBy(F.col("reason").alias("kind")).agg(*counts)
+    return kept.unionByName(reasons, allowMissingColumns=True)
+
+
+@query
+def delete_all(spark, sf_dir):
+    """A table filled, emptied, and filled again with other sessions."""
+    path = new_folder(spark, "packets")
+    rows = inputs.stored_rows(spark, sf_dir).select("event_id", "device", "session_date", "rssi")
+    tables.append_sessions(rows, path)
+    tables.delete_all(spark, path)
+    tables.append_sessions(rows.where("device % 2 = 1"), path)
+    return tables.read_table(spark, path).select("event_id", F.col("session_date").cast("date"), "rssi")
+
+
+@query
+def schema_growth(spark, sf_dir):
+    """Files from before a column was added, read together with later ones."""
+    path = new_folder(spark, "packets")
+    rows = inputs.stored_rows(spark, sf_dir).select("event_id", "device", "session_date", "rssi")
+    tables.append_sessions(rows.where("device % 2 = 0").drop("rssi"), path)
+    tables.append_sessions(rows.where("device % 2 = 1"), path)
+    return tables.read_table(spark, path).select("event_id", F.col("session_date").cast("date"), "rssi")
+
+
 @query
 def union_profiles(spark, sf_dir):
     """Desktop rows and mobile rows, each under its own column names, as one table."""
