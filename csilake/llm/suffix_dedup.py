@@ -34,12 +34,12 @@ from pyspark.sql import functions as F
 
 from csilake.llm.common import CHUNK_BYTES, _tables, chunks, mix, ranges_hash, raw, stored, table, texts
 
-LENGTH, SEED, STEP = 100, 16, 16
+LENGTH, SEED, STEP = 100, 16, 8
 HOT = 20_000
 #: Bytes of one piece of a very long text; pieces overlap by LENGTH - 1.
 PIECE = 8 << 20
-#: Bytes of differing strings whose transforms are merged at once.
-MERGE_BYTES = 1 << 20
+#: Bytes of segments looked at together, and of differing pieces whose transforms are merged at once (few, so both stay in cache).
+GROUP_BYTES, MERGE_BYTES = 1 << 20, 1 << 17
 _LAST_ID = (1 << 63) - 1
 
 
@@ -50,7 +50,7 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         longer = value.copy()
         longer[:-step] = value[:-step] * np.uint64(factor) + value[step:]
         value, step, factor = longer, 2 * step, factor * factor % (1 << 64)
-    value = mix(value)
+    value *= np.uint64(0xD6E8FEB86659FD93)  # carries low bits up, where the order looks
     place = np.uint64(0xFFFFFF)
     least = (value & ~place) | (np.arange(len(value), dtype=np.uint64) & place)
     width, span = LENGTH - SEED + 1, 1
@@ -316,12 +316,14 @@ class Pieces:
         kept = kept[np.argsort(group[kept], kind="stable")]
         same = group[kept][1:] == group[kept][:-1]
         differ = kept[np.append(same, False) | np.insert(same, 0, False)] if len(kept) else kept
-        for i in differ.tolist():
+        last = None
+        for i, of in zip(differ.tolist(), group[differ].tolist(), strict=True):
+            if self.size > MERGE_BYTES and of != last:
+                yield from self.merge()
+            last = of
             self.strings.append(data[at[i] + a[i] : at[i] + b[i] + LENGTH - 1].tobytes())
             self.where.append((d[i], t[i], s[i]))
             self.size += len(self.strings[-1])
-        if self.size > MERGE_BYTES:
-            yield from self.merge()
 
     def merge(self) -> Iterator[pa.RecordBatch]:
         if len(self.strings) > 1:
@@ -351,7 +353,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pieces, rows, size = Pieces(), [], 0
     for batch in batches:
         for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-            if size > MERGE_BYTES and row[0] != rows[-1][0]:
+            if size > GROUP_BYTES and row[0] != rows[-1][0]:
                 yield from pieces.take(rows)
                 rows, size = [], 0
             rows.append(row)
