@@ -116,7 +116,8 @@ def train(docs: DataFrame, target: DataFrame, size: int = VOCABULARY) -> tuple[N
     """Models over all rows of docs, and over those whose doc_id is in ``target``."""
     numbered = Numbered(vocabulary(docs, size))
     ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
-    marked = texts(docs).join(ids, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    # the same plan at every size: sorted and merged, with skewed parts split, never a broadcast of ids
+    marked = texts(docs).join(ids.hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     counts = stored(pair_counts(marked, numbered), "lm-counts").toPandas()
     pair = counts["pair"].to_numpy()
     return numbered, losses(pair, counts["target"].to_numpy(), numbered.size), losses(pair, counts["background"].to_numpy(), numbered.size)
