@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from csilake.llm.common import table
+from csilake.llm.common import lowest, table
 
 TRAIN_PAGES = 200
 TREES, LEVELS, BINS, RATE = 40, 4, 32, 0.25
@@ -318,7 +318,8 @@ def variant(page: Page, truth: np.ndarray, others: list[str], rng: np.random.Gen
 
 
 def train(pages: DataFrame, limit: int = TRAIN_PAGES) -> Boosted | None:
-    rows = pages.filter("html is not null").orderBy(F.xxhash64("url", "page_id"), "page_id").limit(limit).select(F.substring("html", 1, 200_000).alias("html")).collect()
+    known = pages.filter("html is not null").select("url", "page_id", F.substring("html", 1, 200_000).alias("html"))
+    rows = lowest(known, ["url", "page_id"], limit).select("html").collect()
     read = [(page, truth) for page in (parse(x.html) for x in rows) if (truth := marked(page)) is not None]
     if not read:
         return None

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from csilake.llm.common import PLAIN, chunks, mix, ranges_hash, stored, table, texts, words
+from csilake.llm.common import PLAIN, chunks, lowest, mix, ranges_hash, stored, table, texts, words
 
 TRAIN_ROWS = 8_000
 FEATURE_BITS = 24
@@ -100,7 +100,7 @@ class Ftrl:
 def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """label and ``features`` (bytes of distinct 32-bit numbers) of at most ``rows`` labelled rows that aren't held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).filter("label is not null and doc_id is not null")
-    chosen = known.filter(~held_out(F.col("doc_id"))).withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id", "label").limit(rows)
+    chosen = lowest(known.filter(~held_out(F.col("doc_id"))), ["doc_id", "label"], rows).withColumn("order", F.xxhash64("doc_id", "label"))
     joined = texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "label", "order")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
