@@ -87,6 +87,9 @@ def scenario_or_default(col: Column) -> Column:
     return F.coalesce(F.nullif(col, F.lit("")), F.lit("N/A"))
 
 
+# The text formats of users, rooms and points.
+
+
 def user_text(user_id: Column, nome: Column, apelido: Column, status: Column) -> Column:
     return F.format_string("ID: %d, Nome: %s, Apelido: %s, Status: %d", user_id, nome, apelido, status)
 
