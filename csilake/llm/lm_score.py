@@ -1,13 +1,20 @@
 """Cross-entropy difference of each document between a target model and a background model.
 
-Both are bigram models over one vocabulary: the VOCABULARY most frequent words of all rows (counted whole; equal counts
-go by hash), one class for every other word, and the text's edge. The background is counted over all rows, the
+Both are bigram models over all words of the corpus and the text's edge. The background is counted over all rows, the
 target over those that the caller marks. A bigram's probability is its count blended with the word's add-one share:
 ``(c(v, w) + BLEND * p(w)) / (c(v) + BLEND)``. A token's loss is -log2 of that; the score is the mean over a
 document's tokens (its words and the closing edge) of target loss minus background loss, so lower is nearer to the target.
 
-Counts are summed in each task before they are shuffled. The finished tables have (VOCABULARY + 2) squared cells of
-eight bytes, whatever the corpus: that alone is broadcast. Texts are shuffled once, to find the marked rows by id.
+Each token but the edges is once a bigram's right word and once a left one, and so is the edge of a text. So a document's loss
+is a sum over its bigrams (v, w) of ``log2(c(w) + BLEND) - log2(c(v, w) + BLEND * p(w))``, which needs what is counted of w
+alone. Bigrams are summed up for each text and shuffled by w, which brings together all that is needed; those whose w is one
+of the FREQUENT most frequent words go by (v, w) instead, with c(w) from a table of FREQUENT rows, and those of two frequent words
+aren't shuffled: their counts are summed in each task and kept in a table of (FREQUENT + 2) squared cells. That spares the
+shuffle its hot keys, and changes no result. No other key has more rows than the next most frequent word.
+The windows that count are Spark's and spill. Texts are shuffled once, to find the marked rows by id, and stored.
+
+``train`` and ``scored`` are the model of a closed vocabulary (the ``size`` most frequent words, equal counts by hash, and one class for all
+others), for scoring rows that it was not counted on.
 
 A null or empty text has one token, the closing edge. Rows may repeat; each counts. Without target rows the target model is uniform.
 """
@@ -18,12 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from csilake.llm.common import SPACED, chunks, stored, table, texts, words
+from csilake.llm.common import SPACED, chunks, mix, stored, table, texts, words
 
+#: Words of the closed vocabulary.
 VOCABULARY = 1_022
+#: Words whose bigrams with each other are counted in a table instead of by a shuffle.
+FREQUENT = 1_022
 BLEND = 5.0
 #: Distinct words that a task counts before it hands them on.
 HELD_WORDS = 1 << 20
@@ -57,9 +67,13 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(*summed())
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> np.ndarray:
-    """Hashes of the most frequent words of all rows, sorted."""
-    counted = texts(docs).select("text").mapInArrow(_word_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word (its hash), n of all words of all rows."""
+    return texts(docs).select("text").mapInArrow(_word_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(counted: DataFrame, size: int) -> np.ndarray:
+    """Hashes of the most frequent words, sorted."""
     top = counted.orderBy(F.desc("n"), "word").limit(size).collect()
     return np.sort(np.array([x.word for x in top], dtype=np.int64).view(np.uint64))
 
@@ -72,13 +86,18 @@ class Numbered:
 
     def pairs(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all adjacent pairs, edges included, and the text that each belongs to."""
+        return self.named(column)[:2]
+
+    def named(self, column: pa.Array) -> tuple[np.ndarray, ...]:
+        """As pairs, with the hashes of the left and right words (0 for the edge)."""
         *_, hashes, first = words(column, SPACED)
         number = np.ones(len(hashes), dtype=np.int64)
         if len(self.known):
             at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
             number[self.known[at] == hashes] = at[self.known[at] == hashes] + 2
         left, right = np.insert(number, first[:-1], 0), np.insert(number, first[1:], 0)
-        return left * self.size + right, np.repeat(np.arange(len(column)), np.diff(first) + 1)
+        text = np.repeat(np.arange(len(column)), np.diff(first) + 1)
+        return left * self.size + right, text, np.insert(hashes, first[:-1], np.uint64(0)), np.insert(hashes, first[1:], np.uint64(0))
 
 
 def pair_counts(docs: DataFrame, numbered: Numbered) -> DataFrame:
@@ -112,13 +131,17 @@ def losses(pair: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
     return -np.log2((cell + BLEND * share) / (cell.sum(axis=1, keepdims=True) + BLEND)).astype(np.float32).ravel()
 
 
-def train(docs: DataFrame, target: DataFrame, size: int = VOCABULARY) -> tuple[Numbered, np.ndarray, np.ndarray]:
-    """Models over all rows of docs, and over those whose doc_id is in ``target``."""
-    numbered = Numbered(vocabulary(docs, size))
+def marked(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """doc_id, text, target: whether the row's id is in ``target``."""
     ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
     # the same plan at every size: sorted and merged, with skewed parts split, never a broadcast of ids
-    marked = texts(docs).join(ids.hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    counts = stored(pair_counts(marked, numbered), "lm-counts").toPandas()
+    return texts(docs).join(ids.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+
+
+def train(docs: DataFrame, target: DataFrame, size: int = VOCABULARY) -> tuple[Numbered, np.ndarray, np.ndarray]:
+    """Models over all rows of docs, and over those whose doc_id is in ``target``."""
+    numbered = Numbered(vocabulary(word_counts(docs), size))
+    counts = stored(pair_counts(marked(docs, target), numbered), "lm-counts").toPandas()
     pair = counts["pair"].to_numpy()
     return numbered, losses(pair, counts["target"].to_numpy(), numbered.size), losses(pair, counts["background"].to_numpy(), numbered.size)
 
@@ -140,8 +163,90 @@ def scored(docs: DataFrame, model: tuple[Numbered, np.ndarray, np.ndarray]) -> D
     return texts(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
 
 
+_RARE = "key bigint, v bigint, word int, text_key bigint, n bigint, target bigint"
+
+
+def _rare(docs: DataFrame, numbered: Numbered) -> DataFrame:
+    """Bigrams that have a word outside the frequent ones, summed for each text; ``word`` is the number of w, 1 if it isn't frequent."""
+    names = [x.split(" ")[0] for x in _RARE.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in chunks(batch, "text"):
+                part = batch.slice(a, b - a)
+                code, text, v, w = numbered.named(part.column(0))
+                word = code % numbered.size
+                out = np.flatnonzero((word == 1) | (code // numbered.size == 1))
+                text, v, w, word = text[out], v[out], w[out], word[out]
+                pair = mix(v * np.uint64(0x9E3779B97F4A7C15) + w)
+                flag = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                text_key = part.column(2).to_numpy()
+                # copies of a text are one: its sums are divided by all their tokens
+                own = mix(text_key.astype(np.uint64) * np.uint64(2) + flag) ^ text_key.view(np.uint64)
+                _, one, n = np.unique(mix(own[text] + pair), return_index=True, return_counts=True)
+                one, n = one[order := np.argsort(one)], n[order]
+                key = np.where(word == 1, w, pair)[one]
+                columns = [key.view(np.int64), v[one].view(np.int64), word[one].astype(np.int32), text_key[text[one]], n, n * flag[text[one]]]
+                for at in range(0, len(one), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in columns], names=names)
+
+    return docs.select("text", "target", "text_key").mapInArrow(run, _RARE)
+
+
+def _frequent(docs: DataFrame, numbered: Numbered, tables: list[np.ndarray]) -> DataFrame:
+    """Each row with its tokens, the sums over its bigrams of frequent words, and the number of its other bigrams."""
+    shared = docs.sparkSession.sparkContext.broadcast((numbered, tables))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbered, tables = shared.value
+        for batch in batches:
+            for a, b in chunks(batch, "text"):
+                part = batch.slice(a, b - a)
+                code, text = numbered.pairs(part.column(1))
+                n, t, g = (np.bincount(text, weights=x, minlength=part.num_rows) for x in (None, *(x[code] for x in tables)))
+                rare = np.bincount(text[(code % numbered.size == 1) | (code // numbered.size == 1)], minlength=part.num_rows)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *map(pa.array, (n, rare, t, g))], names=["doc_id", "text_key", "n_tokens", "rare", "t", "g"])
+
+    return docs.select("doc_id", "text", "text_key").mapInArrow(run, "doc_id bigint, text_key bigint, n_tokens bigint, rare bigint, t double, g double")
+
+
+def scores(docs: DataFrame, target: DataFrame, frequent: int | None = None) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, score of all rows, by models of all words of docs."""
+    counted = stored(word_counts(docs), "lm-words")
+    numbered = Numbered(vocabulary(counted, FREQUENT if frequent is None else frequent))
+    size = counted.count() + 2
+    rows = stored(marked(docs, target).withColumn("text_key", F.xxhash64("text")), "lm-rows")
+    counts = stored(pair_counts(rows, numbered), "lm-counts").toPandas()
+    singles, totals, tables = [], [], []
+    for x in ("target", "background"):
+        cell = np.zeros(numbered.size**2)
+        cell[counts["pair"].to_numpy()] = counts[x].to_numpy()
+        cell = cell.reshape(numbered.size, numbered.size)
+        single, total = cell.sum(axis=0), cell.sum()
+        loss = np.log2(single + BLEND) - np.log2(cell + BLEND * (single + 1) / (total + size))
+        loss[1], loss[:, 1] = 0, 0  # of words that aren't frequent: by the shuffle
+        singles.append(single.astype(np.int64).tolist())
+        totals.append(int(total))
+        tables.append(loss.ravel())
+
+    known = docs.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(zip(*singles, strict=True)) if i != 1], "word int, known_t bigint, known_g bigint")
+    by_word, by_pair = Window.partitionBy("key"), Window.partitionBy("key", "v")
+    seen = _rare(rows, numbered).withColumns({"pair_t": F.sum("target").over(by_pair), "pair_g": F.sum("n").over(by_pair), "all_t": F.sum("target").over(by_word), "all_g": F.sum("n").over(by_word)})
+    seen = seen.join(F.broadcast(known), "word", "left")
+
+    def loss(x: str, total: int) -> Column:
+        single = F.coalesce(f"known_{x}", f"all_{x}")
+        return F.col("n") * (F.log2(single + F.lit(BLEND)) - F.log2(F.col(f"pair_{x}") + F.lit(BLEND) * (single + 1) / F.lit(float(total + size))))
+
+    sums = seen.groupBy("text_key").agg(*(F.sum(loss(x, n)).alias(f"sum_{x}") for x, n in zip("tg", totals, strict=True)), F.sum("n").alias("sum_n"))
+    both = _frequent(rows, numbered, tables).join(sums, "text_key", "left")
+    mean = lambda x: (F.col(x) + F.coalesce(F.col(f"sum_{x}") * F.col("rare") / F.col("sum_n"), F.lit(0.0))) / F.col("n_tokens")
+    out = both.select("doc_id", "n_tokens", mean("t").alias("target_loss"), mean("g").alias("background_loss"))
+    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+
+
 def op7_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     """All documents against the models of all documents and of those labelled as of good quality."""
     docs = table(spark, folder, "documents")
     good = table(spark, folder, "labels").filter("quality = 1")
-    return scored(docs, train(docs, good))
+    return scores(docs, good)

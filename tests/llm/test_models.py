@@ -241,6 +241,27 @@ def test_cross_entropy_difference(spark, documents, size):
         assert got[i].score == pytest.approx(target - background, abs=2e-4)
 
 
+@pytest.mark.parametrize("frequent", [None, 0, 3])
+def test_cross_entropy_difference_over_all_words(spark, documents, frequent):
+    rng = random.Random(15)
+    texts = [" ".join(rng.choice(["the", "The", "é", *["in"] * 3, f"w{rng.randrange(4_000)}"]) for _ in range(rng.randrange(400))) for _ in range(60)] + ["", None, "the cat", "the cat"]
+    targets = [i % 3 == 0 for i in range(len(texts))]
+    good = spark.createDataFrame([(i,) for i, yes in enumerate(targets) if yes], "doc_id bigint")
+    got = {r.doc_id: r for r in lm_score.scores(documents(list(enumerate(texts))), good, frequent).collect()}
+    assert len(got) == len(texts) and len({w for x in texts for w in (x or "").split()}) > lm_score.FREQUENT
+    for i, (n, target, background) in enumerate(losses_by_hand(texts, targets, 10_000)):
+        assert got[i].n_tokens == n
+        assert got[i].target_loss == pytest.approx(target) and got[i].background_loss == pytest.approx(background)
+        assert got[i].score == pytest.approx(target - background, abs=1e-9)
+
+
+def test_all_word_scores_of_odd_tables(spark, documents):
+    none = spark.createDataFrame([], "doc_id bigint")
+    rows = [(1, "a b"), (1, "a b"), (None, None), (2, "c")]
+    assert sorted(r.n_tokens for r in lm_score.scores(documents(rows).withColumn("target", F.lit(3)), none).collect()) == [1, 2, 3, 3]
+    assert lm_score.scores(documents([]), none).count() == 0
+
+
 def test_scores_of_odd_tables(spark, documents):
     none = spark.createDataFrame([], "doc_id bigint")
     docs = documents([(1, "a b"), (1, "a b"), (None, None)]).withColumn("target", F.lit(3))
