@@ -5,10 +5,9 @@ K-mer of symbols is chosen if the smallest hash among its inner S-mers stands fi
 alone, so an edit moves only those anchors that touch it, and the same passage has the same anchors in any text.
 A text of fewer than K symbols, but not none, has one anchor: all of it.
 
-The fingerprint keeps the SKETCH smallest of a text's distinct anchor hashes, taken over the whole text, as hex numbers
-with commas; the likeness of two is the share of common ones among the SKETCH smallest of both. Up to
-SKETCH anchors this is the exact Jaccard index of the anchor sets, beyond that an unbiased estimate. Two empty
-fingerprints are alike (1.0), an empty one and another are not (0.0).
+``anchors`` lists all of them in order, each with the number of its first symbol (from 0) and its hash. The fingerprint is all distinct
+hashes of a text, sorted, as hex numbers with commas; the likeness of two texts is the Jaccard index of these sets. Two empty
+sets are alike (1.0), an empty one and another are not (0.0).
 
 The edited text joins a row to the next one in descending doc_id. Rows are cut into id ranges, ordered inside
 each, and the first row of each range is handed to the range above: one shuffle of the texts, no global window. Equal ids are
@@ -23,12 +22,14 @@ from pyspark.sql import functions as F
 
 from csilake.llm.common import table, texts
 
-K, S, SKETCH = 4, 2, 64
+K, S = 4, 2
+#: Hashes that a fingerprint keeps: all.
+SKETCH = None
 ROWS_PER_RANGE, MOST_RANGES = 2_000, 10_000
 
 
 def anchors(docs: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds the sorted smallest anchor hashes of a text column (array<bigint>).
+    """Adds the anchors of a text column in order (array<struct<position:int,hash:bigint>>).
 
     Each array is made by one select and used twice or more by the next, so Catalyst keeps it instead of
     computing it anew inside the lambda.
@@ -40,40 +41,42 @@ def anchors(docs: DataFrame, text: str, out: str) -> DataFrame:
     parts = F.transform(F.slice("_h", F.lit(1), F.size("_h") - (S - 1)), lambda _, i: F.xxhash64(*(at("_h", i, j) for j in range(S))))
     minor = hashed.withColumn("_s", F.when(F.size("_h") >= K, parts))
 
+    def anchor(i: Column, hashed: Column) -> Column:
+        return F.struct(i.cast("int").alias("position"), F.shiftrightunsigned(hashed, 24).alias("hash"))
+
     def chosen(x: Column, i: Column) -> Column:
         edges = F.least(x, at("_s", i, inner - 1))
         middle = F.array_min(F.array(*(at("_s", i, j) for j in range(1, inner - 1))))
-        return F.when(edges <= middle, F.xxhash64(*(at("_s", i, j) for j in range(inner))))
+        return F.when(edges <= middle, anchor(i, F.xxhash64(*(at("_s", i, j) for j in range(inner)))))
 
     many = F.filter(F.transform(F.slice("_s", F.lit(1), F.size("_s") - (inner - 1)), chosen), F.isnotnull)
-    few = F.when(F.size("_h") > 0, F.array(F.xxhash64("_h"))).otherwise(F.array().cast("array<bigint>"))
-    found = F.when(F.size("_h") >= K, many).otherwise(few)
-    kept = F.slice(F.array_sort(F.array_distinct(F.transform(found, lambda x: F.shiftrightunsigned(x, 24)))), 1, SKETCH)
-    return minor.withColumn(out, kept).drop("_h", "_s")
+    few = F.filter(F.array(F.when(F.size("_h") > 0, anchor(F.lit(0), F.xxhash64("_h")))), F.isnotnull)
+    return minor.withColumn(out, F.when(F.size("_h") >= K, many).otherwise(few)).drop("_h", "_s")
+
+
+def distinct(a: str) -> Column:
+    return F.array_distinct(F.col(a)["hash"])
 
 
 def likeness(a: str, b: str) -> Column:
-    smallest = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    both = F.size(F.array_intersect(smallest, F.array_intersect(a, b)))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / F.size(smallest))
+    """Of two arrays without repeats."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
 def as_text(a: str) -> Column:
-    return F.array_join(F.transform(F.col(a), lambda x: F.lower(F.hex(x))), ",")
+    return F.array_join(F.transform(F.array_sort(a), lambda x: F.lower(F.hex(x))), ",")
 
 
-def with_next(docs: DataFrame, columns: list[str], added=lambda heads: heads) -> DataFrame:
-    """Each row with ``next_<column>`` of the row after it in descending doc_id, in a circle.
-
-    ``added`` makes those of the columns that docs has and its source lacks, for the first rows of the ranges.
-    """
+def with_next(docs: DataFrame) -> DataFrame:
+    """Each row with ``next_text`` of the row after it in descending doc_id, in a circle."""
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     ranges = max(1, min(MOST_RANGES, n // ROWS_PER_RANGE))
     width = 1 if low is None else (high - low) // ranges + 1
     cut = F.coalesce(F.expr(f"(doc_id - {low or 0}L) div {width}L"), F.lit(-1))
     cells = docs.withColumns({"_cell": cut, "_tie": F.xxhash64("text")})
     order = Window.partitionBy("_cell").orderBy(F.desc_nulls_last("doc_id"), F.desc("_tie"), F.desc("text"))
-    inside = cells.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
+    inside = cells.withColumn("next_text", F.lead("text").over(order))
 
     # The first row of each range, found by id alone; one range holds MOST_RANGES rows of ids at most.
     tops = cells.groupBy("_cell").agg(F.max("doc_id").alias("_id"))
@@ -82,26 +85,27 @@ def with_next(docs: DataFrame, columns: list[str], added=lambda heads: heads) ->
     chain = tops.select("_cell", F.coalesce(F.lead("_cell").over(down), F.max("_cell").over(so_far)).alias("_below"))
     first = cells.join(F.broadcast(tops.select(F.col("_cell").alias("_c"), "_id")), (F.col("_c") == F.col("_cell")) & F.col("_id").eqNullSafe(F.col("doc_id")))
     heads = first.groupBy(F.col("_cell").alias("_below")).agg(F.max(F.struct("_tie", "text")).alias("_top"))
-    heads = added(heads.select("_below", "_top.text"))
-    follow = chain.join(heads, "_below").select("_cell", *(F.col(c).alias(f"_head_{c}") for c in columns))
-    both = inside.join(follow, "_cell", "left")
-    return both.select(*docs.columns, *(F.coalesce(f"next_{c}", f"_head_{c}").alias(f"next_{c}") for c in columns))
+    follow = chain.join(heads, "_below").select("_cell", F.col("_top.text").alias("_head"))
+    return inside.join(follow, "_cell", "left").select(*docs.columns, F.coalesce("next_text", "_head").alias("next_text"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    pair = with_next(anchors(texts(docs), "text", "anchors"), ["text", "anchors"], lambda x: anchors(x, "text", "anchors"))
+    # anchors are made after the shuffle, of the next text too: they are longer than the texts
     half = "int(floor(length(text) / 2))"
     edited = F.expr(f"substring(text, 1, length(text) - {half}) || substring(next_text, 1, {half})")
-    both = pair.select("doc_id", F.length("text").cast("long").alias("n_chars"), "anchors", "next_anchors", edited.alias("edited"))
-    out = anchors(both.withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "edited_anchors")
+    own = anchors(with_next(texts(docs)).withColumn("edited", edited), "text", "anchors").withColumn("own", distinct("anchors"))
+    own = own.select("doc_id", F.length("text").cast("long").alias("n_chars"), "edited", "next_text", "anchors", "own")
+    after = anchors(own, "next_text", "next").withColumn("next", distinct("next")).withColumn("near_next", likeness("own", "next")).drop("next_text", "next")
+    out = anchors(after, "edited", "changed").withColumn("changed", distinct("changed"))
     return out.select(
         "doc_id",
         "n_chars",
-        "edited_sha256",
-        as_text("anchors").alias("fingerprint"),
-        as_text("edited_anchors").alias("edited_fingerprint"),
-        likeness("anchors", "edited_anchors").alias("near_edited"),
-        likeness("anchors", "next_anchors").alias("near_next"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        as_text("own").alias("fingerprint"),
+        as_text("changed").alias("edited_fingerprint"),
+        likeness("own", "changed").alias("near_edited"),
+        "near_next",
+        "anchors",
     )
 
 

@@ -282,6 +282,23 @@ def test_syncmer_fingerprints(documents, monkeypatch):
     assert got[75].fingerprint == got[0].fingerprint
 
 
+def test_all_anchors_of_long_texts_are_kept(documents):
+    rng = random.Random(11)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = prose(40)
+    rows = [(1, " ".join(prose(2_000) + passage + prose(1_500))), (2, " ".join(prose(1_700) + passage + prose(2_500)))]
+    got = {r.doc_id: r for r in syncmers.fingerprints(documents(rows)).collect()}
+    places = [{a.hash: a.position for a in got[i].anchors} for i in (1, 2)]
+    common = set(places[0]) & set(places[1])
+    assert len(common) > 15 and {places[1][x] - places[0][x] for x in common} == {1_700 - 2_000}
+    for i, text in rows:
+        hashes = [a.hash for a in got[i].anchors]
+        assert len(hashes) > 1_500 and sorted(set(hashes)) == anchors_by_hand(text)
+        assert [a.position for a in got[i].anchors] == sorted({a.position for a in got[i].anchors})
+        assert got[i].fingerprint.count(",") == len(set(hashes)) - 1
+    assert got[1].near_next == pytest.approx(len(common) / len({*places[0], *places[1]}))
+
+
 def test_syncmers_of_odd_tables(documents):
     assert syncmers.fingerprints(documents([])).count() == 0
     one = syncmers.fingerprints(documents([(5, "a lone text of some words")])).first()
