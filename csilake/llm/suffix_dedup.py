@@ -15,7 +15,7 @@ again. Neighbours with a common prefix of LENGTH bytes form the repeated interva
 occurrence are removed.
 
 An anchor with over HOT different segments (a passage in very many documents, each going on differently) is cut to single
-windows, keyed by their own hashes, so no group is gathered whole. Copies inside a chunk of a task are merged before any
+windows, keyed by their own hashes and sorted by place; of each key the first row alone is held, so no group is gathered whole. Copies inside a chunk of a task are merged before any
 shuffle. Equality is by 64-bit hashes of whole strings.
 
 A null text is empty. Rows that repeat an id and text share one result; rows of one id and different texts are ordered by
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from csilake.llm.common import CHUNK_BYTES, _tables, chunks, mix, ranges_hash, raw, stored, table, texts
+from csilake.llm.common import CHUNK_BYTES, _tables, chunks, mix, offsets, ranges_hash, raw, stored, table, texts
 
 LENGTH, SEED, STEP = 100, 16, 8
 HOT = 20_000
@@ -299,12 +299,10 @@ class Pieces:
         block = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + low[row]
         head = block * STEP - shift + anchor[row]  # the block's first window, maybe before the segment
         a, b = np.maximum(head, 0), np.minimum(head + STEP, n[row])
-        alone = size[row] == 0
         at = begin[row]
-        z = np.zeros(len(row), dtype=np.int64)
-        core = ranges_hash(data, np.where(alone, z, at + head + STEP - 1), np.where(alone, z, at + head + LENGTH))
+        core = ranges_hash(data, at + head + STEP - 1, at + head + LENGTH)
         group = mix(key[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + block.astype(np.uint64)) ^ core
-        whole = ranges_hash(data, np.where(alone, z, at + a), np.where(alone, z, at + b + LENGTH - 1))
+        whole = ranges_hash(data, at + a, at + b + LENGTH - 1)
         value = mix(group + whole + (a - head).astype(np.uint64))
         d, t, s = doc[row], text[row], start[row] + a
         order, later = firsts(value, d, t, s)
@@ -349,9 +347,22 @@ class Pieces:
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: groups are taken whole, many at once."""
+    """Single windows, sorted by key and place, then segments sorted by key, of which groups (of HOT at most) are taken whole, many at once."""
     pieces, rows, size = Pieces(), [], 0
+    before = first = None  # the last single window's key and the place of the first one of that key
     for batch in batches:
+        alone = np.diff(offsets(batch.column(6))) == 0
+        if alone.any():
+            key, *place = (batch.column(i).to_numpy()[alone] for i in range(4))
+            place = np.stack(place)
+            fresh = np.ones(len(key), dtype=bool)
+            fresh[1:] = key[1:] != key[:-1]
+            fresh[0] = before is None or key[0] != before
+            least = np.concatenate([place[:, :1] if first is None else first, place[:, fresh]], axis=1)[:, np.cumsum(fresh)]
+            later = (place != least).any(axis=0)
+            before, first = key[-1], least[:, -1:]
+            yield from pieces.removed(*place[:, later], np.ones(int(later.sum()), dtype=np.int64))
+            batch = batch.filter(pa.array(~alone))
         for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
             if size > GROUP_BYTES and row[0] != rows[-1][0]:
                 yield from pieces.take(rows)
@@ -394,7 +405,8 @@ def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     flagged = shared.join(many, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     wanted = flagged.groupBy("doc", "text_key").agg(F.collect_list(F.struct("key", "start", "n", "anchor", "hot")).alias("wanted"))
     cut = docs.select("doc", "text_key", "text").join(wanted, ["doc", "text_key"]).mapInArrow(_cut, _PIECE)
-    merged = cut.repartition("key").sortWithinPartitions("key").mapInArrow(_merged, "doc bigint, text_key bigint, start bigint, n int")
+    ordered = cut.repartition("key").sortWithinPartitions(F.length("bytes") > 0, "key", "doc", "text_key", "start")
+    merged = ordered.mapInArrow(_merged, "doc bigint, text_key bigint, start bigint, n int")
 
     gone = found.filter("kind = 1").select("doc", "text_key", "start", "n").union(merged)
     by_text = gone.groupBy("doc", "text_key").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))

@@ -68,6 +68,25 @@ def test_repeated_bytes_go(documents, small_batches, hot):
     assert sorted((tuple(r)[:5] for r in found.collect()), key=str) == repeats_by_hand(rows)
 
 
+def test_windows_of_hot_anchors_are_not_gathered():
+    names = ["key", "doc", "text_key", "start", "n", "anchor", "bytes"]
+    taken = 0
+
+    def batches():
+        nonlocal taken
+        for i in range(50):
+            taken += 1
+            rows = sorted((1 + (i >= 25), 100 * i + j, 5, 7, 1, 0, b"") for j in range(100))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), suffix_dedup._CUT_TYPES)], names=names)
+
+    got = suffix_dedup._merged(batches())
+    out = [*next(got).column(0).to_pylist()]
+    assert taken == 1
+    for batch in got:
+        out += batch.column(0).to_pylist()
+    assert out == [d for d in range(5_000) if d not in (0, 2_500)]
+
+
 def test_merged_transforms_give_the_suffix_order():
     rng = random.Random(3)
     base = prose(rng, 300, "ab")
