@@ -10,8 +10,10 @@ No bucket is expanded into its pairs. Rows of equal sets become one class first.
 whose buckets hold most rows) is its hub; a hub and all mates from its buckets are a star, of one row for each mate. Hubs are
 compared with their mates first, which joins most of a group of copies. Two mates of a bucket are in one star, so what is left is to
 compare, in each star, the members outside its largest component with members of other components: links inside a
-component aren't needed. Members are dealt over blocks of BLOCK shingles and the outsiders copied to each, so no
-task holds a whole star; a block compares by an index of its shingles and gives back confirmed links alone, one for each outsider and component.
+component aren't needed. Members are dealt over home blocks of BLOCK shingles and the outsiders over guest blocks of as many, and each
+pair of a guest block and a home block is a cell. So no task holds a whole star or all its outsiders; a cell indexes the shingles of its home rows,
+lets its guests pass and gives back confirmed links alone, one for each outsider and component. A star mostly of outsiders has
+cells that grow with the square of its blocks.
 
 Components are found by repeated minima over links, with a table written each round; nothing is collected. A null text or
 one without words has no set, is linked with nothing and kept; its component is its own id. Each row goes by its own text: rows of
@@ -167,39 +169,58 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _outsiders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each block (a, block): links of its guests with its own members of other components."""
-
-    def links(rows: list) -> Iterator[pa.RecordBatch]:
-        own, guests = [x for x in rows if x[3]], [x for x in rows if x[2]]
-        out = []
-        if own and guests:
-            ids, component = (np.array([x[i] for x in own], dtype=np.int64) for i in (0, 1))
-            sets = [np.frombuffer(x[4], dtype=np.uint64) for x in own]
-            size = np.array([len(x) for x in sets])
-            value, member = np.concatenate(sets), np.repeat(np.arange(len(own)), size)
+    """Of each cell (a, gb, hb), home rows first: links of its guests with its home rows of other components. Home rows alone are held."""
+
+    class Home:
+        def __init__(self, rows: list):
+            self.ids, self.component = (np.array([x[i] for x in rows], dtype=np.int64) for i in (0, 1))
+            sets = [np.frombuffer(x[4], dtype=np.uint64) for x in rows]
+            self.size = np.array([len(x) for x in sets])
+            value, member = np.concatenate(sets), np.repeat(np.arange(len(rows)), self.size)
             order = np.argsort(value)
-            value, member = value[order], member[order]
-            for guest, kind, _, _, held in guests:
-                mine = np.frombuffer(held, dtype=np.uint64)
-                low, high = np.searchsorted(value, mine), np.searchsorted(value, mine, side="right")
-                many = high - low
-                places = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
-                both = np.bincount(member[places], minlength=len(own))
-                near = np.flatnonzero((100 * both >= 80 * (size + len(mine) - both)) & (component != kind))
-                if len(near):
-                    one = near[np.unique(component[near], return_index=True)[1]]
-                    out.extend((guest, x) for x in ids[one].tolist())
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    group, rows = None, []
+            self.value, self.member = value[order], member[order]
+
+        def links(self, guest: int, kind: int, held: bytes) -> list[tuple[int, int]]:
+            mine = np.frombuffer(held, dtype=np.uint64)
+            low, high = np.searchsorted(self.value, mine), np.searchsorted(self.value, mine, side="right")
+            many = high - low
+            places = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+            both = np.bincount(self.member[places], minlength=len(self.ids))
+            near = np.flatnonzero((100 * both >= 80 * (self.size + len(mine) - both)) & (self.component != kind))
+            one = near[np.unique(self.component[near], return_index=True)[1]]
+            return [(guest, x) for x in self.ids[one].tolist()]
+
+    def ready(rows: list) -> tuple[Home | None, list[tuple[int, int]]]:
+        """The index of the home rows, and the links of those that are guests too."""
+        if not rows:
+            return None, []
+        home = Home(rows)
+        return home, [x for row in rows if row[2] for x in home.links(row[0], row[1], row[4])]
+
+    def out(found: list) -> Iterator[pa.RecordBatch]:
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    group, rows, home, opened = None, [], None, False
     for batch in batches:
-        for a, block, *row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-            if (a, block) != group:
-                yield from links(rows)
-                group, rows = (a, block), []
-            rows.append(row)
-    yield from links(rows)
+        found: list[tuple[int, int]] = []
+        for a, gb, hb, *row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+            if (a, gb, hb) != group:
+                if not opened:
+                    found.extend(ready(rows)[1])
+                group, rows, home, opened = (a, gb, hb), [], None, False
+            if row[3]:
+                rows.append(row)
+                continue
+            if not opened:
+                home, more = ready(rows)
+                found.extend(more)
+                rows, opened = [], True
+            if home is not None:
+                found.extend(home.links(row[0], row[1], row[4]))
+        yield from out(found)
+    if not opened:
+        yield from out(ready(rows)[1])
 
 
 def outsiders(stars: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
@@ -207,14 +228,20 @@ def outsiders(stars: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     members = stars.select("a", F.col("b").alias("id")).union(stars.select("a", F.col("a").alias("id")).distinct())
     label = members.join(found, "id", "left").join(sets.select("id", "size"), "id").select("a", "id", "size", F.coalesce("component", "id").alias("component"))
     each = label.groupBy("a", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    mixed = each.groupBy("a").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "component")).alias("top"))
+    mixed = each.groupBy("a").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "component", "size")).alias("top"))
     # a star of two is its hub and one mate, which have been compared
-    open_ = mixed.filter("parts > 1 and n > 2").select("a", F.ceil(F.col("size") / BLOCK).alias("blocks"), F.col("top.component").alias("top"))
-    rows = label.join(open_, "a").withColumns({"guest": F.col("component") != F.col("top"), "own": F.pmod(F.xxhash64("id"), F.col("blocks"))})
-    places = F.when(F.col("guest"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("own"))
-    placed = rows.withColumn("block", F.explode(places)).withColumn("home", F.col("block") == F.col("own"))
-    ready = placed.join(sets.select("id", "shingles"), "id").select("a", "block", "id", "component", "guest", "home", "shingles")
-    return ready.repartition("a", "block").sortWithinPartitions("a", "block").mapInArrow(_outsiders, "a bigint, b bigint")
+    count = lambda size: F.ceil(size / BLOCK)
+    open_ = mixed.filter("parts > 1 and n > 2").select("a", count(F.col("size")).alias("homes"), count(F.col("size") - F.col("top.size")).alias("guests"), F.col("top.component").alias("top"))
+    deal = F.xxhash64("id")
+    rows = label.join(open_, "a").withColumns({"own_gb": F.pmod(deal, F.col("guests")), "own_hb": F.pmod(F.xxhash64(deal), F.col("homes")), "outside": F.col("component") != F.col("top")})
+    cell = lambda gb, hb: F.struct(gb.alias("gb"), hb.alias("hb"))
+    range_ = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    at_home = F.transform(range_("guests"), lambda x: cell(x, F.col("own_hb")))
+    as_guest = F.transform(range_("homes"), lambda x: cell(F.col("own_gb"), x))
+    placed = rows.withColumn("cell", F.explode(F.when(F.col("outside"), F.array_union(at_home, as_guest)).otherwise(at_home))).select("*", "cell.gb", "cell.hb")
+    placed = placed.withColumns({"guest": F.col("outside") & (F.col("gb") == F.col("own_gb")), "home": F.col("hb") == F.col("own_hb")})
+    ready = placed.join(sets.select("id", "shingles"), "id").select("a", "gb", "hb", "id", "component", "guest", "home", "shingles")
+    return ready.repartition("a", "gb", "hb").sortWithinPartitions("a", "gb", "hb", F.desc("home")).mapInArrow(_outsiders, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -134,6 +134,33 @@ def test_near_duplicates(documents, small_batches, monkeypatch, block):
     assert sorted(map(tuple, got)) == groups_by_hand(near_rows())
 
 
+def test_guests_of_a_star_are_dealt_over_blocks(spark, documents, monkeypatch):
+    import pyarrow as pa
+
+    documents([])
+    monkeypatch.setattr(near_dups, "BLOCK", 1_000)
+    rng = np.random.default_rng(3)
+    made = [np.unique(rng.integers(0, 1 << 62, 300, dtype=np.uint64)) for _ in range(60)]
+    made[50] = np.sort(np.concatenate([made[7][20:], made[50][:20]]))  # linked with 7, and nothing else is
+    sets = spark.createDataFrame([(i, bytearray(x.tobytes()), len(x)) for i, x in enumerate(made)], "id bigint, shingles binary, size bigint")
+    stars = spark.createDataFrame([(0, i) for i in range(1, 60)], "a bigint, b bigint")
+    found = spark.createDataFrame([], "id bigint, component bigint")
+    links = {tuple(sorted(x)) for x in near_dups.outsiders(stars, found, sets).collect()}
+    assert links == {(7, 50)}
+
+    def sizes(batches):
+        held = Counter()
+        for batch in batches:
+            names, columns = batch.schema.names, [x.to_pylist() for x in batch.columns]
+            for row in zip(*columns):
+                if row[names.index("guest")]:
+                    held[row[: names.index("id")]] += len(row[-1]) // 8
+        yield pa.RecordBatch.from_arrays([pa.array([n for n in held.values()], pa.int64())] * 2, names=["a", "b"])
+
+    monkeypatch.setattr(near_dups, "_outsiders", sizes)
+    assert max(r.a for r in near_dups.outsiders(stars, found, sets).collect()) <= 4 * near_dups.BLOCK
+
+
 def test_near_signatures_share_a_key():
     import pyarrow as pa
 
