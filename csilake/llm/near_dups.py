@@ -245,7 +245,11 @@ def outsiders(stars: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row, with its ``set_id`` and the ``text_key`` xxhash64(text)."""
+    """doc_id, n_shingles, component_id, kept of each row, with its ``set_id``, the ``text_key`` xxhash64(text) and its ``component``.
+
+    component_id is the least doc_id of a component; two have the same one if an id stands on rows of unlinked texts. ``component``,
+    the least set id, tells them apart; it is null for a row without a set.
+    """
     docs = texts(docs)
     features = stored(docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_features, _FEATURES), "signatures")
     classes = features.filter("n_shingles > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
@@ -268,23 +272,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     known = classes.join(whole, "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("component"))
     least = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_set = known.join(least, "component").select("id", "component_id")
+    by_set = known.join(least, "component").select("id", "component", "component_id")
     features = features.drop("signature")
     out = features.filter("n_shingles > 0").join(by_set, "id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    out = out.unionByName(features.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id")))
-    out = out.select("doc_id", "n_shingles", "component_id", F.col("id").alias("set_id"), "text_key")
+    out = out.withColumn("component", F.coalesce("component", "id"))
+    out = out.unionByName(features.filter("n_shingles = 0").withColumns({"component": F.lit(None).cast("long"), "component_id": F.col("doc_id")}))
+    out = out.select("doc_id", "n_shingles", "component_id", F.col("id").alias("set_id"), "text_key", "component")
     kept = F.when(F.col("doc_id").isNull(), F.col("component_id").isNull()).otherwise(F.col("doc_id") == F.col("component_id"))
-    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "set_id", "text_key")
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "set_id", "text_key", "component")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of each component, with all its columns; of rows that repeat its id, the least by text hash."""
-    found = near_duplicates(docs).filter("kept")
-    groups = found.groupBy("component_id", F.col("n_shingles") == 0, F.when(F.col("component_id").isNull(), F.col("set_id")))
-    chosen = groups.agg(F.min(F.struct("doc_id", "text_key")).alias("row")).select(F.col("row.doc_id").alias("_id"), F.col("row.text_key").alias("_key"))
+    """One row of each component, with all its columns; of rows that repeat its id, the least by text hash.
+
+    Rows without a set are all kept, but those that repeat an id and its text, or without an id a whole row, are one.
+    """
     keyed = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_text": F.xxhash64(F.coalesce("text", F.lit("")))})
+    some = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    chosen = near_duplicates(docs).filter("kept and n_shingles > 0").groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
+    chosen = chosen.select(F.col("row.doc_id").alias("_id"), F.col("row.text_key").alias("_key"))
     same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))
-    return keyed.join(chosen, same, "left_semi").dropDuplicates(["_doc", "_text"]).select(*docs.columns)
+    first = keyed.filter(some).join(chosen, same, "left_semi").dropDuplicates(["_doc", "_text"])
+    whole = F.when(F.col("_doc").isNull(), F.to_json(F.struct(*docs.columns)))
+    bare = keyed.filter(~some).withColumn("_row", whole).dropDuplicates(["_doc", "_text", "_row"])
+    return first.select(*docs.columns).unionAll(bare.select(*docs.columns))
 
 
 def op5_near_dups(spark: SparkSession, folder: str) -> DataFrame:

@@ -186,6 +186,13 @@ def test_near_duplicates_of_odd_tables(documents):
     assert near_dups.near_duplicates(documents([(1, "a b"), (2, "c d")])).filter("kept").count() == 2
 
 
+def test_groups_of_a_repeated_id_are_kept_apart(documents):
+    rows = [(3, "a b c d e"), (3, "v w x y z"), (8, "v w x y z"), (9, "a b c d e"), (None, None, "one"), (None, None, "two"), (None, None, "two"), (5, " "), (5, " ")]
+    kept = near_dups.deduplicated(documents(rows)).collect()
+    want = [(3, "a b c d e", "src0"), (3, "v w x y z", "src0"), (None, None, "one"), (None, None, "two"), (5, " ", "src0")]
+    assert sorted(((r.doc_id, r.text, r.source) for r in kept), key=str) == sorted(want, key=str)
+
+
 def toxic_tables(spark, documents, n=900):
     rng = random.Random(13)
     filler, bad = [f"w{i}" for i in range(400)], "awful rotten vile".split()
