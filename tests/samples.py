@@ -1,4 +1,6 @@
-"""Packets for the tests."""
+"""Packets for the tests, and the folder of the smallest tables."""
+
+SF = "/root/testdata/sf0.001"
 
 # One sample packet exactly as a device prints it.
 SAMPLE = (

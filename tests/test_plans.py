@@ -4,9 +4,9 @@ import re
 
 import pytest
 
-from conftest import SF
 from csilake.operators import wire
 from csilake.plans.queries import QUERIES
+from samples import SF
 
 EAGER = {"ingest_lines", "append_sessions", "overwrite_session", "csv_roundtrip", "collector_roundtrip"}
 LAZY = [n for n in QUERIES if n not in EAGER and not n.startswith("stream_")]

@@ -4,8 +4,8 @@ import pytest
 
 import __spark_entry__ as entry
 from check import compare, tables_db
-from conftest import SF
 from csilake.plans import queries as plans
+from samples import SF
 
 #: The queries of this library's own domain; those of optional subpackages have tests of their own.
 QUERIES = {name: query for name, query in entry.queries().items() if name in plans.QUERIES}

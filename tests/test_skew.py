@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, compare, tables_db
-from conftest import SF
+from samples import SF
 
 HOT = {
     "events": "* REPLACE (CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS user_id)",
