@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,6 +136,12 @@ def words(column: pa.Array, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Words of all texts, A-Z lower-cased: the bytes, word starts, word ends, hashes, first word of each text (one end more)."""
     data, at = raw(column)
     data = lowered(data)
+    start, end, first = word_places(data, at, inside)
+    return data, start, end, ranges_hash(data, start, end), first
+
+
+def word_places(data: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of the texts that start at ``at`` (one end more), and the first word of each text (one end more)."""
     is_in = inside[data]
     before = np.empty(len(data), dtype=bool)
     before[1:] = is_in[:-1]
@@ -144,4 +151,29 @@ def words(column: pa.Array, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     after[:-1] = is_in[1:]
     after[at[1:][at[1:] > 0] - 1] = False
     end = np.flatnonzero(is_in & ~after) + 1
-    return data, start, end, ranges_hash(data, start, end), np.searchsorted(start, at)
+    return start, end, np.searchsorted(start, at)
+
+
+#: Bytes above which a word is hashed by itself.
+_LONG = 4096
+_BELOW = np.array([(1 << 8 * k) - 1 for k in range(8)] + [_MASK], dtype=np.uint64)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte range, eight bytes a step through the finalizer, so no pair of words collides by its structure."""
+    size = end - start
+    value = mix(size.astype(np.uint64) + np.uint64(_ODD))
+    if not len(start):
+        return value
+    padded = np.append(data, np.zeros(8, np.uint8))
+    wide = np.lib.stride_tricks.as_strided(np.frombuffer(padded, dtype=np.uint64, count=1), (len(data) + 1,), (1,))
+    row, done = np.arange(len(start)), 0
+    while len(row):
+        left = size[row] - done
+        block = wide[start[row] + done] & _BELOW[np.minimum(left, 8)]
+        value[row] = mix(value[row] * np.uint64(0xD6E8FEB86659FD93) + block)
+        done += 8
+        row = row[(left > 8) & (size[row] <= _LONG)]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        value[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
+    return value

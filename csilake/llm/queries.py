@@ -8,14 +8,15 @@ from csilake.llm.decontaminate import op8_decontaminate
 from csilake.llm.html_text import op2_html_text
 from csilake.llm.lm_score import op7_lm_score
 from csilake.llm.near_dups import op5_near_dups
+from csilake.llm.phrase_dedup import OP13_SQL, op13_phrase_dedup
 from csilake.llm.secrets import op3_secrets
 from csilake.llm.sharding import op10_sharding
 from csilake.llm.suffix_dedup import op1_suffix_dedup
 from csilake.llm.syncmers import op9_syncmers
 from csilake.llm.toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_html_text, op3_secrets, op4_bpe, op5_near_dups, op6_toxicity, op7_lm_score, op8_decontaminate, op9_syncmers, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_html_text, op3_secrets, op4_bpe, op5_near_dups, op6_toxicity, op7_lm_score, op8_decontaminate, op9_syncmers, op10_sharding, op13_phrase_dedup)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
-#: None of the operators can be said in SQL; the tests hold each against a brute-force version.
-ORACLE: dict[str, str] = {}
+#: Of what SQL can say whole; the tests hold the other operators against brute-force versions.
+ORACLE = {"op13_phrase_dedup": OP13_SQL}
