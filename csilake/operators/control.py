@@ -9,6 +9,7 @@ from csilake.functions.text import second_part
 from csilake.operators.ordered import SECONDS_PER_BLOCK
 from csilake.operators.repeats import collapse_repeats
 from csilake.schema import DISCOVERY_TAG, PACKET_TAG, START_TAG
+from csilake.sources.tables import SENDER_BUCKET, sender_bucket
 
 DISCOVERY_WINDOW = "75 seconds"
 ANNOUNCEMENT_GAP_SECONDS = 20
@@ -67,5 +68,13 @@ def route_counts(messages: DataFrame, value: str = "value") -> DataFrame:
 
 
 def allowed_senders(packets: DataFrame, allowed: DataFrame, keep: bool = True) -> DataFrame:
-    """Packets whose sender is on the list, or with ``keep=False`` those whose sender is not."""
-    return packets.join(allowed.select("mac"), "mac", "left_semi" if keep else "left_anti")
+    """Packets whose sender is on the list, or with ``keep=False`` those whose sender is not.
+
+    Where the packets lie by sender bucket, the list's buckets are part of the key, so its join prunes folders at run time.
+    """
+    on = ["mac"]
+    listed = allowed.select("mac").where(F.col("mac").isNotNull()).distinct()
+    if SENDER_BUCKET in packets.columns:
+        listed = listed.withColumn(SENDER_BUCKET, sender_bucket(F.col("mac")))
+        on = [SENDER_BUCKET, "mac"]
+    return packets.join(listed, on, "left_semi" if keep else "left_anti")

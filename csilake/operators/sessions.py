@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from csilake.functions.numbers import digits_only, leading_int
 from csilake.functions.text import scenario_or_default
+from csilake.operators.asof import last_before
 from csilake.operators.ordered import ROWS_PER_BLOCK, SECONDS_PER_BLOCK, arrival_block, row_numbers, running_total, time_block
 from csilake.operators.repeats import collapse_repeats
 from csilake.schema import START_TAG
@@ -159,6 +160,26 @@ def session_tags(sessions: DataFrame, on: list[str]) -> DataFrame:
     return sessions.select(*on, "session_id", "captured_at", scenario_or_default(F.col("scenario")).alias("scenario"))
 
 
+def tag_last_start(packets: DataFrame, sessions: DataFrame, block_seconds: int = SECONDS_PER_BLOCK) -> DataFrame:
+    """Adds ``session_id``, ``started_at``, ``n`` of the device's last start at or before the packet, and ``inside``: whether it still ran.
+
+    Of starts of one instant the one of the greatest id is the last. A packet before any start is kept, with nulls.
+    """
+    starts = sessions.select("device", "session_id", "started_at", "n")
+    tagged = last_before(packets, starts, ["device"], "ts", "started_at", ["session_id"], block_seconds)
+    return tagged.withColumn("inside", F.coalesce(F.col("ts") < session_end(F.col("started_at"), F.col("n")), F.lit(False)))
+
+
+def packets_once(packets: DataFrame, session: list[str], seq: str, arrival: str) -> DataFrame:
+    """Each (session, seq) once, as it first arrived: what repeated landing and repeated datagrams leave.
+
+    Copies are combined before the shuffle. Packets without a number can't be told apart and are all kept.
+    """
+    rest = F.struct(*(c for c in packets.columns if c not in (*session, seq)))
+    firsts = packets.where(F.col(seq).isNotNull()).groupBy(*session, seq).agg(F.min_by(rest, arrival).alias("_first"))
+    return firsts.select(*session, seq, "_first.*").select(*packets.columns).unionByName(packets.where(F.col(seq).isNull()))
+
+
 def assign_seq(rows: DataFrame, session: list[str], arrival: str, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Adds ``seq``: counter from 0 in each session, in arrival order."""
     return row_numbers(rows, session, [arrival], arrival_block(arrival, rows_per_block), "seq")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from csilake.functions import bitmaps
 from csilake.functions.text import channel_text
 from csilake.schema import STORED_NAMES, WIRE_NAMES
 
@@ -43,10 +44,25 @@ def union_layouts(desktop: DataFrame, mobile: DataFrame) -> DataFrame:
     )
 
 
-def scenario_summary(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("scenario").agg(
+def summary_parts(rows: DataFrame, *keys: str) -> DataFrame:
+    """Sums per scenario, further keys and bucket of channels, which add up: over days, files or batches."""
+    return rows.groupBy("scenario", *keys, bitmaps.bucket(F.col("channel")).alias("bucket")).agg(
         F.count("*").alias("n"),
         F.sum("rssi").alias("rssi_sum"),
         F.min("rssi").alias("rssi_min"),
         F.max("rssi").alias("rssi_max"),
+        bitmaps.of_numbers(F.col("channel")).alias("channels"),
     )
+
+
+def summary_of_parts(parts: DataFrame) -> DataFrame:
+    """One row per scenario; its channels as a sorted list. No row is read again, only its part."""
+    sums = [F.sum("n").alias("n"), F.sum("rssi_sum").alias("rssi_sum"), F.min("rssi_min").alias("rssi_min"), F.max("rssi_max").alias("rssi_max")]
+    by_bucket = parts.groupBy("scenario", "bucket").agg(*sums, bitmaps.united(F.col("channels")).alias("channels"))
+    listed = by_bucket.withColumn("channels", F.when(F.col("bucket").isNotNull(), bitmaps.numbers(F.col("channels"), F.col("bucket"))))
+    return listed.groupBy("scenario").agg(*sums, F.array_sort(F.flatten(F.collect_list("channels"))).alias("channels"))
+
+
+def scenario_summary(rows: DataFrame) -> DataFrame:
+    """Count, signal range and set of channels of each scenario."""
+    return summary_of_parts(summary_parts(rows))

@@ -161,6 +161,21 @@ def _typed(fields: Column, profile: str) -> list[Column]:
     return columns
 
 
+def with_stored_text(rows: DataFrame) -> DataFrame:
+    """Lenient rows with VARIANT columns: a number where the field is one, else its text as it came.
+
+    That is what a column with an affinity stores: the row keeps all it was sent, and typed readers take the numbers.
+    """
+    parts = F.when(F.size("bad_fields") > 0, split_fields(F.col("raw")))
+
+    def kept(index: int, name: str) -> Column:
+        return F.when(F.array_contains("bad_fields", name), F.get(parts, F.lit(index)).cast("variant")).otherwise(F.col(name).cast("variant")).alias(name)
+
+    numeric = set(_NUMERIC)
+    fields = [kept(i, name) if i in numeric else F.col(name) for i, name in enumerate(WIRE_NAMES)]
+    return rows.select(*(c for c in rows.columns if c not in WIRE_NAMES), *fields)
+
+
 def accepted(classified: DataFrame) -> DataFrame:
     return classified.where(F.col("reject_reason").isNull()).drop("reject_reason")
 

@@ -136,9 +136,20 @@ oracle(
 )
 oracle(
     "scenario_summary",
-    """SELECT scenario, count(*) AS n, CAST(sum(rssi) AS BIGINT) AS rssi_sum, min(rssi) AS rssi_min, max(rssi) AS rssi_max
+    """SELECT scenario, count(*) AS n, CAST(sum(rssi) AS BIGINT) AS rssi_sum, min(rssi) AS rssi_min, max(rssi) AS rssi_max,
+      array_to_string(list_sort(list(DISTINCT channel)), ',') AS channels
     FROM stored GROUP BY scenario""",
 )
+ORACLE["scenario_summary_by_day"] = ORACLE["scenario_summary"]
+LISTED = "SELECT user_id FROM events WHERE event_type = 'error' AND event_id % 101 = 7"
+oracle("allowed_senders", f"SELECT event_id, mac, rssi FROM stored WHERE device IN ({LISTED})")
+oracle("other_senders", f"SELECT event_id, mac, rssi FROM stored WHERE device NOT IN ({LISTED})")
+oracle(
+    "parse_lenient_variant",
+    """SELECT event_id, CASE WHEN event_id % 89 = 1 THEN 'bad' ELSE CAST(rssi_value AS VARCHAR) END AS rssi, CAST(channel AS VARCHAR) AS channel,
+      CAST(11 AS DOUBLE) AS rate, CASE WHEN event_id % 89 <> 1 THEN rssi_value END AS rssi_number
+    FROM frames WHERE reason IS NULL OR reason = 'bad_number'""",
+)
 
 oracle(
     "tag_sessions",
@@ -198,6 +209,17 @@ oracle(
     """SELECT e.event_id AS arrival, s.device, e.ts, s.session_id FROM starts s
     JOIN events e ON e.user_id = s.device AND e.ts >= s.started_at AND e.ts < s.started_at + to_seconds(s.n)""",
 )
+oracle(
+    "tag_last_start",
+    """SELECT e.event_id AS arrival, e.user_id AS device, e.ts, s.session_id, s.started_at, s.n,
+      coalesce(e.ts < s.started_at + to_seconds(s.n), false) AS inside
+    FROM events e ASOF LEFT JOIN starts s ON e.user_id = s.device AND e.ts >= s.started_at""",
+)
+oracle(
+    "packets_once",
+    """SELECT min(event_id) AS arrival, user_id AS device, CAST(ts AS DATE) AS session_date, event_id % 100000 AS seq, arg_min(ts, event_id) AS ts
+    FROM events GROUP BY 2, 3, 4""",
+)
 oracle(
     "progress_5s",
     """SELECT user_id AS device, CAST(ts AS DATE) AS session_date, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS tick,
@@ -215,6 +237,9 @@ oracle(
     WHERE s.started_at + to_seconds(1800 * k) <= (SELECT max(ts) FROM events)""",
 )
 
+NUMBERED = ", numbered AS (SELECT *, row_number() OVER (ORDER BY device % 2, session_date, device, event_id) AS id FROM stored)"
+oracle("append_numbered", f"{NUMBERED} SELECT id, event_id, device, session_date FROM numbered")
+oracle("view_page", f"{NUMBERED} SELECT id, event_id, mac, rssi FROM numbered ORDER BY id DESC LIMIT 50 OFFSET 50")
 oracle("view_newest_first", f"SELECT id, captured_at, scenario, {WIRE} FROM tagged ORDER BY id DESC")
 CARD = "SELECT id, captured_at, mac, rssi, channel || ' (' || secondary_channel || ')' AS channel FROM tagged"
 oracle("view_newest_100", f"{CARD} ORDER BY id DESC LIMIT 100")
@@ -286,6 +311,7 @@ oracle(
     SELECT e.id, e.nome, e.apelido, coalesce(l.status, e.status) AS status FROM existing e LEFT JOIN latest l ON l.id = e.id
     WHERE NOT EXISTS (SELECT 1 FROM changes d WHERE d.id = e.id AND d.op = 'D')""",
 )
+ORACLE["users_merge_bucketed"] = ORACLE["users_apply_changes"]
 oracle(
     "users_change_report",
     """, dated AS (

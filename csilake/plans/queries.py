@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from csilake.operators import control, grid, sessions, signal, streaks, users, v
 from csilake.plans import inputs
 from csilake.schema import WIRE_FIELDS, WIRE_NAMES
 from csilake.session import new_folder, prepare
-from csilake.sources import landed, tables
+from csilake.sources import landed, numbered, tables
 from csilake.sources.collector_sqlite import CollectorSqlite
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,7 @@ SESSION = ["device", "session_date"]
 # The derived events are minutes apart, so periods and blocks are hours here, not seconds.
 PROGRESS_PERIOD = "1 hour"
 STREAK_THRESHOLD = 5
+USER_BUCKETS = 8
 
 
 def query(function: Query) -> Query:
@@ -134,9 +136,49 @@ def filter_sender_list(spark, sf_dir):
     return listed.select("mac", "n", F.coalesce("allowed", F.lit(False)).alias("allowed"))
 
 
+def _by_sender(spark, sf_dir):
+    """Packets stored by sender bucket, and a list of senders."""
+    path = new_folder(spark, "by-sender")
+    tables.append_by_sender(inputs.stored_rows(spark, sf_dir).select("event_id", "mac", "rssi"), path)
+    listed = inputs.table(spark, sf_dir, "events").where("event_type = 'error' and event_id % 101 = 7")
+    return tables.read_table(spark, path, f"event_id bigint, mac string, rssi int, {tables.SENDER_BUCKET} int"), listed.select(inputs.device_mac(F.col("user_id")).alias("mac"))
+
+
+@query
+def allowed_senders(spark, sf_dir):
+    return control.allowed_senders(*_by_sender(spark, sf_dir)).select("event_id", "mac", "rssi")
+
+
+@query
+def other_senders(spark, sf_dir):
+    return control.allowed_senders(*_by_sender(spark, sf_dir), keep=False).select("event_id", "mac", "rssi")
+
+
+@query
+def parse_lenient_variant(spark, sf_dir):
+    """Fields stored as number or text, as they came, and read back."""
+    path = new_folder(spark, "variants")
+    wire.with_stored_text(inputs.stored_rows(spark, sf_dir, "lenient")).select("event_id", "rssi", "channel", "rate").write.parquet(path)
+    number = F.try_variant_get("rssi", "$", "int")
+    texts = [F.variant_get(c, "$", "string").alias(c) for c in ("rssi", "channel")]
+    return spark.read.parquet(path).select("event_id", *texts, F.variant_get("rate", "$", "double").alias("rate"), number.alias("rssi_number"))
+
+
+def _listed(summary):
+    return summary.withColumn("channels", F.array_join("channels", ","))
+
+
 @query
 def scenario_summary(spark, sf_dir):
-    return views.scenario_summary(inputs.stored_rows(spark, sf_dir))
+    return _listed(views.scenario_summary(inputs.stored_rows(spark, sf_dir)))
+
+
+@query
+def scenario_summary_by_day(spark, sf_dir):
+    """The same from stored sums of each day."""
+    path = new_folder(spark, "summary-parts")
+    views.summary_parts(inputs.stored_rows(spark, sf_dir), "session_date").write.parquet(path)
+    return _listed(views.summary_of_parts(spark.read.parquet(path)))
 
 
 # --- sessions and stored tables -------------------------------------------------------------------
@@ -283,6 +325,20 @@ def progress_ticks(spark, sf_dir):
     return sessions.progress_ticks(inputs.packet_times(spark, sf_dir), _sessions(spark, sf_dir), 1800)
 
 
+@query
+def tag_last_start(spark, sf_dir):
+    packets = inputs.packet_times(spark, sf_dir).select("arrival", "device", "ts")
+    return sessions.tag_last_start(packets, _sessions(spark, sf_dir))
+
+
+@query
+def packets_once(spark, sf_dir):
+    """Packets of which some files landed twice, each once."""
+    packets = inputs.packet_times(spark, sf_dir).withColumn("seq", F.col("arrival") % 100_000)
+    again = packets.where("arrival % 5 < 2").withColumn("arrival", F.col("arrival") + 1_000_000_000)
+    return sessions.packets_once(packets.unionByName(again), SESSION, "seq", "arrival").select("arrival", *SESSION, "seq", "ts")
+
+
 # --- viewer ---------------------------------------------------------------------------------------
 
 
@@ -296,6 +352,29 @@ def view_newest_100(spark, sf_dir):
     return views.card(views.newest_first(_with_ids(spark, sf_dir), 100))
 
 
+def _numbered(spark, sf_dir):
+    """A table of two appends, the sessions of even devices and then those of odd ones, under ids that go on."""
+    path = new_folder(spark, "numbered")
+    rows = _wire_rows(spark, sf_dir)
+    order = ["session_date", "device", "event_id"]
+    numbered.append_numbered(rows.where("device % 2 = 0"), path, order)
+    numbered.append_numbered(rows.where("device % 2 = 1"), path, order)
+    return path
+
+
+@query
+def append_numbered(spark, sf_dir):
+    return spark.read.parquet(_numbered(spark, sf_dir)).select("id", "event_id", "device", "session_date")
+
+
+@query
+def view_page(spark, sf_dir):
+    """The second page of 50 rows from the newest on, by stored ids."""
+    path = _numbered(spark, sf_dir)
+    newest = numbered.page(spark, path, 50)
+    return numbered.page(spark, path, 50, before=newest.agg(F.min("id")).head()[0]).select("id", "event_id", "mac", "rssi")
+
+
 @query
 def view_card(spark, sf_dir):
     return views.card(_with_ids(spark, sf_dir))
@@ -400,6 +479,16 @@ def users_apply_changes(spark, sf_dir):
     return users.apply_changes(inputs.users(spark, sf_dir), inputs.user_changes(spark, sf_dir), ["at", "nr"])
 
 
+@query
+def users_merge_bucketed(spark, sf_dir):
+    """The same snapshot from a base and a change log that lie bucketed by id: neither is exchanged."""
+    stored = [
+        tables.save_bucketed(rows, f"{name}_{uuid.uuid4().hex}", new_folder(spark, name), "id", USER_BUCKETS)
+        for name, rows in (("users", inputs.users(spark, sf_dir)), ("changes", inputs.user_changes(spark, sf_dir)))
+    ]
+    return users.apply_changes(*stored, ["at", "nr"])
+
+
 @query
 def users_change_report(spark, sf_dir):
     return users.change_report(inputs.users(spark, sf_dir), inputs.user_changes(spark, sf_dir), ["at", "nr"])

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SESSION_DATE = "session_date"
+SENDER_BUCKET = "mac_bucket"
+SENDER_BUCKETS = 64
 
 
 def append_sessions(rows: DataFrame, path: str) -> None:
@@ -17,6 +20,26 @@ def append_sessions(rows: DataFrame, path: str) -> None:
     rows.hint("rebalance", SESSION_DATE).write.mode("append").partitionBy(SESSION_DATE).parquet(path)
 
 
+def sender_bucket(mac: Column) -> Column:
+    """Folder of a sender: a fixed number of them, however many senders there are; a packet without one has its own."""
+    return F.when(mac.isNull(), -1).otherwise(F.pmod(F.xxhash64(mac), F.lit(SENDER_BUCKETS)).cast("int"))
+
+
+def append_by_sender(rows: DataFrame, path: str) -> None:
+    """Append into one folder per sender bucket, so queries by sender read few of them. A large bucket is split over tasks."""
+    bucketed = rows.withColumn(SENDER_BUCKET, sender_bucket(F.col("mac")))
+    bucketed.hint("rebalance", SENDER_BUCKET).write.mode("append").partitionBy(SENDER_BUCKET).parquet(path)
+
+
+def save_bucketed(rows: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:
+    """The rows as a table bucketed and sorted by ``key``, below ``path``; joins and aggregates on the key need no exchange of it.
+
+    The name is the session's; the files can be registered again under any other.
+    """
+    rows.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).mode("overwrite").saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
 def overwrite_session(rows: DataFrame, path: str, keys: list[str]) -> None:
     """Replace exactly the sessions present in ``rows``; saving twice equals saving once."""
     (

@@ -27,7 +27,7 @@ def test_query_equals_sql(spark, db, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns == ["scenario", "n", "rssi_sum", "rssi_min", "rssi_max"]
+    assert entry.entry(spark).columns == ["scenario", "n", "rssi_sum", "rssi_min", "rssi_max", "channels"]
 
 
 def test_known_counts(spark):

@@ -23,7 +23,7 @@ def skewed(tmp_path_factory):
 
 @pytest.mark.parametrize(
     "name",
-    "tag_sessions assign_seq assign_row_id session_bound session_packets progress_5s progress_ticks discovery_dedup "
+    "tag_sessions tag_last_start packets_once append_numbered allowed_senders assign_seq assign_row_id session_bound session_packets progress_5s progress_ticks discovery_dedup "
     "failure_streaks users_apply_changes users_change_report seq_gaps interarrival stream_failure_streaks stream_session_timer".split(),
 )
 def test_query_equals_sql(spark, skewed, name):
