@@ -246,7 +246,10 @@ oracle("view_newest_100", f"{CARD} ORDER BY id DESC LIMIT 100")
 oracle("view_card", CARD)
 oracle("view_count", "SELECT count(*) AS n FROM stored")
 oracle("csv_roundtrip", f"SELECT event_id, {WIRE} FROM stored")
-oracle("collector_roundtrip", f"SELECT id, date_trunc('second', captured_at) AS captured_at, scenario, {WIRE} FROM tagged")
+# The mobile layout (odd ids here) stores stamps by the second, the desktop one as they are.
+STAMP = "CASE WHEN id % 2 = 1 THEN date_trunc('second', captured_at) ELSE captured_at END AS captured_at"
+oracle("collector_roundtrip", f"SELECT id, {STAMP}, scenario, {WIRE} FROM tagged")
+oracle("collector_newest_first", f"SELECT id, {STAMP}, scenario, mac, rssi FROM tagged ORDER BY id DESC LIMIT 100")
 
 oracle(
     "discovery_first",
@@ -421,3 +424,7 @@ ORACLE["stream_session_timer"] = FRAMES.replace("WITH payloads", "WITH RECURSIVE
     SELECT r.session_id, r.device, make_timestamp(r.started) AS started_at, make_timestamp(r.ends) AS ends_at, count(e.event_id) AS packets
     FROM ran r LEFT JOIN events e ON e.user_id = r.device AND epoch_us(e.ts) >= r.started AND epoch_us(e.ts) < r.ends
     GROUP BY ALL"""
+ORACLE["stream_session_ends"] = f"SELECT * FROM ({ORACLE['stream_session_timer']}) WHERE ends_at <= (SELECT max(ts) FROM events)"
+ORACLE["stream_session_packets"] = ORACLE["session_packets"]
+oracle("stream_datagrams", "SELECT event_id AS arrival, ts AS arrived, value FROM lines")
+ORACLE["stream_packets_once"] = ORACLE["packets_once"]

@@ -15,7 +15,7 @@ from csilake.plans import inputs
 from csilake.schema import WIRE_FIELDS, WIRE_NAMES
 from csilake.session import new_folder, prepare
 from csilake.sources import landed, numbered, tables
-from csilake.sources.collector_sqlite import CollectorSqlite
+from csilake.sources.collector_sqlite import CollectorSqlite, newest_first
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -393,18 +393,28 @@ def csv_roundtrip(spark, sf_dir):
     return tables.read_csv(spark, path, schema)
 
 
-@query
-def collector_roundtrip(spark, sf_dir):
-    """Rows saved as collector files in both layouts and read back under the canonical names."""
-    path = new_folder(spark, "collected")
+def _collected(spark, sf_dir):
+    """Rows saved as collector files in both layouts."""
+    path, table = new_folder(spark, "collected"), new_folder(spark, "stored")
     spark.dataSource.register(CollectorSqlite)
-    table = new_folder(spark, "stored")
     _with_ids(spark, sf_dir).select("id", "captured_at", "scenario", *WIRE_NAMES).write.parquet(table)
     rows = spark.read.parquet(table)
     for layout, part in (("desktop", "id % 2 = 0"), ("mobile", "id % 2 = 1")):
         rows.where(part).write.format("collector_sqlite").option("layout", layout).mode("append").save(path)
-    stored = spark.read.format("collector_sqlite").load(path)
-    return stored.select("id", F.date_trunc("second", "captured_at").cast("timestamp_ntz").alias("captured_at"), "scenario", *WIRE_NAMES)
+    return path
+
+
+@query
+def collector_roundtrip(spark, sf_dir):
+    """Rows saved as collector files and read back under the canonical names."""
+    return spark.read.format("collector_sqlite").load(_collected(spark, sf_dir)).select("id", "captured_at", "scenario", *WIRE_NAMES)
+
+
+@query
+def collector_newest_first(spark, sf_dir):
+    """The newest 100 rows over all collector files, stamps as stored."""
+    rows = newest_first(spark, _collected(spark, sf_dir), 100)
+    return rows.select("id", "captured_at", "scenario", "mac", "rssi")
 
 
 # --- control logs ---------------------------------------------------------------------------------

@@ -11,7 +11,9 @@ from csilake.plans.queries import PROGRESS_PERIOD, SESSION, STREAK_THRESHOLD, me
 from csilake.schema import WIRE_NAMES
 from csilake.session import new_folder
 from csilake.sources import landed
-from csilake.streaming import ingest, stateful, windows
+from csilake.sources.collector_sqlite import mounted
+from csilake.sources.datagrams import DatagramLog
+from csilake.streaming import ingest, stateful, timed, windows
 
 
 BATCHES = 3
@@ -110,3 +112,72 @@ def stream_session_timer(spark, sf_dir):
     start = lambda rows: stateful.start_session_timer(rows, state, counts, checkpoint)
     _run(spark, packets.unionByName(marks), "ts", start)
     return stateful.sessions_so_far(spark, state, counts)
+
+
+def _marks(spark, sf_dir):
+    """Start commands and packets as one stream of messages."""
+    starts = sessions.read_starts(inputs.start_commands(spark, sf_dir)).select("device", "ts", F.lit(False).alias("is_packet"), "session_id", "n")
+    packets = inputs.packet_times(spark, sf_dir).select("device", "ts", F.lit(True).alias("is_packet"))
+    return packets.unionByName(starts, allowMissingColumns=True)
+
+
+@query
+def stream_session_ends(spark, sf_dir):
+    """A row for each session that had ended by the time of the last message."""
+    path, checkpoint = new_folder(spark, "ended"), new_folder(spark, "checkpoint")
+    _run(spark, _marks(spark, sf_dir), "ts", lambda rows: timed.start_session_ends(rows, path, checkpoint))
+    return spark.read.parquet(path).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "ends_at")})
+
+
+@query
+def stream_session_packets(spark, sf_dir):
+    """Two streams, packets and start commands, land in three parts each."""
+    out, checkpoint, packet_path, start_path = (new_folder(spark, x) for x in ("joined", "checkpoint", "landed", "landed"))
+    packets = inputs.packet_times(spark, sf_dir).select("arrival", "device", "ts")
+    starts = sessions.read_starts(inputs.start_commands(spark, sf_dir)).where("n > 0").select("session_id", "device", F.col("ts").alias("started_at"), "n")
+    bounds = packets.select(F.min("ts"), F.max("ts")).first()
+    if bounds[0] is None:
+        return packets.withColumn("session_id", F.lit(None).cast("bigint"))
+    step = (bounds[1] - bounds[0]) / BATCHES
+    for k in range(BATCHES):
+        low, high = bounds[0] + k * step, bounds[0] + (k + 1) * step
+        within = lambda c: (F.col(c) >= F.lit(low)) & ((F.col(c) < F.lit(high)) | F.lit(k == BATCHES - 1))  # noqa: B023, E731
+        packets.where(within("ts")).write.mode("append").parquet(packet_path)
+        starts.where(within("started_at")).write.mode("append").parquet(start_path)
+        read = [spark.readStream.schema(x.schema).parquet(p) for x, p in ((packets, packet_path), (starts, start_path))]
+        timed.start_session_packets(*read, out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query
+def stream_packets_once(spark, sf_dir):
+    """Each part lands, and then some of its files again."""
+    out, checkpoint, path = (new_folder(spark, x) for x in ("once", "checkpoint", "landed"))
+    packets = inputs.packet_times(spark, sf_dir).withColumn("seq", F.col("arrival") % 100_000)
+    for part in _parts(packets, "ts"):
+        for landing in (part, part.where("arrival % 5 < 2")):
+            landing.write.mode("append").parquet(path)
+            rows = spark.readStream.schema(packets.schema).parquet(path)
+            timed.start_packets_once(rows, [*SESSION, "seq"], out, checkpoint, "60 days").awaitTermination()
+    return spark.read.parquet(out).select("arrival", *SESSION, "seq", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query
+def stream_datagrams(spark, sf_dir):
+    """Lines logged as binary datagrams, in three landings, each read in limited batches of byte ranges by a query started anew."""
+    path, out, checkpoint, state = (mounted(new_folder(spark, x)) for x in ("logs", "received", "checkpoint", "log-state"))
+    spark.dataSource.register(DatagramLog)
+    lines = inputs.csi_lines(spark, sf_dir).select("event_id", F.col("ts").alias("arrived"), F.encode(F.concat(F.col("event_id").cast("string"), F.lit(" "), "value"), "UTF-8").alias("value"))
+    for part in _parts(lines, "event_id"):
+        part.select("arrived", "value").write.format("datagram_log").mode("append").save(path)
+        reader = spark.readStream.format("datagram_log").option("state", f"{state}/planned.json")
+        rows = reader.option("bytes_per_trigger", 16 << 20).option("bytes_per_split", 1 << 20).load(path)
+        # availableNow would end after one limited batch
+        running = rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).start()
+        try:
+            running.processAllAvailable()
+        finally:
+            running.stop()
+    text = F.decode("value", "UTF-8")
+    space = F.instr(text, " ")
+    return spark.read.parquet(out).select(F.substring(text, F.lit(1), space - 1).cast("bigint").alias("arrival"), "arrived", F.substring(text, space + 1, F.length(text)).alias("value"))

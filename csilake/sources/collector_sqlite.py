@@ -5,8 +5,9 @@
     rows.write.format("collector_sqlite").option("layout", "mobile").mode("append").save("/shared/out")
 
 Options: ``path`` (a file or folder every executor can reach), ``columns`` (comma list of canonical
-columns to read), ``bytes_per_split``, ``pushdown``, ``layout``, ``rows_per_file``. With ``pushdown``
-simple comparisons run inside the files; it needs ``spark.sql.python.filterPushdown.enabled``.
+columns to read), ``bytes_per_split``, ``pushdown``, ``layout``, ``rows_per_file``, ``newest``. With ``pushdown``
+simple comparisons run inside the files; it needs ``spark.sql.python.filterPushdown.enabled``. With ``newest`` each file gives its
+rows of greatest id alone, that many, found by its key (``newest_first`` takes the first of all files).
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from urllib.parse import quote
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
@@ -98,13 +101,14 @@ class SqliteReader(DataSourceReader):
         self.schema = schema
         self.path = options["path"]
         self.bytes_per_split = int(options.get("bytes_per_split", 128 << 20))
+        self.newest = int(options["newest"]) if "newest" in options else None
         self.where: list[tuple[str, str, list]] = []
 
     def partitions(self) -> list[FileSlice]:
         """Files by size, from the folder listing alone. No file is opened on the driver."""
         slices = []
         for path, size in _list_files(self.path):
-            of = max(1, -(-size // self.bytes_per_split))
+            of = 1 if self.newest is not None else max(1, -(-size // self.bytes_per_split))
             slices.extend(FileSlice(path, i, of) for i in range(of))
         return slices
 
@@ -126,13 +130,26 @@ class SqliteReader(DataSourceReader):
                 conditions.append(f"{_stored_name(column, layout)} {test}")
                 values.extend(arguments)
             select = ", ".join(_stored_name(n, layout) for n in names) or "id"
-            cursor = db.execute(
-                f"SELECT {select} FROM {TABLE} WHERE {' AND '.join(conditions)} ORDER BY id", values
-            )
+            order = "id" if self.newest is None else "id DESC LIMIT ?"
+            values += [] if self.newest is None else [self.newest]
+            cursor = db.execute(f"SELECT {select} FROM {TABLE} WHERE {' AND '.join(conditions)} ORDER BY {order}", values)
             while rows := cursor.fetchmany(_BATCH_ROWS):
                 yield _to_batch(rows, names, kinds, arrow, part.path)
 
 
+def newest_first(spark: SparkSession, path: str, size: int, columns: str | None = None) -> DataFrame:
+    """The ``size`` rows of greatest id over all files of a folder, greatest first; files of one id come in the order of their names.
+
+    Each file is asked for its own newest rows, so a task returns ``size`` rows at most, whatever a file holds.
+    """
+    reader = spark.read.format("collector_sqlite").option("newest", size)
+    if columns is not None:
+        reader = reader.option("columns", columns)
+    rows = reader.load(path)
+    order = [F.desc("id"), *(["file"] if "file" in rows.columns else [])]
+    return rows.orderBy(*order).limit(size)
+
+
 class PushdownReader(SqliteReader):
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for item in filters:
