@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from csilake.functions.text import second_part
+from csilake.operators.asof import last_before
 from csilake.operators.ordered import SECONDS_PER_BLOCK
 from csilake.operators.repeats import collapse_repeats
 from csilake.schema import DISCOVERY_TAG, PACKET_TAG, START_TAG
 from csilake.sources.tables import SENDER_BUCKET, sender_bucket
 
-DISCOVERY_WINDOW = "75 seconds"
+DISCOVERY_SECONDS = 75
+DISCOVERY_WINDOW = f"{DISCOVERY_SECONDS} seconds"
 ANNOUNCEMENT_GAP_SECONDS = 20
 
 
@@ -32,6 +34,22 @@ def discovery_first(log: DataFrame, window: str = DISCOVERY_WINDOW) -> DataFrame
     )
 
 
+def discovery_listen(log: DataFrame, listening: DataFrame, seconds: int = DISCOVERY_SECONDS) -> DataFrame:
+    """First announcement heard in each listening window, which begins when listening does and lasts ``seconds``.
+
+    ``listening`` has listen_id, device and listen_from. A device listens to one window at a time: a later start ends the one before.
+    """
+    known = listening.select("listen_id", "device", "listen_from")
+    end = F.col("listen_from") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))
+    heard = last_before(read_announcements(log), known, ["device"], "ts", "listen_from", ["listen_id"])
+    return (
+        heard.where(F.col("ts") < end)
+        .groupBy("listen_id", "device", "listen_from")
+        .agg(F.min(F.struct("ts", "address")).alias("_first"))
+        .select("listen_id", "device", "listen_from", "_first.ts", "_first.address")
+    )
+
+
 def discovery_latest(log: DataFrame) -> DataFrame:
     """Registry: the address each device announced last (the greatest text on equal times)."""
     return (

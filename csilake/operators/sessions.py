@@ -185,6 +185,12 @@ def assign_seq(rows: DataFrame, session: list[str], arrival: str, rows_per_block
     return row_numbers(rows, session, [arrival], arrival_block(arrival, rows_per_block), "seq")
 
 
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    path = new_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def number_rows(rows: DataFrame, order: list[str], out: str, first: int = 1) -> DataFrame:
     """Adds ``out``: first, first + 1, ... along ``order``, without a gap.
 
@@ -192,10 +198,10 @@ def number_rows(rows: DataFrame, order: list[str], out: str, first: int = 1) ->
     range plus the rows of the ranges before, of which there is one small row each. Nulls come first; no row is
     dropped. Rows alike in all order columns are numbered in any order.
     """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
-    path = new_folder(rows.sparkSession, "ranges")
-    ranged.write.parquet(path)
-    stored = rows.sparkSession.read.schema(ranged.schema).parquet(path)
+    # Ranges are sampled from stored rows, so what made the rows runs once.
+    first_copy = _written(rows, "unranged")
+    ranged = first_copy.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    stored = _written(ranged, "ranges")
     stored = stored.withColumns({"_range": F.shiftright("_place", 33), "_row": F.col("_place").bitwiseAND((1 << 33) - 1)})
     counts = stored.groupBy("_range").agg(F.count("*").alias("_rows"))
     before = F.sum("_rows").over(Window.orderBy("_range")) - F.col("_rows")

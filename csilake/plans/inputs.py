@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from csilake.functions.payload import payload_text
 from csilake.functions.text import mac_text
 from csilake.operators.wire import accepted, classify_lines, render_line
 from csilake.schema import CLOCK_MODULUS
+from csilake.session import new_folder
 
 N_VALUES = 128
 
@@ -40,9 +42,10 @@ def device_mac(user_id: Column) -> Column:
     return mac_text(F.array(*[c.cast("bigint") for c in fixed], F.floor(user_id / 256), user_id % 256))
 
 
-def sender_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sender_frames(spark: SparkSession, sf_dir: str, spread: int | None = None) -> DataFrame:
     """One row per event with the columns of a received frame, payload still as text."""
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    events = events if spread is None else events.repartition(spread)
     texts = payloads(spark, sf_dir).select("vec_id", payload_text(F.col("payload")).alias("data_text"))
     n = table(spark, sf_dir, "embeddings").select(F.count("*")).scalar()
     return (
@@ -79,9 +82,9 @@ def _wire_columns() -> dict[str, Column]:
     return columns
 
 
-def csi_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed lines: event_id is the arrival order, (device, session_date) the session."""
-    frames = sender_frames(spark, sf_dir)
+def csi_lines(spark: SparkSession, sf_dir: str, spread: int | None = None) -> DataFrame:
+    """Lines as sent: event_id is the arrival order, (device, session_date) the session."""
+    frames = sender_frames(spark, sf_dir, spread)
     fields = {name: F.col(name) for name in _wire_columns()}
     line = F.when(F.col("event_id") % 97 == 0, render_line(fields, None)).otherwise(
         render_line(fields, F.col("data_text"))
@@ -89,9 +92,25 @@ def csi_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.select("event_id", "device", "ts", "session_date", "scenario", line.alias("value"))
 
 
+_LANDED: dict[tuple[str, str], tuple[str, StructType]] = {}
+
+
+def landed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines as receivers leave them: landed once for an application, in as many files as it has tasks."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LANDED:
+        lines = csi_lines(spark, sf_dir)
+        path = new_folder(spark, "lines")
+        # the given events are one row group, which one task would render
+        csi_lines(spark, sf_dir, spread=spark.sparkContext.defaultParallelism).write.parquet(path)
+        _LANDED[key] = (path, lines.schema)
+    path, schema = _LANDED[key]
+    return spark.read.schema(schema).parquet(path)
+
+
 def stored_rows(spark: SparkSession, sf_dir: str, profile: str = "strict") -> DataFrame:
     """Accepted packets of the landed lines."""
-    return accepted(classify_lines(csi_lines(spark, sf_dir), profile))
+    return accepted(classify_lines(landed_lines(spark, sf_dir), profile))
 
 
 def byte_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

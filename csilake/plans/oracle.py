@@ -257,6 +257,16 @@ oracle(
       arg_min(address, struct_pack(ts := ts, address := address)) AS address
     FROM announcements WHERE announces GROUP BY device, epoch_us(ts) // 75000000""",
 )
+oracle(
+    "discovery_listen",
+    """, listening AS (SELECT event_id AS listen_id, user_id AS device, ts AS listen_from FROM events WHERE event_type = 'click'),
+    heard AS (
+      SELECT a.device, a.ts, a.address, l.listen_id, l.listen_from FROM (SELECT * FROM announcements WHERE announces) a
+      ASOF JOIN listening l ON a.device = l.device AND a.ts >= l.listen_from
+    )
+    SELECT listen_id, device, listen_from, min(ts) AS ts, arg_min(address, struct_pack(ts := ts, address := address)) AS address
+    FROM heard WHERE ts < listen_from + INTERVAL 4 HOUR GROUP BY listen_id, device, listen_from""",
+)
 oracle(
     "discovery_latest",
     """SELECT device, ts AS seen_at, address FROM announcements WHERE announces
@@ -407,6 +417,7 @@ oracle(
       UNION ALL SELECT CASE WHEN announces THEN 'discovery' ELSE 'other' END FROM announcements
       UNION ALL SELECT 'start' FROM events WHERE event_type = 'signup') GROUP BY route""",
 )
+oracle("stream_pipeline", "SELECT session_id, captured_at, scenario, count(*) AS n FROM tagged GROUP BY ALL")
 ORACLE["stream_progress"] = ORACLE["progress_5s"]
 ORACLE["stream_discovery_dedup"] = ORACLE["discovery_dedup"]
 ORACLE["stream_reject_counts"] = ORACLE["reject_reasons"]

@@ -52,7 +52,7 @@ def ingest_lines(spark, sf_dir):
 
 @query
 def filter_prefix(spark, sf_dir):
-    lines = inputs.csi_lines(spark, sf_dir)
+    lines = inputs.landed_lines(spark, sf_dir)
     return lines.where(wire.has_prefix(F.col("value"))).select("event_id", "value")
 
 
@@ -69,18 +69,18 @@ def parse_lenient(spark, sf_dir):
 
 @query
 def reject_reasons(spark, sf_dir):
-    return wire.reject_reasons(wire.classify_lines(inputs.csi_lines(spark, sf_dir)))
+    return wire.reject_reasons(wire.classify_lines(inputs.landed_lines(spark, sf_dir)))
 
 
 @query
 def reject_rows(spark, sf_dir):
-    _, rejects = wire.parse_lines(inputs.csi_lines(spark, sf_dir))
+    _, rejects = wire.parse_lines(inputs.landed_lines(spark, sf_dir))
     return rejects.select("event_id", "raw", "reason")
 
 
 @query
 def accept_reject_counts(spark, sf_dir):
-    return wire.accept_counts(wire.classify_lines(inputs.csi_lines(spark, sf_dir)), "scenario")
+    return wire.accept_counts(wire.classify_lines(inputs.landed_lines(spark, sf_dir)), "scenario")
 
 
 @query
@@ -288,7 +288,7 @@ def assign_row_id(spark, sf_dir):
 
 @query
 def first_packet(spark, sf_dir):
-    lines = inputs.csi_lines(spark, sf_dir)
+    lines = inputs.landed_lines(spark, sf_dir)
     packets = lines.where(wire.has_prefix(F.col("value")))
     return sessions.first_packets(packets, SESSION, "event_id").select(*SESSION, "event_id", "value")
 
@@ -425,6 +425,14 @@ def discovery_first(spark, sf_dir):
     return control.discovery_first(inputs.discovery_log(spark, sf_dir))
 
 
+@query
+def discovery_listen(spark, sf_dir):
+    """Windows from the start of listening; the derived events are hours apart, so they last that long here."""
+    clicks = inputs.table(spark, sf_dir, "events").where("event_type = 'click'")
+    listening = clicks.select(F.col("event_id").alias("listen_id"), F.col("user_id").alias("device"), F.col("ts").alias("listen_from"))
+    return control.discovery_listen(inputs.discovery_log(spark, sf_dir), listening, 4 * 3600)
+
+
 @query
 def discovery_latest(spark, sf_dir):
     return control.discovery_latest(inputs.discovery_log(spark, sf_dir))

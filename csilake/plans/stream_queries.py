@@ -56,6 +56,19 @@ def stream_ingest(spark, sf_dir):
     return _ingested(spark, sf_dir)[0].select("scenario", *WIRE_NAMES)
 
 
+@query
+def stream_pipeline(spark, sf_dir):
+    """Landed lines to packets with the stamp, scenario and id of their session, as they land; rows per session."""
+    table, checkpoint = new_folder(spark, "packets"), new_folder(spark, "checkpoint")
+    tags = inputs.session_table(spark, sf_dir).withColumn("mac", inputs.device_mac(F.col("device")))
+    tag = lambda rows: sessions.tag_sessions(rows, tags, ["session_date", "mac"])
+    _run_lines(
+        spark, inputs.csi_lines(spark, sf_dir), "event_id",
+        lambda lines: ingest.start_ingest(lines.withColumn("session_date", F.col("session_date").cast("date")), table, checkpoint, tag=tag), ["session_date"],
+    )
+    return spark.read.parquet(table).groupBy("session_id", "captured_at", "scenario").agg(F.count("*").alias("n"))
+
+
 @query
 def stream_reject_counts(spark, sf_dir):
     """What the stream rejected, by reason."""
@@ -97,7 +110,7 @@ def stream_failure_streaks(spark, sf_dir):
     state, checkpoint = new_folder(spark, "streaks"), new_folder(spark, "checkpoint")
     start = lambda events: stateful.start_streaks(events, state, checkpoint, STREAK_THRESHOLD)
     _run(spark, inputs.link_events(spark, sf_dir), "arrival", start)
-    return stateful.streaks_so_far(spark, state, STREAK_THRESHOLD).withColumnRenamed("device", "user_id")
+    return stateful.streaks_so_far(spark, state).withColumnRenamed("device", "user_id")
 
 
 @query

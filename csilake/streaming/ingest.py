@@ -5,6 +5,8 @@ A file is read once, when it appears; receivers therefore land whole files by re
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,10 +29,12 @@ def read_line_stream(
 
 def start_ingest(
     lines: DataFrame, table: str, checkpoint: str, profile: str = "strict", partition_by: list[str] | None = None,
-    every: str | None = None, rejects: str | None = None, keep: list[str] | None = None,
+    every: str | None = None, rejects: str | None = None, keep: list[str] | None = None, tag: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Accepted packets to ``table``, rejected lines with their reason and the columns ``keep`` to ``rejects``.
 
+    ``tag`` adds what is known of a packet's session when its batch is stored, such as ``sessions.tag_sessions`` with a table of sessions.
+
     Each batch has folders of its own and overwrites them when it is repeated, so each line is stored exactly once.
     Without ``every`` it ends with the landed files.
     """
@@ -41,7 +45,8 @@ def start_ingest(
             return
         classified = classify_lines(batch, profile).persist()
         try:
-            outputs = [(table, accepted(classified).drop("payload"), partition_by or [])]
+            packets = accepted(classified).drop("payload")
+            outputs = [(table, packets if tag is None else tag(packets), partition_by or [])]
             if rejects is not None:
                 outputs.append((rejects, rejected(classified, keep or []), []))
             for path, rows, layout in outputs:

@@ -1,97 +1,71 @@
 """Failure counters and the session timer over a stream.
 
-Failure counters: each batch reads the state the batch before it stored and stores its own, under a folder per batch that
-a repeated batch overwrites. Inside a batch all operators of the batch jobs can be used, so a device
-that sends most of the rows is still spread over many tasks, which a per-key state function cannot do.
-Their rows count in arrival order; batches follow the order in which files land. The session timer keeps no state.
+Failure counters are Spark's state of each device, and their rows count in arrival order; batches follow the order in which files land. A
+batch's rows of one device are looked at by one task. The session timer keeps no state.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from csilake.operators.sessions import packets_per_session, session_end
-from csilake.operators.streaks import failure_runs, hits_in_run
 
-STREAK_STATE = "device bigint, running bigint, longest bigint, closed_hits bigint"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STREAKS = "device bigint, max_streak bigint, hits bigint"
 SESSION_STATE = "device bigint, session_id bigint, started_at timestamp_ntz, n int"
 
 
-def start_with_state(
-    rows: DataFrame,
-    state: str,
-    schema: str,
-    checkpoint: str,
-    advance: Callable[[DataFrame, DataFrame], DataFrame],
-    every: str | None = None,
-) -> StreamingQuery:
-    """``advance(batch, state before)`` gives the state after the batch."""
-    spark = rows.sparkSession
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        before = spark.read.schema(schema).parquet(f"{state}/batch_id={batch_id - 1}") if batch_id else _none(spark, schema)
-        advance(batch, before).write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
-
-    writer = rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
-
+# --- failure counters -----------------------------------------------------------------------------
 
-def _none(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
 
+class FailureStreaks(StatefulProcessor):
+    """Of each device the run it is in, the longest run, and the hits of runs that are over; a batch's rows count in arrival order."""
 
-def current_state(spark: SparkSession, state: str) -> DataFrame:
-    stored = spark.read.parquet(state)
-    return stored.where(F.col("batch_id") == stored.select(F.max("batch_id")).scalar()).drop("batch_id")
+    def __init__(self, threshold: int):
+        self.threshold = threshold
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counters = handle.getValueState("counters", "running bigint, longest bigint, closed_hits bigint")
 
-# --- failure counters -----------------------------------------------------------------------------
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows)).sort_values("arrival")
+        running, longest, closed_hits = self.counters.get() if self.counters.exists() else (0, 0, 0)
+        failed = events["failed"].to_numpy(dtype=bool)
+        runs = np.bincount(np.cumsum(~failed), weights=failed).astype("int64")
+        runs[0] += running
+        longest = max(longest, int(runs.max()))
+        closed_hits += int((runs[:-1] // self.threshold).sum())
+        self.counters.update((int(runs[-1]), longest, closed_hits))
+        hits = closed_hits + int(runs[-1]) // self.threshold
+        yield pd.DataFrame({"device": pd.array([key[0]], dtype="Int64"), "max_streak": [longest], "hits": [hits]})
 
+    def close(self) -> None:
+        pass
 
-def advance_streaks(batch: DataFrame, before: DataFrame, threshold: int) -> DataFrame:
-    """Joins the runs of a batch to the run each device was in."""
-    run, failures = F.col("run"), F.col("failures")
-    new = (
-        failure_runs(batch)
-        .groupBy("device")
-        .agg(
-            F.max("run").alias("connects"),
-            F.coalesce(F.max(F.when(run == 0, failures)), F.lit(0)).alias("lead"),
-            F.max_by("failures", "run").alias("tail"),
-            F.coalesce(F.max(F.when(run > 0, failures)), F.lit(0)).alias("later_longest"),
-            F.coalesce(F.sum(F.when(run > 0, hits_in_run(failures, threshold))), F.lit(0)).alias("later_hits"),
-        )
-    )
 
-    def old(name: str):
-        return F.coalesce(F.col(name), F.lit(0))
-
-    first = old("running") + F.coalesce("lead", F.lit(0))
-    reconnected = F.coalesce(F.col("connects") > 0, F.lit(False))
-    closed_now = hits_in_run(first, threshold) + F.col("later_hits") - hits_in_run(F.col("tail"), threshold)
-    return before.join(new, "device", "full_outer").select(
-        "device",
-        F.when(reconnected, F.col("tail")).otherwise(first).alias("running"),
-        F.greatest(old("longest"), first, "later_longest").alias("longest"),
-        (old("closed_hits") + F.when(reconnected, closed_now).otherwise(0)).alias("closed_hits"),
-    )
+def start_streaks(link_events: DataFrame, table: str, checkpoint: str, threshold: int, every: str | None = None) -> StreamingQuery:
+    """Input: device, arrival, failed. Spark keeps the counters; each batch writes those it changed to a folder that its repeat overwrites."""
+    link_events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    changed = link_events.groupBy("device").transformWithStateInPandas(FailureStreaks(threshold), STREAKS, "Update", "None")
 
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
-def start_streaks(link_events: DataFrame, state: str, checkpoint: str, threshold: int, every: str | None = None) -> StreamingQuery:
-    return start_with_state(
-        link_events, state, STREAK_STATE, checkpoint, lambda batch, before: advance_streaks(batch, before, threshold), every
-    )
+    writer = changed.writeStream.foreachBatch(save).outputMode("update").option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
 
 
-def streaks_so_far(spark: SparkSession, state: str, threshold: int) -> DataFrame:
-    hits = F.col("closed_hits") + hits_in_run(F.col("running"), threshold)
-    return current_state(spark, state).select("device", F.col("longest").alias("max_streak"), hits.alias("hits"))
+def streaks_so_far(spark: SparkSession, table: str) -> DataFrame:
+    """(device, max_streak, hits): what each device's last batch wrote."""
+    written = spark.read.schema(f"{STREAKS}, batch_id bigint").parquet(table)
+    last = written.groupBy("device").agg(F.max_by(F.struct("max_streak", "hits"), "batch_id").alias("_last"))
+    return last.select("device", "_last.*")
 
 
 # --- session timer --------------------------------------------------------------------------------

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from csilake.operators.sessions import session_end
+from csilake.streaming.stateful import STATE_STORE
 
-_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ENDED = "session_id bigint, device bigint, started_at timestamp, ends_at timestamp, packets bigint"
 
 
@@ -104,7 +104,7 @@ def start_session_ends(messages: DataFrame, path: str, checkpoint: str, late: st
     A device's messages of one batch are looked at by one task; ``stateful.start_session_timer`` counts them in blocks instead.
     """
     spark = messages.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     dated = messages.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     ended = dated.groupBy("device").transformWithStateInPandas(SessionEnds(), ENDED, "Append", "EventTime")
     return _started(ended.writeStream, checkpoint, path, every)

@@ -51,7 +51,7 @@ def test_streaks_over_batches(spark, folder):
         events = stream_of(spark, f"{folder}/in", schema)
         stateful.start_streaks(events, f"{folder}/state", f"{folder}/checkpoint", 4).awaitTermination()
         expected = failure_streaks(spark.createDataFrame(data[: part * 100 + 100], schema), 4)
-        found = stateful.streaks_so_far(spark, f"{folder}/state", 4)
+        found = stateful.streaks_so_far(spark, f"{folder}/state")
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
 
 

@@ -94,3 +94,14 @@ def test_packets_land_again(spark, folder):
     assert sorted(r.arrival for r in spark.read.parquet(f"{folder}/once").collect()) == list(range(300))
     late = land(spark, [(1000, 9, 9, at(-5000))], schema, f"{folder}/landed", start)
     assert timed.rows_dropped(late) == 1
+
+
+def test_listening_windows_begin_when_listening_does(spark):
+    from csilake.operators import control
+
+    log = [(1, at(100), "CSI_IP,a"), (1, at(90), "HELLO"), (1, at(174), "CSI_IP,b"), (1, at(300), "CSI_IP,c"), (1, at(380), "CSI_IP,d"), (2, at(10), "CSI_IP,e"), (3, at(5), "CSI_IP,f")]
+    listening = [(10, 1, at(99)), (11, 1, at(174)), (12, 1, at(304)), (13, 2, at(11)), (14, 3, at(5))]
+    found = control.discovery_listen(
+        spark.createDataFrame(log, "device int, ts timestamp_ntz, msg string"), spark.createDataFrame(listening, "listen_id int, device int, listen_from timestamp_ntz")
+    )
+    assert sorted((r.listen_id, r.address, r.ts) for r in found.collect()) == [(10, "a", at(100)), (11, "b", at(174)), (14, "f", at(5))]
