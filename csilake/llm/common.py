@@ -43,6 +43,19 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text))
 
 
+def dealt(docs: DataFrame, chunk_bytes: int, spread: int = 4) -> tuple[DataFrame, int]:
+    """(chunk, doc_id, text) of all rows, dealt by a hash to chunks of about ``chunk_bytes``, ``spread`` a shuffle partition at least; and the bytes of all texts.
+
+    Equal rows of one split meet in a chunk; those of different splits are dealt apart.
+    """
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = texts(docs)
+    total = own.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    chunks = max(spread * partitions, -(-total // chunk_bytes))
+    number = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(chunks))
+    return own.select(number.alias("chunk"), "doc_id", "text").repartition(partitions, "chunk"), total
+
+
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """The rows written to the shared folder and read again: lineage ends there, and a lost executor loses nothing."""
     path = new_folder(frame.sparkSession, name)
@@ -137,7 +150,7 @@ def words(column: pa.Array, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     data, at = raw(column)
     data = lowered(data)
     start, end, first = word_places(data, at, inside)
-    return data, start, end, ranges_hash(data, start, end), first
+    return data, start, end, word_hashes(data, start, end), first
 
 
 def word_places(data: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

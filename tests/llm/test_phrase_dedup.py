@@ -97,3 +97,16 @@ def test_hashes_tell_words_apart():
     data = np.frombuffer("".join(twice).encode(), dtype=np.uint8)
     value = common.word_hashes(data, np.append(0, ends[:-1]), ends).tolist()
     assert value[: len(words)] == value[len(words) :][::-1] and len(set(value)) == len(words)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_of_like_structure_are_other_words(documents, spark, n):
+    """The letters of a Thue-Morse word and of its swapped twin, as one-word texts of operators 5 and 8."""
+    from csilake.llm import decontaminate, near_dups
+
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    one, two = ("".join(letters[x] for x in bits) for letters in ("ab", "ba"))
+    docs = documents([(1, one), (2, two)])
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in near_dups.near_duplicates(docs).collect()) == [(1, 1, True), (2, 2, True)]
+    items = spark.createDataFrame([("i", one)], "item_id string, text string")
+    assert sorted((r.doc_id, r.n_hit, r.contaminated) for r in decontaminate.contamination(docs, items).collect()) == [(1, 1, True), (2, 0, False)]
