@@ -1,248 +1,163 @@
 """Cross-entropy difference of each document between a target model and a background model.
 
 Both are bigram models over all words of the corpus and the text's edge. The background is counted over all rows, the
-target over those that the caller marks. A bigram's probability is its count blended with the word's add-one share:
+target over those that the caller marks; both share the corpus' vocabulary. A bigram's probability is its count blended with the word's add-one share:
 ``(c(v, w) + BLEND * p(w)) / (c(v) + BLEND)``. A token's loss is -log2 of that; the score is the mean over a
 document's tokens (its words and the closing edge) of target loss minus background loss, so lower is nearer to the target.
 
 Each token but the edges is once a bigram's right word and once a left one, and so is the edge of a text. So a document's loss
-is a sum over its bigrams (v, w) of ``log2(c(w) + BLEND) - log2(c(v, w) + BLEND * p(w))``, which needs what is counted of w
-alone. Bigrams are summed up for each text and shuffled by w, which brings together all that is needed; those whose w is one
-of the FREQUENT most frequent words go by (v, w) instead, with c(w) from a table of FREQUENT rows, and those of two frequent words
-aren't shuffled: their counts are summed in each task and kept in a table of (FREQUENT + 2) squared cells. That spares the
-shuffle its hot keys, and changes no result. No other key has more rows than the next most frequent word.
-The windows that count are Spark's and spill. Texts are shuffled once, to find the marked rows by id, and stored.
+is a sum over its bigrams (v, w) of ``log2(c(w) + BLEND) - log2(c(v, w) + BLEND * p(w))``.
 
-``train`` and ``scored`` are the model of a closed vocabulary (the ``size`` most frequent words, equal counts by hash, and one class for all
-others), for scoring rows that it was not counted on.
+Texts are dealt to chunks of some CHUNK_BYTES. A chunk asks for the counts of its distinct words and bigrams, each once, however often it has
+it: keys are hashes, sorted, and each range of them (a bucket) goes as one packed row to the task that sums it. That task answers each
+chunk with the sums, in the order of the keys it was sent, so no key goes back, and the chunk, which makes the same keys in the same
+order again, reads its texts' losses from them. A frequent word or bigram is one key a chunk, so none is hot, and all are counted; what is gathered grows with the corpus.
+A bucket holds some BUCKET_KEYS keys on average, whatever the corpus. Answers are written to the shared folder.
 
-A null or empty text has one token, the closing edge. Rows may repeat; each counts. Without target rows the target model is uniform.
+A null or empty text has one token, the closing edge. Rows may repeat; each counts. Ids may be null; such rows are no target rows. Without target rows the
+target model is uniform. An empty table gives no rows. Further columns are ignored. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from csilake.llm.common import SPACED, chunks, mix, stored, table, texts, words
+from csilake.llm.common import SPACED, dealt, mix, stored, table, words
 
-#: Words of the closed vocabulary.
-VOCABULARY = 1_022
-#: Words whose bigrams with each other are counted in a table instead of by a shuffle.
-FREQUENT = 1_022
 BLEND = 5.0
-#: Distinct words that a task counts before it hands them on.
-HELD_WORDS = 1 << 20
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, counts, held = [], [], 0
-
-    def summed() -> tuple[np.ndarray, np.ndarray]:
-        key, place = np.unique(np.concatenate(keys), return_inverse=True)
-        return key, np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
-
-    def out(key: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(key), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(key[at : at + 100_000].view(np.int64)), pa.array(count[at : at + 100_000])], names=["word", "n"])
-
-    for batch in batches:
-        for a, b in chunks(batch, "text"):
-            *_, hashes, _ = words(batch.column(0).slice(a, b - a), SPACED)
-            key, count = np.unique(hashes, return_counts=True)
-            keys.append(key)
-            counts.append(count)
-            held += len(key)
-            if held > HELD_WORDS:
-                key, count = summed()
-                keys, counts, held = [key], [count], len(key)
-                if held > HELD_WORDS // 2:
-                    yield from out(key, count)
-                    keys, counts, held = [], [], 0
-    if keys:
-        yield from out(*summed())
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word (its hash), n of all words of all rows."""
-    return texts(docs).select("text").mapInArrow(_word_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+#: Bytes of text of a chunk, about.
+CHUNK_BYTES = 8 << 20
+#: Keys of a bucket, about; a text of n bytes is taken to have n / 4 keys.
+BUCKET_KEYS = 1 << 20
+WORD, PAIR = 0, 1
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def vocabulary(counted: DataFrame, size: int) -> np.ndarray:
-    """Hashes of the most frequent words, sorted."""
-    top = counted.orderBy(F.desc("n"), "word").limit(size).collect()
-    return np.sort(np.array([x.word for x in top], dtype=np.int64).view(np.uint64))
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed bytes: all their first bytes, all second ones, and so on, so that small numbers cost little."""
+    whole = np.ascontiguousarray(numbers.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(whole.T).tobytes())
 
 
-class Numbered:
-    """Word classes of texts: 0 is the edge, 1 any word outside the vocabulary."""
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.uint64)
 
-    def __init__(self, known: np.ndarray):
-        self.known, self.size = known, len(known) + 2
 
-    def pairs(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of all adjacent pairs, edges included, and the text that each belongs to."""
-        return self.named(column)[:2]
+class Counted:
+    """Bigrams of the texts of a chunk: distinct words and distinct pairs in order of their hashes, and where each token has its own."""
 
-    def named(self, column: pa.Array) -> tuple[np.ndarray, ...]:
-        """As pairs, with the hashes of the left and right words (0 for the edge)."""
+    def __init__(self, rows: pa.Table):
+        column = rows.column("text").combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
         *_, hashes, first = words(column, SPACED)
-        number = np.ones(len(hashes), dtype=np.int64)
-        if len(self.known):
-            at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-            number[self.known[at] == hashes] = at[self.known[at] == hashes] + 2
-        left, right = np.insert(number, first[:-1], 0), np.insert(number, first[1:], 0)
-        text = np.repeat(np.arange(len(column)), np.diff(first) + 1)
-        return left * self.size + right, text, np.insert(hashes, first[:-1], np.uint64(0)), np.insert(hashes, first[1:], np.uint64(0))
-
-
-def pair_counts(docs: DataFrame, numbered: Numbered) -> DataFrame:
-    """pair, target, background: counts over all rows; docs has ``text`` and the flag ``target``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros((2, numbered.size**2), dtype=np.int64)
-        for batch in batches:
-            for a, b in chunks(batch, "text"):
-                part = batch.slice(a, b - a)
-                code, text = numbered.pairs(part.column(0))
-                flag = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
-                count[0] += np.bincount(code[flag[text]], minlength=count.shape[1])
-                count[1] += np.bincount(code, minlength=count.shape[1])
-        pair = np.flatnonzero(count[1])
-        for at in range(0, len(pair), 100_000):
-            own = pair[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(count[0, own]), pa.array(count[1, own])], names=["pair", "target", "background"])
-
-    partial = docs.select("text", "target").mapInArrow(run, "pair bigint, target bigint, background bigint")
-    return partial.groupBy("pair").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def losses(pair: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
-    """-log2 of each pair's probability, as a table by code."""
-    cell = np.zeros(size * size)
-    cell[pair] = count
-    cell = cell.reshape(size, size)
-    single = cell.sum(axis=0)
-    share = (single + 1) / (single.sum() + size)
-    return -np.log2((cell + BLEND * share) / (cell.sum(axis=1, keepdims=True) + BLEND)).astype(np.float32).ravel()
-
-
-def marked(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """doc_id, text, target: whether the row's id is in ``target``."""
-    ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
-    # the same plan at every size: sorted and merged, with skewed parts split, never a broadcast of ids
-    return texts(docs).join(ids.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
-
-
-def train(docs: DataFrame, target: DataFrame, size: int = VOCABULARY) -> tuple[Numbered, np.ndarray, np.ndarray]:
-    """Models over all rows of docs, and over those whose doc_id is in ``target``."""
-    numbered = Numbered(vocabulary(word_counts(docs), size))
-    counts = stored(pair_counts(marked(docs, target), numbered), "lm-counts").toPandas()
-    pair = counts["pair"].to_numpy()
-    return numbered, losses(pair, counts["target"].to_numpy(), numbered.size), losses(pair, counts["background"].to_numpy(), numbered.size)
-
-
-def scored(docs: DataFrame, model: tuple[Numbered, np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbered, target, background = shared.value
-        for batch in batches:
-            for a, b in chunks(batch, "text"):
-                part = batch.slice(a, b - a)
-                code, text = numbered.pairs(part.column(1))
-                n = np.bincount(text, minlength=part.num_rows)
-                t, g = (np.bincount(text, weights=x[code], minlength=part.num_rows) / n for x in (target, background))
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, (n, t, g, t - g))], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return texts(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
-
-
-_RARE = "key bigint, v bigint, word int, text_key bigint, n bigint, target bigint"
-
-
-def _rare(docs: DataFrame, numbered: Numbered) -> DataFrame:
-    """Bigrams that have a word outside the frequent ones, summed for each text; ``word`` is the number of w, 1 if it isn't frequent."""
-    names = [x.split(" ")[0] for x in _RARE.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in chunks(batch, "text"):
-                part = batch.slice(a, b - a)
-                code, text, v, w = numbered.named(part.column(0))
-                word = code % numbered.size
-                out = np.flatnonzero((word == 1) | (code // numbered.size == 1))
-                text, v, w, word = text[out], v[out], w[out], word[out]
-                pair = mix(v * np.uint64(0x9E3779B97F4A7C15) + w)
-                flag = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
-                text_key = part.column(2).to_numpy()
-                # copies of a text are one: its sums are divided by all their tokens
-                own = mix(text_key.astype(np.uint64) * np.uint64(2) + flag) ^ text_key.view(np.uint64)
-                _, one, n = np.unique(mix(own[text] + pair), return_index=True, return_counts=True)
-                one, n = one[order := np.argsort(one)], n[order]
-                key = np.where(word == 1, w, pair)[one]
-                columns = [key.view(np.int64), v[one].view(np.int64), word[one].astype(np.int32), text_key[text[one]], n, n * flag[text[one]]]
-                for at in range(0, len(one), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in columns], names=names)
-
-    return docs.select("text", "target", "text_key").mapInArrow(run, _RARE)
-
-
-def _frequent(docs: DataFrame, numbered: Numbered, tables: list[np.ndarray]) -> DataFrame:
-    """Each row with its tokens, the sums over its bigrams of frequent words, and the number of its other bigrams."""
-    shared = docs.sparkSession.sparkContext.broadcast((numbered, tables))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbered, tables = shared.value
-        for batch in batches:
-            for a, b in chunks(batch, "text"):
-                part = batch.slice(a, b - a)
-                code, text = numbered.pairs(part.column(1))
-                n, t, g = (np.bincount(text, weights=x, minlength=part.num_rows) for x in (None, *(x[code] for x in tables)))
-                rare = np.bincount(text[(code % numbered.size == 1) | (code // numbered.size == 1)], minlength=part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *map(pa.array, (n, rare, t, g))], names=["doc_id", "text_key", "n_tokens", "rare", "t", "g"])
-
-    return docs.select("doc_id", "text", "text_key").mapInArrow(run, "doc_id bigint, text_key bigint, n_tokens bigint, rare bigint, t double, g double")
-
-
-def scores(docs: DataFrame, target: DataFrame, frequent: int | None = None) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, score of all rows, by models of all words of docs."""
-    counted = stored(word_counts(docs), "lm-words")
-    numbered = Numbered(vocabulary(counted, FREQUENT if frequent is None else frequent))
-    size = counted.count() + 2
-    rows = stored(marked(docs, target).withColumn("text_key", F.xxhash64("text")), "lm-rows")
-    counts = stored(pair_counts(rows, numbered), "lm-counts").toPandas()
-    singles, totals, tables = [], [], []
-    for x in ("target", "background"):
-        cell = np.zeros(numbered.size**2)
-        cell[counts["pair"].to_numpy()] = counts[x].to_numpy()
-        cell = cell.reshape(numbered.size, numbered.size)
-        single, total = cell.sum(axis=0), cell.sum()
-        loss = np.log2(single + BLEND) - np.log2(cell + BLEND * (single + 1) / (total + size))
-        loss[1], loss[:, 1] = 0, 0  # of words that aren't frequent: by the shuffle
-        singles.append(single.astype(np.int64).tolist())
-        totals.append(int(total))
-        tables.append(loss.ravel())
-
-    known = docs.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(zip(*singles, strict=True)) if i != 1], "word int, known_t bigint, known_g bigint")
-    by_word, by_pair = Window.partitionBy("key"), Window.partitionBy("key", "v")
-    seen = _rare(rows, numbered).withColumns({"pair_t": F.sum("target").over(by_pair), "pair_g": F.sum("n").over(by_pair), "all_t": F.sum("target").over(by_word), "all_g": F.sum("n").over(by_word)})
-    seen = seen.join(F.broadcast(known), "word", "left")
-
-    def loss(x: str, total: int) -> Column:
-        single = F.coalesce(f"known_{x}", f"all_{x}")
-        return F.col("n") * (F.log2(single + F.lit(BLEND)) - F.log2(F.col(f"pair_{x}") + F.lit(BLEND) * (single + 1) / F.lit(float(total + size))))
-
-    sums = seen.groupBy("text_key").agg(*(F.sum(loss(x, n)).alias(f"sum_{x}") for x, n in zip("tg", totals, strict=True)), F.sum("n").alias("sum_n"))
-    both = _frequent(rows, numbered, tables).join(sums, "text_key", "left")
-    mean = lambda x: (F.col(x) + F.coalesce(F.col(f"sum_{x}") * F.col("rare") / F.col("sum_n"), F.lit(0.0))) / F.col("n_tokens")
-    out = both.select("doc_id", "n_tokens", mean("t").alias("target_loss"), mean("g").alias("background_loss"))
-    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+        hashes = np.where(hashes == 0, np.uint64(1), hashes)  # 0 is the edge
+        left, right = np.insert(hashes, first[:-1], np.uint64(0)), np.insert(hashes, first[1:], np.uint64(0))
+        self.text = np.repeat(np.arange(rows.num_rows), np.diff(first) + 1)
+        self.n_tokens = np.diff(first) + 1
+        self.keys, self.of = [], []
+        for key in (right, mix(mix(left) * _FACTOR + right)):
+            distinct, of = np.unique(key, return_inverse=True)
+            self.keys.append(distinct)
+            self.of.append(of)
+
+    def counts(self, kind: int, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each key occurs, in all texts and in target texts."""
+        n = len(self.keys[kind])
+        return np.bincount(self.of[kind], minlength=n), np.bincount(self.of[kind][target[self.text]], minlength=n)
+
+
+def _cells(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to): ranges of sorted keys, of which there are a power of two."""
+    if not len(keys):
+        return []
+    own = (keys >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64) if buckets > 1 else np.zeros(len(keys), dtype=np.int64)
+    begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    return list(zip(own[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(keys)], strict=True))
+
+
+_ASKED = "kind int, bucket bigint, chunk bigint, keys binary, n binary, target binary"
+_ANSWERED = "kind int, bucket bigint, chunk bigint, n binary, target binary, fresh bigint, tokens bigint, target_tokens bigint"
+
+
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    fields = [x.split(" ") for x in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, columns, strict=True)})
+
+
+def _summed(rows: pa.Table) -> pa.Table:
+    """Answers to all chunks that ask for keys of one bucket; the number of distinct keys and their sums stand on the first."""
+    kind, bucket, chunk = (rows.column(x).to_pylist() for x in ("kind", "bucket", "chunk"))
+    asked = [np.cumsum(unpacked(x), dtype=np.uint64) for x in rows.column("keys").to_pylist()]
+    distinct, of = np.unique(np.concatenate(asked), return_inverse=True)
+    ends = np.cumsum([len(x) for x in asked])[:-1]
+    sums = []
+    for name in ("n", "target"):
+        own = np.concatenate([unpacked(x) for x in rows.column(name).to_pylist()]).astype(np.int64)
+        total = np.zeros(len(distinct), dtype=np.int64)
+        np.add.at(total, of, own)
+        sums.append((int(total.sum()), np.split(total[of], ends)))
+    out = []
+    for i, (n, target) in enumerate(zip(sums[0][1], sums[1][1], strict=True)):
+        whole = (len(distinct), sums[0][0], sums[1][0]) if i == 0 else (0, 0, 0)
+        out.append((kind[i], bucket[i], chunk[i], packed(n), packed(target), *whole))
+    return _table(out, _ANSWERED)
+
+
+_SCORED = "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double"
+
+
+def scores(docs: DataFrame, target: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, score of all rows, by models of all words of docs; ``target`` has the marked doc_ids."""
+    texts_of, total = dealt(docs, chunk_bytes)
+    buckets = 1 << max(0, (total // 4 // bucket_keys)).bit_length()
+    ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    # chunks learn which of their ids are marked; the same plan at every size, never a broadcast of ids
+    marked = texts_of.select("chunk", "doc_id").distinct().join(ids.hint("merge"), "doc_id").select(F.col("chunk").alias("of"), F.col("doc_id").alias("marked"))
+
+    def ask(rows: pa.Table, found: pa.Table) -> pa.Table:
+        x = Counted(rows)
+        known = np.isin(rows.column("doc_id").to_numpy(), found.column("marked").to_numpy()) if found.num_rows else np.zeros(rows.num_rows, dtype=bool)
+        known &= ~np.asarray(rows.column("doc_id").is_null())
+        chunk = rows.column("chunk")[0].as_py() if rows.num_rows else 0
+        out = []
+        for kind in (WORD, PAIR):
+            keys, (n, marks) = x.keys[kind], x.counts(kind, known)
+            for bucket, a, b in _cells(keys, buckets):
+                out.append((kind, bucket, chunk, packed(np.diff(keys[a:b], prepend=np.uint64(0))), packed(n[a:b]), packed(marks[a:b])))
+        return _table(out, _ASKED)
+
+    asked = texts_of.groupBy("chunk").cogroup(marked.groupBy("of")).applyInArrow(ask, _ASKED)
+    answers = stored(asked.groupBy("kind", "bucket").applyInArrow(_summed, _ANSWERED), "lm-counts")
+    sums = answers.filter(F.col("kind") == WORD).agg(F.sum("fresh"), F.sum("tokens"), F.sum("target_tokens")).head()
+    # words, and two classes that no text has: any other word, and the edge as one (which is a key too)
+    size = (sums[0] or 0) + 1
+    totals = [sums[2] or 0, sums[1] or 0]
+
+    def losses(rows: pa.Table, found: pa.Table) -> pa.Table:
+        x = Counted(rows)
+        kinds, order = found.column("kind").to_numpy(), np.lexsort((found.column("bucket").to_numpy(), found.column("kind").to_numpy()))
+        count = {}
+        for name in ("target", "n"):
+            cells = found.column(name).to_pylist()
+            for kind in (WORD, PAIR):
+                parts = [unpacked(cells[i]) for i in order.tolist() if kinds[i] == kind]
+                count[name, kind] = np.concatenate(parts).astype(np.float64)
+        means = []
+        for name, all_ in zip(("target", "n"), totals, strict=True):
+            single, pair = count[name, WORD][x.of[WORD]], count[name, PAIR][x.of[PAIR]]
+            loss = np.log2(single + BLEND) - np.log2(pair + BLEND * (single + 1) / (all_ + size))
+            means.append(np.bincount(x.text, weights=loss, minlength=rows.num_rows) / x.n_tokens)
+        t, g = means
+        return pa.table({"doc_id": rows.column("doc_id"), "n_tokens": pa.array(x.n_tokens), "target_loss": pa.array(t), "background_loss": pa.array(g), "score": pa.array(t - g)})
+
+    return texts_of.groupBy("chunk").cogroup(answers.select("kind", "bucket", "chunk", "n", "target").groupBy("chunk")).applyInArrow(losses, _SCORED)
 
 
 def op7_lm_score(spark: SparkSession, folder: str) -> DataFrame:

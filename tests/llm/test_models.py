@@ -259,30 +259,14 @@ def losses_by_hand(texts, targets, size):
     return [(len(x) + 1, mean(target, x), mean(background, x)) for x in cut]
 
 
-@pytest.mark.parametrize("size", [3, 1_022])
-def test_cross_entropy_difference(spark, documents, size):
-    rng = random.Random(14)
-    texts = [" ".join(rng.choice(["the", "of", "The", "é", f"w{rng.randrange(9)}", *["to"] * 2, *["in"] * 3]) for _ in range(rng.randrange(60))) for _ in range(40)] + ["", None]
-    targets = [i % 3 == 0 for i in range(42)]
-    # of equally frequent words the choice is by hash; make the three most frequent stand out
-    texts[0] = " ".join(["in"] * 90 + ["to"] * 60 + ["the"] * 30)
-    good = spark.createDataFrame([(i,) for i, yes in enumerate(targets) if yes] * 2, "doc_id bigint")
-    docs = documents(list(enumerate(texts)))
-    got = {r.doc_id: r for r in lm_score.scored(docs, lm_score.train(docs, good, size)).collect()}
-    for i, (n, target, background) in enumerate(losses_by_hand(texts, targets, size)):
-        assert got[i].n_tokens == n
-        assert got[i].target_loss == pytest.approx(target, rel=1e-4) and got[i].background_loss == pytest.approx(background, rel=1e-4)
-        assert got[i].score == pytest.approx(target - background, abs=2e-4)
-
-
-@pytest.mark.parametrize("frequent", [None, 0, 3])
-def test_cross_entropy_difference_over_all_words(spark, documents, frequent):
+@pytest.mark.parametrize("chunk,keys", [(1 << 20, 1 << 20), (2000, 50)])
+def test_cross_entropy_difference_over_all_words(spark, documents, chunk, keys):
     rng = random.Random(15)
     texts = [" ".join(rng.choice(["the", "The", "é", *["in"] * 3, f"w{rng.randrange(4_000)}"]) for _ in range(rng.randrange(400))) for _ in range(60)] + ["", None, "the cat", "the cat"]
     targets = [i % 3 == 0 for i in range(len(texts))]
     good = spark.createDataFrame([(i,) for i, yes in enumerate(targets) if yes], "doc_id bigint")
-    got = {r.doc_id: r for r in lm_score.scores(documents(list(enumerate(texts))), good, frequent).collect()}
-    assert len(got) == len(texts) and len({w for x in texts for w in (x or "").split()}) > lm_score.FREQUENT
+    got = {r.doc_id: r for r in lm_score.scores(documents(list(enumerate(texts))), good, chunk, keys).collect()}
+    assert len(got) == len(texts)
     for i, (n, target, background) in enumerate(losses_by_hand(texts, targets, 10_000)):
         assert got[i].n_tokens == n
         assert got[i].target_loss == pytest.approx(target) and got[i].background_loss == pytest.approx(background)
@@ -296,12 +280,14 @@ def test_all_word_scores_of_odd_tables(spark, documents):
     assert lm_score.scores(documents([]), none).count() == 0
 
 
-def test_scores_of_odd_tables(spark, documents):
-    none = spark.createDataFrame([], "doc_id bigint")
-    docs = documents([(1, "a b"), (1, "a b"), (None, None)]).withColumn("target", F.lit(3))
-    assert lm_score.scored(docs, lm_score.train(docs, none)).count() == 3
-    empty = documents([])
-    assert lm_score.scored(empty, lm_score.train(empty, none)).count() == 0
+def test_counts_are_packed_and_cut():
+    numbers = np.array([0, 1, 255, 256, (1 << 64) - 1], dtype=np.uint64)
+    assert lm_score.unpacked(lm_score.packed(numbers)).tolist() == numbers.tolist()
+    assert lm_score.unpacked(lm_score.packed(numbers[:0])).tolist() == []
+    keys = np.sort(mixed := common.mix(np.arange(1000, dtype=np.uint64)))
+    for buckets in (1, 2, 16):
+        cells = lm_score._cells(keys, buckets)
+        assert [b for _, _, b in cells] == [a for _, a, _ in cells[1:]] + [len(mixed)] and len(cells) == buckets
 
 
 def table_by_hand(names, size):
