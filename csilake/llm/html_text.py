@@ -5,7 +5,7 @@ text, link share and density, attribute tokens of itself and its ancestors, dept
 The trees give each node the odds of holding main text; the labelling of the whole page with the best likelihood is taken
 under the rule that below a node without main text there is none (one pass up, one pass down).
 
-The model is trained here on TRAIN_PAGES pages at most (lowest hash of the url and id first) whose own markup names the main
+The model is trained here on TRAIN_PAGES pages at most, of at most TRAIN_LENGTH code points (lowest hash of the url and id first), whose own markup names the main
 part, as they are and in variants without such names: element names turn into ``div``, class names change or go, and
 comment lists, notices and side bars made of other pages' sentences are put in. All pages are then read where they lie,
 without a shuffle; the model is a few kilobytes.
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from csilake.llm.common import lowest, table
 
 TRAIN_PAGES = 200
+#: Code points above which a page isn't one to train on; it is read whole like any other.
+TRAIN_LENGTH = 200_000
 TREES, LEVELS, BINS, RATE = 40, 4, 32, 0.25
 
 # What elements and attribute tokens usually stand for.
@@ -44,6 +46,13 @@ OTHER_TOKENS = frozenset(
     "respond search share sharing sidebar signup side social sponsor sponsored subscribe tags toolbar topbar widget login alert feedback teaser".split()
 )
 MAIN_TOKENS = frozenset("article articlebody body content entry main maincontent post postcontent story text prose".split())
+HEAD_TAGS = frozenset("base basefont bgsound link meta noframes noscript script style template title head".split())
+FOREIGN = frozenset("svg math".split())
+#: Short texts that announce what readers wrote.
+REPLIES = re.compile(
+    r"\W*(?:\d+\W+)?(?:(?:reader|user)s?\W+)?(?:comments?|repl(?:y|ies)|responses?|kommentare?|antworten|commentaires?|réponses?|comentarios?|respuestas?)(?:\W+\d+)?\W*|\W*\d+\W+(?:thoughts|opinions|messages|discussions?)\W*",
+    re.IGNORECASE,
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An element of the first kind ends an open one of the second, up to the third.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -79,6 +88,10 @@ def parse(html: str) -> Page:
     pieces: list[str] = []
     linked, in_link = 0, False
     at, n = 0, len(html)
+    low = html.lower() if "<" in html else ""
+    # a control that is never closed ends with the next block
+    last_end = {tag: low.rfind(f"</{tag}") for tag in ("button", "select", "datalist")}
+    loose = -1
 
     def flush() -> None:
         nonlocal linked, in_link
@@ -89,8 +102,14 @@ def parse(html: str) -> Page:
             pieces.clear()
         linked, in_link = 0, False
 
+    def leave_head() -> None:
+        if page.tag[open_[-1]] == "head":
+            close_to(len(open_) - 1)
+
     def say(raw: str) -> None:
         nonlocal linked
+        if skip and page.tag[open_[-1]] == "head" and not raw.isspace() and raw:
+            leave_head()
         if raw and not skip:
             raw = unescape(raw) if "&" in raw else raw
             pieces.append(raw)
@@ -114,6 +133,8 @@ def parse(html: str) -> Page:
         if not tag:
             continue
         closing, attributes = m[1] or m[4], m[3] or m[6] or ""
+        if not closing and tag not in HEAD_TAGS:
+            leave_head()
         if tag in INLINE:
             if tag == "a":
                 in_link = not closing
@@ -131,8 +152,12 @@ def parse(html: str) -> Page:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.IGNORECASE).search(html, at)
             at = end.end() if end else n
             continue
-        if tag in VOID or attributes.endswith("/"):
+        if tag in VOID or (attributes.endswith("/") and (tag in FOREIGN or any(page.tag[i] in FOREIGN for i in open_))):
             continue
+        if loose >= 0 and tag not in ("option", "optgroup"):
+            if loose in open_:
+                close_to(open_.index(loose))
+            loose = -1
         if tag == "body":
             close_to(1)
         ends, limit = CLOSES.get(tag, (set(), set()))
@@ -145,6 +170,8 @@ def parse(html: str) -> Page:
                 break
         open_.append(page.add(tag, open_[-1], names_of(attributes)))
         skip += tag in SKIPPED
+        if last_end.get(tag, n) < at:
+            loose = open_[-1]
     flush()
     return page
 
@@ -168,12 +195,18 @@ def numbers(pages: list[Page]) -> np.ndarray:
     before = np.cumsum(own) - own
     depth, others, mains, below, children, place = [0] * n, other.copy(), main.copy(), [0] * n, [0] * n, [0] * n
     kinds: dict[tuple[int, str], int] = {}
+    announces = [t == "#text" and len(x) < 60 and REPLIES.fullmatch(x) is not None for t, x in zip(tag, text, strict=True)]
+    # what comes after such a text in its block, or in the block that its heading stands in
+    heard, told = [False] * n, [False] * n
     for i in range(n):
         if not top[i]:
             p = up[i]
             depth[i], others[i], mains[i] = depth[p] + 1, others[p] + other[i], mains[p] + main[i]
             place[i] = children[p]
             children[p] += 1
+            told[i] = told[p] or heard[p]
+            if announces[i]:
+                heard[p] = heard[up[p]] = True
         kinds[up[i], tag[i]] = kinds.get((up[i], tag[i]), 0) + 1
     for i in range(n - 1, -1, -1):
         if not top[i]:
@@ -193,7 +226,7 @@ def numbers(pages: list[Page]) -> np.ndarray:
         [depth, np.log1p(size), share, np.log1p(size / (1 + below)), np.log1p(own), np.array(other) > 0, np.array(main) > 0]
         + [np.minimum(others, 3), np.minimum(mains, 3), size / total, np.log1p(mates), place / mates, alike / mates, [t == "#text" for t in tag]]
         + [heading, heading[up], item[up], para[up], np.log1p(size[up] / mates), stops / np.maximum(size, 1), share[up]]
-        + [(before - before[root]) / total, np.log1p(longest), np.log1p(below)]
+        + [(before - before[root]) / total, np.log1p(longest), np.log1p(below), announces, told]
     ).astype(np.float32)
 
 
@@ -292,6 +325,21 @@ def variant(page: Page, truth: np.ndarray, others: list[str], rng: np.random.Gen
         label.append(yes)
         return out.add(*node)
 
+    def sentence() -> str:
+        return " ".join(others[rng.integers(len(others))].split(" ")[: rng.integers(3, 60)])
+
+    def readers(parent: int) -> None:
+        """Remarks of readers in elements without names, under a line that announces them."""
+        top = parent if rng.random() < 0.3 else put("div", parent, yes=False)
+        line = put(("div", "h2", "h3", "p")[rng.integers(4)], top, yes=False)
+        count, word = rng.integers(1, 200), ("replies", "comments", "responses", "Kommentare", "commentaires", "comentarios")[rng.integers(6)]
+        put("#text", line, frozenset(), (f"{count} {word}", f"{word.title()} ({count})", word.title())[rng.integers(3)], yes=False)
+        for _ in range(rng.integers(1, 8)):
+            one = put("div", top, yes=False)
+            if rng.random() < 0.7:
+                put("#text", put("div", one, yes=False), frozenset(), " ".join(sentence().split(" ")[:2]), yes=False)
+            put("#text", put(("p", "div")[rng.integers(2)], one, yes=False), frozenset(), sentence(), yes=False)
+
     def extra(parent: int) -> None:
         kind = rng.integers(4)
         top = put(*(("aside", parent) if rng.random() < 0.3 else ("div", parent, some(False))), yes=False)
@@ -303,6 +351,15 @@ def variant(page: Page, truth: np.ndarray, others: list[str], rng: np.random.Gen
             text = " ".join(words)
             put("#text", inner, frozenset(), text, len(text) if kind == 3 else 0, yes=False)
 
+    def listed(parent: int) -> None:
+        """A heading and a list of the article's own."""
+        words = sentence().split(" ")[: rng.integers(1, 8)]
+        put("#text", put(("h2", "h3")[rng.integers(2)], parent, yes=True), frozenset(), " ".join(words), yes=True)
+        top = put(("ul", "ol")[rng.integers(2)], parent, yes=True)
+        for _ in range(rng.integers(2, 6)):
+            text = " ".join(sentence().split(" ")[: rng.integers(2, 15)])
+            put("#text", put("li", top, yes=True), frozenset(), text, yes=True)
+
     last_main = max(np.flatnonzero(truth[: len(page.tag)]), default=0)
     for i in range(1, len(page.tag)):
         tag, tokens, parent = page.tag[i], page.tokens[i], place[page.parent[i]]
@@ -312,20 +369,22 @@ def variant(page: Page, truth: np.ndarray, others: list[str], rng: np.random.Gen
         if tag in ("body", "div", "article", "main") and rng.random() < 0.25:
             extra(parent)
         place[i] = put(tag, parent, tokens, page.text[i], page.links[i], yes=bool(truth[i]))
+        if tag == "p" and truth[i] and rng.random() < 0.1:
+            listed(parent)
         if i == last_main and rng.random() < 0.5:
-            extra(place[page.parent[page.parent[i]]] if page.parent[i] > 0 else parent)
+            (extra if rng.random() < 0.5 else readers)(place[page.parent[page.parent[i]]] if page.parent[i] > 0 else parent)
     return out, np.array(label)
 
 
 def train(pages: DataFrame, limit: int = TRAIN_PAGES) -> Boosted | None:
-    known = pages.filter("html is not null").select("url", "page_id", F.substring("html", 1, 200_000).alias("html"))
+    known = pages.filter(F.length("html") <= TRAIN_LENGTH).select("url", "page_id", "html")
     rows = lowest(known, ["url", "page_id"], limit).select("html").collect()
     read = [(page, truth) for page in (parse(x.html) for x in rows) if (truth := marked(page)) is not None]
     if not read:
         return None
     rng = np.random.default_rng(7)
     others = [text for page, _ in read for text in page.text if len(text) > 20] or ["more"]
-    every = [*read, *(variant(page, truth, others, rng) for page, truth in read for _ in range(3))]
+    every = [*read, *(variant(page, truth, others, rng) for page, truth in read for _ in range(4))]
     size = [len(page.tag) for page, _ in every]
     weight = np.repeat(1 / np.sqrt(size), size)
     return boost(numbers([page for page, _ in every]), np.concatenate([t for _, t in every]).astype(float), weight / weight.mean())
