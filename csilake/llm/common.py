@@ -43,6 +43,12 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text))
 
 
+def unused(frame: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until the frame has none of them in any spelling: columns of an operator's own beside all of the caller's."""
+    taken = {x.lower() for x in frame.columns}
+    return [next(x for x in (name + "_" * k for k in range(len(taken) + 1)) if x.lower() not in taken) for name in names]
+
+
 def dealt(docs: DataFrame, chunk_bytes: int, spread: int = 4) -> tuple[DataFrame, int]:
     """(chunk, doc_id, text) of all rows, dealt by a hash to chunks of about ``chunk_bytes``, ``spread`` a shuffle partition at least; and the bytes of all texts.
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from csilake.llm.common import SPACED, chunks, mix, stored, table, texts, words
+from csilake.llm.common import SPACED, chunks, mix, stored, table, texts, words, unused
 
 CHUNKS, WIDTH = 16, 5
 SLOTS = CHUNKS * WIDTH
@@ -287,14 +287,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Rows without a set are all kept, but those that repeat an id and its text, or without an id a whole row, are one.
     """
-    keyed = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_text": F.xxhash64(F.coalesce("text", F.lit("")))})
+    doc, key, whole, chosen_doc, chosen_key = unused(docs, "_doc", "_text", "_row", "_id", "_key")
+    keyed = docs.withColumns({doc: F.col("doc_id").cast("long"), key: F.xxhash64(F.coalesce("text", F.lit("")))})
     some = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     chosen = near_duplicates(docs).filter("kept and n_shingles > 0").groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
-    chosen = chosen.select(F.col("row.doc_id").alias("_id"), F.col("row.text_key").alias("_key"))
-    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))
-    first = keyed.filter(some).join(chosen, same, "left_semi").dropDuplicates(["_doc", "_text"])
-    whole = F.when(F.col("_doc").isNull(), F.to_json(F.struct(*docs.columns)))
-    bare = keyed.filter(~some).withColumn("_row", whole).dropDuplicates(["_doc", "_text", "_row"])
+    chosen = chosen.select(F.col("row.doc_id").alias(chosen_doc), F.col("row.text_key").alias(chosen_key))
+    same = F.col(doc).eqNullSafe(F.col(chosen_doc)) & (F.col(key) == F.col(chosen_key))
+    first = keyed.filter(some).join(chosen, same, "left_semi").dropDuplicates([doc, key])
+    row = F.when(F.col(doc).isNull(), F.to_json(F.struct(*docs.columns)))
+    bare = keyed.filter(~some).withColumn(whole, row).dropDuplicates([doc, key, whole])
     return first.select(*docs.columns).unionAll(bare.select(*docs.columns))
 
 

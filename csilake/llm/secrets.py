@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from csilake.llm.common import stored, table
+from csilake.llm.common import stored, table, unused
 
 # The base kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -161,8 +161,9 @@ def redact(docs: DataFrame, marker: str = "[SECRET]", owner: str = "source", rep
     Only texts that hold a secret take part in the join; ``n_chars`` follows the new text if there is one.
     """
     ranges = judged(scan(docs, owner, repository)).filter(F.size("ranges") > 0).select("text_key", "ranges").dropDuplicates(["text_key"])
-    keyed = docs.withColumn("_key", F.sha2("text", 256))
-    marked = keyed.join(ranges.withColumnsRenamed({"text_key": "_key", "ranges": "_ranges"}), "_key", "left")
+    key, spans = unused(docs, "_key", "_ranges")
+    keyed = docs.withColumn(key, F.sha2("text", 256))
+    marked = keyed.join(ranges.withColumnsRenamed({"text_key": key, "ranges": spans}), key, "left")
 
     def cut(state, x):
         far = F.greatest(state["at"], x["end"])
@@ -172,8 +173,8 @@ def redact(docs: DataFrame, marker: str = "[SECRET]", owner: str = "source", rep
         return F.struct(done.alias("out"), far.alias("at"))
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    new = F.aggregate("_ranges", start, cut, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    out = marked.withColumn("text", F.when(F.col("_ranges").isNotNull(), new).otherwise(F.col("text"))).drop("_key", "_ranges")
+    new = F.aggregate(spans, start, cut, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
+    out = marked.withColumn("text", F.when(F.col(spans).isNotNull(), new).otherwise(F.col("text"))).drop(key, spans)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

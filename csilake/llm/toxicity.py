@@ -3,7 +3,7 @@
 Features are a text's distinct words and word starts, adjacent pairs, and pairs with one word between, hashed to
 FEATURE_BITS bits. Training sees a bounded sample of the labelled rows (TRAIN_ROWS, lowest hash of the id first, so the sample doesn't depend
 on partitions), fetched one partition at a time. Each coordinate has its own rate, and L1 leaves few weights other than zero:
-these alone are broadcast, at most WEIGHTS_MOST of them, and all rows are scored where they lie, without a shuffle.
+these alone are broadcast, and all rows are scored where they lie, without a shuffle.
 
 Rows with crc32(id as text) mod 4 = 2 are held out. Labels are read for training alone. A null text is empty; it
 scores by the bias. Without a labelled row of either class the bias is a low prior. Null ids hash as an empty text.
@@ -21,11 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from csilake.llm.common import PLAIN, chunks, lowest, mix, ranges_hash, stored, table, texts, words
+from csilake.llm.common import PLAIN, chunks, lowest, mix, ranges_hash, stored, table, texts, unused, words
 
 TRAIN_ROWS = 8_000
 FEATURE_BITS = 24
-WEIGHTS_MOST = 1 << 20
 EPOCHS, RATE, SMOOTH, L1, L2 = 3, 0.6, 1.0, 4.0, 0.1
 THRESHOLD = 0.3
 #: Lengths in bytes of the word starts that count as words of their own, for inflected and compound words.
@@ -127,8 +126,6 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Weights
             model.learn(np.frombuffer(row.features, dtype=np.int32), row.label)
     held = np.flatnonzero((model.z[:-1] > L1) | (model.z[:-1] < -L1))
     weight = model.weight(held)
-    if len(held) > WEIGHTS_MOST:
-        raise ValueError(f"{len(held)} weights; raise L1")
     bias = float(model.weight(np.array([len(model.z) - 1]))[0]) + model.start
     return Weights(held, weight, bias)
 
@@ -136,15 +133,17 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Weights
 def scored(docs: DataFrame, weights: Weights) -> DataFrame:
     """The rows with ``score`` last; all columns stay, a column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    rows = docs.drop("score").withColumn("_text", F.coalesce("text", F.lit("")))
-    names = [x for x in rows.columns if x != "_text"]
+    rows = docs.drop("score")
+    names = rows.columns
+    (whole,) = unused(rows, "_text")
+    rows = rows.withColumn(whole, F.coalesce("text", F.lit("")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in chunks(batch, "_text"):
+            for a, b in chunks(batch, whole):
                 part = batch.slice(a, b - a)
-                score = pa.array(shared.value.score(part.column("_text")))
-                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), score], names=[*names, "score"])
+                score = pa.array(shared.value.score(part.column(len(names))))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), score], names=[*names, "score"])
 
     schema = docs.drop("score").schema.add("score", "double")
     return rows.mapInArrow(run, schema)
@@ -152,9 +151,10 @@ def scored(docs: DataFrame, weights: Weights) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that score below THRESHOLD, with all their columns."""
-    keyed = docs.withColumnsRenamed({"score": "_score"}) if "score" in docs.columns else docs
-    kept = scored(keyed, train(docs, labels)).filter(F.col("score") < THRESHOLD).drop("score")
-    return kept.withColumnsRenamed({"_score": "score"}).select(*docs.columns)
+    own = [x for x in docs.columns if x.lower() == "score"]
+    aside = dict(zip(own, unused(docs, *("_score" for _ in own)), strict=True))
+    kept = scored(docs.withColumnsRenamed(aside), train(docs, labels)).filter(F.col("score") < THRESHOLD).drop("score")
+    return kept.withColumnsRenamed({new: old for old, new in aside.items()}).select(*docs.columns)
 
 
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
