@@ -251,5 +251,23 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "spans"
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
     )
+
+
+#: The same by DuckDB: all windows of the items as texts, looked for among the documents' word sequences of the same lengths.
+OP8_SQL = r"""
+WITH cut AS (SELECT lower_az, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+' AS word FROM (SELECT 'abcdefghijklmnopqrstuvwxyz' AS lower_az)),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), upper(lower_az), lower_az), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents, cut),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), upper(lower_az), lower_az), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark, cut),
+win AS MATERIALIZED (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + 12], ' ') AS s FROM b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS t(i) WHERE len(w) > 0
+), lengths AS (SELECT DISTINCT n FROM win),
+seq AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM d, lengths, unnest(range(1, len(w) - n + 2)) AS t(i)),
+found AS MATERIALIZED (SELECT r, i, n, item_id FROM seq JOIN win USING (n, s)),
+hit AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM found, unnest(range(0, n)) AS t(k) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS item_id FROM found) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+"""

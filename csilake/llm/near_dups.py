@@ -300,4 +300,21 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def op5_near_dups(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates(table(spark, folder, "documents"))
+    """All documents; whether each is the least of its component."""
+    return near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: The same by DuckDB: every pair of texts that share a word pair, compared on the full sets.
+OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT r, doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM d
+), each AS MATERIALIZED (SELECT r, hash(x) AS x FROM sets, unnest(s) AS t(x)),
+size AS MATERIALIZED (SELECT r, len(s) AS n FROM sets),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM each a JOIN each b ON a.x = b.x AND a.r <> b.r GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM common JOIN size x ON x.r = a JOIN size y ON y.r = b WHERE 100 * common.n >= 80 * (x.n + y.n - common.n)),
+reach AS (SELECT r AS a, r AS b FROM size UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+least AS (SELECT a AS r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least USING (r)
+"""
