@@ -1,8 +1,9 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-A text's symbols are its words (white space apart; a word of over 16 code points counts as pieces of 16). A
-K-mer of symbols is chosen if the smallest hash among its inner S-mers stands first or last in it. That depends on the K-mer
-alone, so an edit moves only those anchors that touch it, and the same passage has the same anchors in any text.
+A text's symbols are its words (white space apart); of a word of over LONG code points, as in scripts without blanks or in code, each code point is a
+symbol. A K-mer of symbols is chosen if the smallest hash among its inner S-mers stands first or last in it. That depends on the K-mer
+alone, so an edit moves only those anchors that touch it, and the same passage has the same anchors in any text. (A word that an edit makes
+longer than LONG, or no longer so, changes as a whole.)
 A text of fewer than K symbols, but not none, has one anchor: all of it.
 
 ``anchors`` lists all of them in order, each with the number of its first symbol (from 0) and its hash. The fingerprint is all distinct
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from csilake.llm.common import table, texts
 
 K, S = 4, 2
-#: Hashes that a fingerprint keeps: all.
-SKETCH = None
+LONG = 16
+_IN = r"[^\x20\x09-\x0D]"
+SYMBOL = rf"(?<!{_IN}){_IN}{{1,{LONG}}}(?!{_IN})|{_IN}"
 ROWS_PER_RANGE, MOST_RANGES = 2_000, 10_000
 
 
@@ -36,13 +38,13 @@ def anchors(docs: DataFrame, text: str, out: str) -> DataFrame:
     """
     inner = K - S + 1
     at = lambda c, i, n: F.get(F.col(c), i + F.lit(n))
-    symbols = F.regexp_extract_all(F.col(text), F.lit(r"([^\x20\x09-\x0D]{1,16})"), F.lit(1))
+    symbols = F.regexp_extract_all(F.col(text), F.lit(SYMBOL), F.lit(0))
     hashed = docs.withColumn("_h", F.transform(symbols, lambda x: F.xxhash64(x)))
     parts = F.transform(F.slice("_h", F.lit(1), F.size("_h") - (S - 1)), lambda _, i: F.xxhash64(*(at("_h", i, j) for j in range(S))))
     minor = hashed.withColumn("_s", F.when(F.size("_h") >= K, parts))
 
     def anchor(i: Column, hashed: Column) -> Column:
-        return F.struct(i.cast("int").alias("position"), F.shiftrightunsigned(hashed, 24).alias("hash"))
+        return F.struct(i.cast("int").alias("position"), hashed.alias("hash"))
 
     def chosen(x: Column, i: Column) -> Column:
         edges = F.least(x, at("_s", i, inner - 1))

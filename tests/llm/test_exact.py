@@ -264,7 +264,7 @@ def long_hash(values, seed=42):
 
 
 def anchors_by_hand(text):
-    symbols = [long_hash([x]) for x in re.findall(r"[^\x20\x09-\x0D]{1,16}", text)]
+    symbols = [long_hash([x]) for word in SPACED.findall(text) for x in ([word] if len(word) <= 16 else word)]
     k, s = syncmers.K, syncmers.S
     if len(symbols) >= k:
         minor = [long_hash(symbols[i : i + s]) for i in range(len(symbols) - s + 1)]
@@ -272,14 +272,13 @@ def anchors_by_hand(text):
         picked = [long_hash(minor[i : i + inner]) for i in range(len(minor) - inner + 1) if min(minor[i], minor[i + inner - 1]) <= min(minor[i + 1 : i + inner - 1])]
     else:
         picked = [long_hash(symbols)] if symbols else []
-    return sorted({x % 2**64 >> 24 for x in picked})[: syncmers.SKETCH]
+    return sorted(set(picked))
 
 
 def likeness_by_hand(a, b):
     if not a and not b:
         return 1.0
-    least = sorted({*a, *b})[: syncmers.SKETCH]
-    return len(set(least) & set(a) & set(b)) / len(least)
+    return len({*a} & {*b}) / len({*a, *b})
 
 
 def test_syncmer_fingerprints(documents, monkeypatch):
@@ -296,7 +295,7 @@ def test_syncmer_fingerprints(documents, monkeypatch):
         own, changed, near = map(anchors_by_hand, (text, edited, after))
         r = got[doc]
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert r.fingerprint == ",".join(f"{x:x}" for x in own) and r.edited_fingerprint == ",".join(f"{x:x}" for x in changed)
+        assert r.fingerprint == ",".join(f"{x % 2**64:x}" for x in own) and r.edited_fingerprint == ",".join(f"{x % 2**64:x}" for x in changed)
         assert r.near_edited == pytest.approx(likeness_by_hand(own, changed)) and r.near_next == pytest.approx(likeness_by_hand(own, near))
     assert got[75].fingerprint == got[0].fingerprint
 
@@ -318,6 +317,17 @@ def test_all_anchors_of_long_texts_are_kept(documents):
     assert got[1].near_next == pytest.approx(len(common) / len({*places[0], *places[1]}))
 
 
+def test_anchors_of_texts_without_blanks(documents):
+    """One more code point in the middle moves only the anchors that touch it."""
+    rng = random.Random(12)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(20_000))
+    rows = [(1, text), (2, text[:9_000] + "中" + text[9_000:]), (3, "見出し " + text[5_000:6_000])]
+    one, two, three = ({(a.position, a.hash) for a in r.anchors} for r in syncmers.fingerprints(documents(rows)).orderBy("doc_id").collect())
+    assert len(one) > 8_000
+    assert {(p + (p >= 9_000), h) for p, h in one if not 9_000 - syncmers.K < p < 9_000} <= two and len(two - {(p + (p >= 9_000), h) for p, h in one}) <= syncmers.K
+    assert {(p - 5_000 + 1, h) for p, h in one if 5_000 <= p <= 6_000 - syncmers.K} <= three
+
+
 def test_syncmers_of_odd_tables(documents):
     assert syncmers.fingerprints(documents([])).count() == 0
     one = syncmers.fingerprints(documents([(5, "a lone text of some words")])).first()
