@@ -11,12 +11,12 @@ These are cut, in place relative to the anchor, into pieces of at most STEP wind
 core, and pieces meet by core. Pieces that still differ are dealt to two shards. Each shard has its own transform (two bytes a
 step); the shards are merged by refining their interleave: each pass deals the rows stably by the bytes before them, and
 after LENGTH / 2 passes the interleave is that of the merged suffix order, up to LENGTH bytes, without sorting the suffixes of both
-again. Neighbours with a common prefix of LENGTH bytes form the repeated intervals, and all but an interval's first
-occurrence are removed.
+again. The same passes tell which neighbours have had all bytes in common so far; those that no pass parts have a common prefix of
+LENGTH bytes and form the repeated intervals, and all but an interval's first occurrence are removed.
 
 An anchor with over HOT different segments (a passage in very many documents, each going on differently) is cut to single
 windows, keyed by their own hashes and sorted by place; of each key the first row alone is held, so no group is gathered whole. Copies inside a chunk of a task are merged before any
-shuffle. Equality is by 64-bit hashes of whole strings.
+shuffle. Equality of segments, pieces and single windows is by 64-bit hashes of the whole strings, that of merged windows by their bytes.
 
 A null text is empty. Rows that repeat an id and text share one result; rows of one id and different texts are ordered by
 text hash; null ids come last.
@@ -238,17 +238,28 @@ class Transform:
             rank, step = rank * n + np.roll(rank, -step), 2 * step
 
 
-def interleave(one: Transform, two: Transform, depth: int = LENGTH) -> np.ndarray:
-    """For each row of the merged order, up to ``depth`` bytes, whether it is of the second transform."""
+def interleave(one: Transform, two: Transform, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of the merged order, up to ``depth`` bytes (an even number): whether it is of the second transform, and the number of its interval.
+
+    Rows of one interval have their first ``depth`` bytes in common. A pass puts two bytes before what a row had: neighbours that
+    it deals to one pair of bytes, out of one interval of the pass before, stay together, and all others part.
+    """
     second = np.concatenate([np.zeros(len(one.text), dtype=bool), np.ones(len(two.text), dtype=bool)])
-    for _ in range(-(-depth // 2)):
-        before = np.empty(len(second), dtype=np.uint16)
-        before[~second], before[second] = one.pairs, two.pairs
-        refined = second[np.argsort(before, kind="stable")]
-        if np.array_equal(refined, second):
-            break
-        second = refined
-    return second
+    interval, dealt = np.zeros(len(second), dtype=np.int32), None
+    for _ in range(depth // 2):
+        if dealt is None:  # the interleave has changed, so rows are dealt in a new way
+            before = np.empty(len(second), dtype=np.uint16)
+            before[~second], before[second] = one.pairs, two.pairs
+            order = np.argsort(before, kind="stable")
+            refined, pair = second[order], before[order]
+            parts = pair[1:] != pair[:-1]
+            if np.array_equal(refined, second):
+                dealt = order
+            second = refined
+        held = interval[order]
+        interval[0] = 0
+        np.cumsum(parts | (held[1:] != held[:-1]), out=interval[1:])
+    return second, interval
 
 
 def repeated(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -256,24 +267,17 @@ def repeated(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     numbers = np.arange(len(strings))
     shards = [numbers[k::2] for k in (0, 1)]
     transforms = [Transform([strings[i] for i in x]) for x in shards]
-    second = interleave(*transforms)
-    owner, place, full = (np.empty(len(second), dtype=np.int64) for _ in range(3))
-    value = np.empty(len(second), dtype=np.uint64)
+    second, interval = interleave(*transforms)
+    owner, place = (np.empty(len(second), dtype=np.int64) for _ in range(2))
+    window = np.empty(len(second), dtype=bool)
     for mine, x, part in ((~second, transforms[0], shards[0]), (second, transforms[1], shards[1])):
         size = np.array([len(strings[i]) + 1 for i in part])
         begin = np.cumsum(size) - size
         text_of = np.repeat(np.arange(len(part)), size)
         at = np.arange(len(x.text)) - begin[text_of]
-        window = at <= size[text_of] - 1 - LENGTH
-        code = np.zeros(len(x.text), dtype=np.uint64)
-        start = np.flatnonzero(window)
-        code[start] = ranges_hash(x.text, start, start + LENGTH)
-        owner[mine], place[mine], full[mine], value[mine] = part[text_of][x.order], at[x.order], window[x.order], code[x.order]
-    keep = full.astype(bool)
-    owner, place, value = owner[keep], place[keep], value[keep]
-    new = np.ones(len(value), dtype=bool)
-    new[1:] = value[1:] != value[:-1]  # the common prefix of neighbours is shorter than LENGTH
-    return owner, place, np.cumsum(new)
+        inside = at <= size[text_of] - 1 - LENGTH
+        owner[mine], place[mine], window[mine] = part[text_of][x.order], at[x.order], inside[x.order]
+    return owner[window], place[window], interval[window]
 
 
 class Pieces:
