@@ -1,12 +1,13 @@
 """Secret scan with ownership frequency over the whole corpus.
 
 Every text is searched for assignments, access keys and long hex runs (the base kinds), and for further long mixed
-tokens. Each candidate's value is hashed, and the corpus is asked how many distinct owners and repositories
-hold it: a value of SHARED_OWNERS owners or more is a widely copied example, a rarer one looks live. The
+tokens. Each candidate's value is hashed, and the corpus is asked how many distinct owners, repositories and documents
+hold it. A value is a widely copied example if SHARED_OWNERS owners hold it, or SHARED_REPOSITORIES repositories (one owner's too), or
+SHARED_DOCUMENTS documents, as when one owner repeats an example all over; a rarer one looks live. The
 frequency adds spans: a mixed token outside all base spans counts as a secret (kind ``owned``) if one owner
-alone holds it. Base spans stay whatever their frequency; ``n_shared`` and ``n_live`` tell them apart.
+alone holds it and it isn't such an example. Base spans stay whatever their frequency; ``n_shared`` and ``n_live`` tell them apart.
 
-A null or empty text has no spans. Null owners and repositories count as one. Repeated rows repeat their result.
+A null or empty text has no spans. Null owners and repositories count as one. Repeated rows repeat their result, and each is a document.
 Counting goes by (value, owner, repository), then (value, owner), then value, each combined before its shuffle, so a value
 that a third of all rows hold is no hot task. Spans are in code points, end exclusive.
 """
@@ -20,7 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from csilake.llm.common import stored, table, unused
@@ -32,7 +33,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "owned")
 
 MIXED = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-SHARED_OWNERS = 3
+#: From so many owners, repositories or documents on, a value is an example.
+SHARED_OWNERS, SHARED_REPOSITORIES, SHARED_DOCUMENTS = 3, 5, 20
 #: Bits of entropy per character that a mixed token has at least.
 ENTROPY = 3.5
 
@@ -121,37 +123,43 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "lang") -> Da
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """value, n_owners, n_repositories over all rows. A repository is known by its name and owner."""
-    held = found.select("owner", "repository", F.explode("candidates.value").alias("value"))
+    """value, n_owners, n_repositories, n_documents over all rows. A repository is known by its name and owner; a document counts once."""
+    held = found.select("owner", "repository", F.explode(F.array_distinct("candidates.value")).alias("value"))
     return (
         held.groupBy("value", "owner", "repository")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("value", "owner")
         .agg(F.count("*").alias("n"))
+        .groupBy("value", "owner")
+        .agg(F.count("*").alias("repositories"), F.sum("n").alias("n"))
         .groupBy("value")
-        .agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
+        .agg(F.count("*").alias("n_owners"), F.sum("repositories").alias("n_repositories"), F.sum("n").alias("n_documents"))
     )
 
 
+def widely_copied() -> Column:
+    return (F.col("n_owners") >= SHARED_OWNERS) | (F.col("n_repositories") >= SHARED_REPOSITORIES) | (F.col("n_documents") >= SHARED_DOCUMENTS)
+
+
 def judged(found: DataFrame) -> DataFrame:
     """The scanned rows with all their spans: ``spans`` as text, ``ranges`` as an array, and the counts by ownership."""
     each = found.filter("text_key is not null").dropDuplicates(["text_key"]).select("text_key", F.explode("candidates").alias("c"))
     known = each.select("text_key", "c.*").join(ownership(found), "value")
-    kept = known.filter((F.col("kind") < 3) | (F.col("n_owners") == 1))
+    known = known.withColumn("shared", widely_copied())
+    kept = known.filter((F.col("kind") < 3) | ((F.col("n_owners") == 1) & ~F.col("shared")))
     names = F.array(*map(F.lit, KINDS))
     by_text = kept.groupBy("text_key").agg(
         F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("ranges"),
         F.count_if(F.col("kind") == 3).alias("n_owned"),
-        F.count_if((F.col("kind") < 3) & (F.col("n_owners") >= SHARED_OWNERS)).alias("n_shared"),
-        F.count_if((F.col("kind") < 3) & (F.col("n_owners") < SHARED_OWNERS)).alias("n_live"),
+        F.count_if((F.col("kind") < 3) & F.col("shared")).alias("n_shared"),
+        F.count_if((F.col("kind") < 3) & ~F.col("shared")).alias("n_live"),
         F.max("n_owners").alias("most_owners"),
         F.max("n_repositories").alias("most_repositories"),
+        F.max("n_documents").alias("most_documents"),
     )
     some = found.filter("text_key is not null").drop("candidates").join(by_text, "text_key", "left")
     none = found.filter("text_key is null").drop("candidates")
     whole = some.unionByName(none, allowMissingColumns=True)
     text = F.array_join(F.transform("ranges", lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
-    counts = ("n_owned", "n_shared", "n_live", "most_owners", "most_repositories")
+    counts = ("n_owned", "n_shared", "n_live", "most_owners", "most_repositories", "most_documents")
     return whole.withColumn("spans", F.coalesce(text, F.lit(""))).fillna(0, list(counts))
 
 
@@ -183,5 +191,5 @@ def redact(docs: DataFrame, marker: str = "[SECRET]", owner: str = "source", rep
 def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     rows = judged(scan(table(spark, folder, "documents")))
     return rows.select(
-        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_owned", "n_shared", "n_live", "most_owners", "most_repositories"
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_owned", "n_shared", "n_live", "most_owners", "most_repositories", "most_documents"
     )
