@@ -7,8 +7,8 @@ All windows are searched backwards side by side; their rows are walked to a samp
 are merged into hit words.
 
 The benchmark is the stated query set. It is searched in blocks of at most BLOCK_BYTES of text (or one item), each broadcast by itself, so
-what is broadcast is bounded whatever the benchmark's size; each block is one pass over the texts. Texts aren't shuffled, and a
-lost task is run again from its input. Words are compared by 64-bit hashes.
+what is broadcast is bounded whatever the benchmark's size; each block is one pass over the texts, written to the shared folder before the
+next block is sent. Texts aren't shuffled, and a lost task is run again from its input. Words are compared by 64-bit hashes.
 
 Null texts have no words. Items without words are in no result; repeated ids count once, a null id as an empty
 text. An empty benchmark hits nothing. Repeated documents repeat their result.
@@ -26,10 +26,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from csilake.llm import common
-from csilake.llm.common import PLAIN, chunks, table, texts, words
+from csilake.llm.common import PLAIN, chunks, stored, table, texts, words
 
 WINDOW = 13
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 SAMPLE = 8
 
 
@@ -224,8 +224,13 @@ def searched(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kinds = {_WORDS: "bigint", _SPANS: "array<struct<start:bigint,end:bigint>>", _ITEMS: "array<string>"}
     start = {_WORDS: F.lit(0), _SPANS: F.array(), _ITEMS: F.array()}
     now = docs.withColumns({x: start[x].cast(kinds[x]) for x in kinds})
+    shared = None
     for block in blocks(benchmark):
-        now = now.mapInArrow(_search(context.broadcast(Windows.of(block))), now.schema)
+        if shared is not None:  # a block is done before the next one is sent
+            now = stored(now, "decontaminate-block")
+            shared.destroy()
+        shared = context.broadcast(Windows.of(block))
+        now = now.mapInArrow(_search(shared), now.schema)
     return now
 
 
