@@ -58,10 +58,10 @@ def slot_of(key: Column, size: int = TABLE_SIZE) -> Column:
 
 
 def shard_of(key: Column, shards: Sequence[str] | Mapping[str, int], size: int = TABLE_SIZE) -> Column:
-    """Name of a key's shard. The table stands in the plan as one text, folded to an array before the run."""
+    """Name of a key's shard; names may hold any character. The table stands in the plan as one text, folded to an array before the run."""
     names = sorted(shards)
     numbers = F.split(F.lit(",".join(map(str, lookup_table(shards, size)))), ",").cast("array<int>")
-    name = F.split(F.lit("\n".join(names)), "\n")
+    name = F.array(*map(F.lit, names))
     return F.element_at(name, F.element_at(numbers, slot_of(key, size) + 1) + 1)
 
 
