@@ -10,10 +10,11 @@ A text of fewer than K symbols, but not none, has one anchor: all of it.
 hashes of a text, sorted, as hex numbers with commas; the likeness of two texts is the Jaccard index of these sets. Two empty
 sets are alike (1.0), an empty one and another are not (0.0).
 
-The edited text joins a row to the next one in descending doc_id. Rows are cut into id ranges, ordered inside
-each, and the first row of each range is handed to the range above: one shuffle of the texts, no global window. Equal ids are
-ordered by text, null ids come last, a null text is empty, and a table of one row is followed by itself.
-Range cuts are of equal width in doc_id; ids bunched in one narrow range make larger sorts, which spill.
+The edited text joins a row to the next one in descending doc_id. Rows are cut into ranges of (doc_id, hash of the text), ordered
+inside each, and the first row of each range is handed to the range above: one shuffle of the texts, no global window. Equal ids are
+ordered by that hash, null ids come last, a null text is empty, and a table of one row is followed by itself.
+The cuts are quantiles of the keys themselves, so outlying, bunched, null or repeated ids make no larger range; only rows alike in id and
+text lie in one.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ K, S = 4, 2
 LONG = 16
 _IN = r"[^\x20\x09-\x0D]"
 SYMBOL = rf"(?<!{_IN}){_IN}{{1,{LONG}}}(?!{_IN})|{_IN}"
-ROWS_PER_RANGE, MOST_RANGES = 2_000, 10_000
+#: Rows of a range, how many ranges there are at most, and sampled keys of a range.
+ROWS_PER_RANGE, MOST_RANGES, PER_RANGE = 2_000, 10_000, 20
 
 
 def anchors(docs: DataFrame, text: str, out: str) -> DataFrame:
@@ -70,24 +72,48 @@ def as_text(a: str) -> Column:
     return F.array_join(F.transform(F.array_sort(a), lambda x: F.lower(F.hex(x))), ",")
 
 
+def _order(doc: str, text: str) -> Column:
+    """A text that sorts as (doc_id, hash of the text) does, a null id first."""
+    hexed = lambda x: F.lpad(F.hex(x.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.coalesce(F.concat(F.lit("1"), hexed(F.col(doc))), F.lit("0")), hexed(F.xxhash64(text)))
+
+
+def _cuts(keyed: DataFrame) -> list[str]:
+    """Keys that cut the rows into ranges of about ROWS_PER_RANGE distinct keys; every PER_RANGE-th of a sample by hash, whose size MOST_RANGES bounds."""
+    n = keyed.count()
+    ranges = min(MOST_RANGES, n // ROWS_PER_RANGE)
+    if ranges < 2:
+        return []
+    bar = int(min(1.0, PER_RANGE * ranges / n) * ((1 << 64) - 1)) - (1 << 63)
+    sample = keyed.select("_key").filter(F.xxhash64("_key") <= F.lit(min(bar, (1 << 63) - 1))).distinct()
+    return sorted(x["_key"] for x in sample.toLocalIterator())[PER_RANGE - 1 :: PER_RANGE]
+
+
+def _cell(key: str, cuts: list[str]) -> Column:
+    """How many cuts lie at or below the key, by halving steps; the cuts stand in the plan as one text, folded to an array before the run."""
+    if not cuts:
+        return F.lit(0)
+    bounds = F.split(F.lit(",".join(cuts)), ",")
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))))
+    above = lambda at, step: F.coalesce(F.get(bounds, at + step - 1) <= F.col(key), F.lit(False))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(above(at, step), at + step).otherwise(at))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Each row with ``next_text`` of the row after it in descending doc_id, in a circle."""
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    ranges = max(1, min(MOST_RANGES, n // ROWS_PER_RANGE))
-    width = 1 if low is None else (high - low) // ranges + 1
-    cut = F.coalesce(F.expr(f"(doc_id - {low or 0}L) div {width}L"), F.lit(-1))
-    cells = docs.withColumns({"_cell": cut, "_tie": F.xxhash64("text")})
-    order = Window.partitionBy("_cell").orderBy(F.desc_nulls_last("doc_id"), F.desc("_tie"), F.desc("text"))
+    keyed = docs.withColumn("_key", _order("doc_id", "text"))
+    cells = keyed.withColumn("_cell", _cell("_key", _cuts(keyed)))
+    order = Window.partitionBy("_cell").orderBy(F.desc("_key"))
     inside = cells.withColumn("next_text", F.lead("text").over(order))
 
-    # The first row of each range, found by id alone; one range holds MOST_RANGES rows of ids at most.
-    tops = cells.groupBy("_cell").agg(F.max("doc_id").alias("_id"))
+    # The first row of each range, found by its key alone; there are some MOST_RANGES ranges at most.
+    tops = cells.groupBy("_cell").agg(F.max("_key").alias("_key"))
     down = Window.orderBy(F.desc("_cell"))
     so_far = down.rowsBetween(Window.unboundedPreceding, 0)
     chain = tops.select("_cell", F.coalesce(F.lead("_cell").over(down), F.max("_cell").over(so_far)).alias("_below"))
-    first = cells.join(F.broadcast(tops.select(F.col("_cell").alias("_c"), "_id")), (F.col("_c") == F.col("_cell")) & F.col("_id").eqNullSafe(F.col("doc_id")))
-    heads = first.groupBy(F.col("_cell").alias("_below")).agg(F.max(F.struct("_tie", "text")).alias("_top"))
-    follow = chain.join(heads, "_below").select("_cell", F.col("_top.text").alias("_head"))
+    first = keyed.join(F.broadcast(tops), "_key")
+    heads = first.groupBy(F.col("_cell").alias("_below")).agg(F.max("text").alias("_head"))
+    follow = chain.join(heads, "_below").select("_cell", "_head")
     return inside.join(follow, "_cell", "left").select(*docs.columns, F.coalesce("next_text", "_head").alias("next_text"))
 
 
