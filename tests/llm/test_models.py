@@ -316,6 +316,12 @@ def test_lookup_table():
             sharding.lookup_table(*bad)
 
 
+def test_shards_of_any_name(spark):
+    names = ["a\nb", "c,d", "", "é"]
+    found = {r.shard for r in sharding.place(spark.range(500), "id", names, 101).collect()}
+    assert found == set(names)
+
+
 def test_placement(spark):
     names = [f"s{i}" for i in range(50)]
     rows = spark.createDataFrame([(i, "x") for i in range(3_000)] + [(None, "y"), (5, "z")], "doc_id bigint, slot string")
