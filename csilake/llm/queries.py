@@ -10,7 +10,7 @@ from csilake.llm.html_text import op2_html_text
 from csilake.llm.lm_score import op7_lm_score
 from csilake.llm.near_dups import OP5_SQL, op5_near_dups
 from csilake.llm.phrase_dedup import OP13_SQL, op13_phrase_dedup
-from csilake.llm.secrets import op3_secrets
+from csilake.llm.secrets import OP3_SQL, op3_secrets
 from csilake.llm.sharding import op10_sharding
 from csilake.llm.suffix_dedup import op1_suffix_dedup
 from csilake.llm.syncmers import op9_syncmers
@@ -21,4 +21,4 @@ QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_html_text, op3_secrets,
 QUERIES["pipeline"] = corpus_pipeline.run
 
 #: Of what SQL can say whole; the tests hold the other operators against brute-force versions.
-ORACLE = {"op5_near_dups": OP5_SQL, "op8_decontaminate": OP8_SQL, "op11_centroids": OP11_SQL, "op13_phrase_dedup": OP13_SQL}
+ORACLE = {"op3_secrets": OP3_SQL, "op5_near_dups": OP5_SQL, "op8_decontaminate": OP8_SQL, "op11_centroids": OP11_SQL, "op13_phrase_dedup": OP13_SQL}

@@ -193,3 +193,42 @@ def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_owned", "n_shared", "n_live", "most_owners", "most_repositories", "most_documents"
     )
+
+
+#: The same by DuckDB: matches by pattern, their places from the lengths of what lies between them, holders by distinct counts over all rows.
+OP3_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source::VARCHAR, '') AS owner, coalesce(lang::VARCHAR, '') AS repository FROM documents),
+assign AS (SELECT '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)' AS a),
+cut AS (
+  SELECT r, 0 AS kind, regexp_split_to_array(t, a) AS p, regexp_extract_all(t, a) AS m, regexp_extract_all(t, a, 2) AS v FROM d, assign
+  UNION ALL SELECT r, 1, regexp_split_to_array(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+') AS x, x FROM d
+  UNION ALL SELECT r, 2, regexp_split_to_array(t, '[0-9a-f]{24,}'), regexp_extract_all(t, '[0-9a-f]{24,}') AS x, x FROM d
+  UNION ALL SELECT r, 3, regexp_split_to_array(t, '[A-Za-z0-9+/_=-]{20,}'), regexp_extract_all(t, '[A-Za-z0-9+/_=-]{20,}') AS x, x FROM d
+),
+found AS MATERIALIZED (
+  SELECT r, kind, v[i] AS v, len(m[i]) AS n, list_sum(list_transform(p[1:i], lambda x: len(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0)::BIGINT AS s
+  FROM cut, unnest(range(1, len(m) + 1)) AS t(i)
+),
+base AS MATERIALIZED (SELECT r, kind, v, s, s + n AS e FROM found WHERE (kind = 0 AND len(v) >= 6) OR (kind = 1 AND n >= 20) OR kind = 2),
+mixed AS (
+  SELECT r, kind, v, s, s + n AS e FROM found WHERE kind = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')
+    AND list_aggregate(string_split(v, ''), 'entropy') >= 3.5 AND NOT EXISTS (SELECT 1 FROM base WHERE base.r = found.r AND base.s < found.s + found.n AND found.s < base.e)
+),
+each AS MATERIALIZED (SELECT * FROM base UNION ALL SELECT * FROM mixed),
+held AS (
+  SELECT v, count(DISTINCT owner) AS n_owners, count(DISTINCT (owner, repository)) AS n_repositories, count(DISTINCT r) AS n_documents FROM each JOIN d USING (r) GROUP BY v
+),
+known AS (SELECT *, n_owners >= 3 OR n_repositories >= 5 OR n_documents >= 20 AS shared FROM each JOIN held USING (v)),
+kept AS (SELECT *, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || s || ':' || e AS span FROM known WHERE kind < 3 OR (n_owners = 1 AND NOT shared)),
+by_row AS (
+  SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(span, ',' ORDER BY s, kind, e) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY s, kind, e) AS spans,
+    count(*) FILTER (kind = 3) AS n_owned, count(*) FILTER (kind < 3 AND shared) AS n_shared, count(*) FILTER (kind < 3 AND NOT shared) AS n_live,
+    max(n_owners) AS most_owners, max(n_repositories) AS most_repositories, max(n_documents) AS most_documents
+  FROM kept GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_owned, 0) AS n_owned, coalesce(n_shared, 0) AS n_shared, coalesce(n_live, 0) AS n_live,
+  coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories, coalesce(most_documents, 0) AS most_documents
+FROM d LEFT JOIN by_row USING (r)
+"""
