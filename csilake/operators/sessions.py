@@ -13,6 +13,9 @@ from csilake.operators.repeats import collapse_repeats
 from csilake.schema import START_TAG
 from csilake.session import new_folder
 
+#: Ticks of a session's timer that are listed at once.
+TICKS_PER_ROW = 1_000
+
 
 def read_starts(commands: DataFrame) -> DataFrame:
     """Start commands with their duration ``n`` in seconds; other messages are dropped.
@@ -41,6 +44,11 @@ def session_end(start: Column, seconds: Column) -> Column:
     return start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
 
 
+def sessions_without_packets(packets: DataFrame, sessions: DataFrame, block_seconds: int = SECONDS_PER_BLOCK) -> DataFrame:
+    """The sessions that have nothing to save: no packet of their device lies in them."""
+    return sessions.join(packets_per_session(packets, sessions, block_seconds), "session_id", "left_anti")
+
+
 def packets_per_session(
     packets: DataFrame, sessions: DataFrame, block_seconds: int = SECONDS_PER_BLOCK, weight: Column | None = None
 ) -> DataFrame:
@@ -101,10 +109,13 @@ def progress_ticks(
     last = packets.select(F.max("ts")).scalar()
     step = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(period_seconds))
     # The final tick of a timer is its end, which reports nothing.
-    final = session_end(F.col("started_at"), F.col("n") - 1)
+    final = F.least(session_end(F.col("started_at"), F.col("n") - 1), last)
+    run = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(period_seconds * TICKS_PER_ROW))
+    # Ticks are listed in runs of a set length, so no row holds all of a long session's.
     ticks = (
         sessions.where(F.col("started_at") <= last)
-        .withColumn("ts", F.explode(F.sequence(F.col("started_at"), F.least(final, last), step)))
+        .withColumn("_run", F.explode(F.sequence(F.col("started_at"), final, run)))
+        .withColumn("ts", F.explode(F.sequence(F.col("_run"), F.least(final, F.col("_run") + run - step), step)))
         .select("device", "ts", F.lit(0).alias("weight"), "session_id", "started_at")
     )
     points = packets.groupBy("device", "ts").agg(F.count("*").cast("int").alias("weight")).select(

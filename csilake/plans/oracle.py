@@ -164,6 +164,7 @@ oracle(
 oracle("delete_all", "SELECT event_id, session_date, rssi FROM stored WHERE device % 2 = 1")
 oracle("schema_growth", "SELECT event_id, session_date, CASE WHEN device % 2 = 1 THEN rssi END AS rssi FROM stored")
 oracle("append_sessions", "SELECT event_id, device, session_date, scenario, rssi, data FROM stored")
+oracle("append_all_or_nothing", "SELECT event_id, device, session_date, scenario, rssi FROM stored WHERE device % 2 = 0")
 oracle(
     "overwrite_session",
     """SELECT event_id, session_date, scenario, seq, CASE WHEN scenario = 'click' THEN rssi - 100 ELSE rssi END AS rssi
@@ -204,6 +205,11 @@ oracle(
     JOIN events e ON e.user_id = s.device AND e.ts >= s.started_at AND e.ts < s.started_at + to_seconds(s.n)
     GROUP BY s.session_id, s.n""",
 )
+oracle(
+    "sessions_without_packets",
+    """SELECT s.session_id, s.device, s.started_at, s.n FROM starts s WHERE NOT EXISTS (
+      SELECT 1 FROM events e WHERE e.user_id = s.device AND e.ts >= s.started_at AND e.ts < s.started_at + to_seconds(s.n))""",
+)
 oracle(
     "session_packets",
     """SELECT e.event_id AS arrival, s.device, e.ts, s.session_id FROM starts s

@@ -25,6 +25,7 @@ SESSION = ["device", "session_date"]
 PROGRESS_PERIOD = "1 hour"
 STREAK_THRESHOLD = 5
 USER_BUCKETS = 8
+BROKEN_ROW = "a row that can't be stored"
 
 
 def query(function: Query) -> Query:
@@ -206,6 +207,23 @@ def append_sessions(spark, sf_dir):
     return tables.read_table(spark, path).select("event_id", "device", F.col("session_date").cast("date"), "scenario", "rssi", "data")
 
 
+@query
+def append_all_or_nothing(spark, sf_dir):
+    """An append, and a second one that fails at one of its rows: the table is as the first left it."""
+    path = new_folder(spark, "packets")
+    rows = inputs.stored_rows(spark, sf_dir).drop("payload", "bad_fields", "raw")
+    tables.append_sessions(rows.where("device % 2 = 0"), path)
+    rest = rows.where("device % 2 = 1")
+    last = rest.agg(F.max("event_id")).head()[0]
+    broken = F.when(F.col("event_id") == last, F.raise_error(F.lit(BROKEN_ROW)).cast("int")).otherwise(F.col("rssi"))
+    try:
+        tables.append_sessions(rest.withColumn("rssi", broken), path)
+    except Exception as failure:  # of the task's own error, whatever it is wrapped in
+        if BROKEN_ROW not in str(failure):
+            raise
+    return tables.read_table(spark, path).select("event_id", "device", F.col("session_date").cast("date"), "scenario", "rssi")
+
+
 @query
 def overwrite_session(spark, sf_dir):
     """Every session saved, then those of one scenario saved again with other values."""
@@ -309,6 +327,13 @@ def session_bound(spark, sf_dir):
     return sessions.packets_per_session(inputs.packet_times(spark, sf_dir), _sessions(spark, sf_dir))
 
 
+@query
+def sessions_without_packets(spark, sf_dir):
+    """Sessions that are not saved, since they are empty."""
+    empty = sessions.sessions_without_packets(inputs.packet_times(spark, sf_dir), _sessions(spark, sf_dir))
+    return empty.select("session_id", "device", "started_at", "n")
+
+
 @query
 def session_packets(spark, sf_dir):
     packets = inputs.packet_times(spark, sf_dir).select("arrival", "device", "ts")

@@ -183,3 +183,17 @@ def test_row_ids_of_many_interleaved_sessions(spark):
     rows = spark.range(40_000).selectExpr("id AS arrival", "id % 20000 AS k", "date'2024-01-01' AS d")
     found = sessions.assign_row_id(rows, "d", "k", "arrival")
     assert found.selectExpr("count_if(id = k * 2 + 1 + int(arrival / 20000)) AS n").first().n == 40_000
+
+
+def test_ticks_of_a_long_session_are_listed_in_runs(spark, monkeypatch):
+    start = datetime(2024, 1, 1)
+    packets = spark.createDataFrame([("a", start + timedelta(seconds=s, milliseconds=500)) for s in range(0, 40, 2)], "device string, ts timestamp_ntz")
+    starts = spark.createDataFrame([("a", 1, start, 25), ("a", 2, start + timedelta(seconds=7), 1), ("a", 3, start + timedelta(seconds=30), 500)], "device string, session_id bigint, started_at timestamp_ntz, n int")
+    whole = sorted(map(tuple, sessions.progress_ticks(packets, starts, 1).collect()))
+    monkeypatch.setattr(sessions, "TICKS_PER_ROW", 7)
+    assert sorted(map(tuple, sessions.progress_ticks(packets, starts, 1).collect())) == whole
+    assert [(i, t) for i, t, _ in whole] == [
+        (i, start + timedelta(seconds=s)) for i, s in [(1, s) for s in range(25)] + [(2, 7)] + [(3, s) for s in range(30, 39)]
+    ]
+    assert [n for i, _, n in whole if i == 1] == [(s + 1) // 2 for s in range(25)]
+    assert [r["session_id"] for r in sessions.sessions_without_packets(packets, starts).collect()] == [2]

@@ -10,7 +10,7 @@ from samples import SF
 
 #: Queries that store tables before they read them.
 EAGER = set(
-    "ingest_lines append_sessions overwrite_session csv_roundtrip collector_roundtrip ingest_pipeline delete_all schema_growth assign_row_id "
+    "ingest_lines append_sessions append_all_or_nothing overwrite_session csv_roundtrip collector_roundtrip ingest_pipeline delete_all schema_growth assign_row_id "
     "view_newest_first view_newest_100 view_card append_numbered view_page allowed_senders other_senders parse_lenient_variant "
     "scenario_summary_by_day users_merge_bucketed collector_newest_first".split()
 )
