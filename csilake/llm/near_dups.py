@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from csilake.llm.common import SPACED, chunks, mix, stored, table, texts, words, unused
+from csilake.llm.common import SPACED, chunks, mix, raw, stored, table, texts, unused, words
 
 CHUNKS, WIDTH = 16, 5
 SLOTS = CHUNKS * WIDTH
@@ -38,6 +38,11 @@ SLOT_BITS = 16
 MOST_ERRORS = 2 * CHUNKS - 1
 #: Shingles of a star's members that one task holds.
 BLOCK = 1 << 21
+#: Comparisons of an outsider with a shingle of its star, above which members look for each other by prefixes first.
+APART = 1 << 26
+SLOTS_OF_COUNTS = 1 << 18
+#: Members with one shingle in their prefixes that one task compares.
+POSTINGS = 1 << 14
 #: Members compared with one hub in one task.
 HUB_BLOCK = 512
 
@@ -223,17 +228,144 @@ def _outsiders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(ready(rows)[1])
 
 
+def _in_star(star: np.ndarray, held: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of all sets, each mixed with its star, and the sets' sizes."""
+    value, at = raw(held)
+    size = np.diff(at) // 8
+    return mix(value.view(np.uint64) ^ np.repeat(mix(star.view(np.uint64)), size)), size
+
+
+def _slots(value: np.ndarray) -> np.ndarray:
+    return (value % np.uint64(SLOTS_OF_COUNTS)).astype(np.int64)
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(SLOTS_OF_COUNTS, dtype=np.int64)
+    for batch in batches:
+        for a, b in chunks(batch, "shingles"):
+            part = batch.slice(a, b - a)
+            total += np.bincount(_slots(_in_star(part.column("a").to_numpy(), part.column("shingles"))[0]), minlength=SLOTS_OF_COUNTS)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
+
+
+def postings(rows: DataFrame) -> DataFrame:
+    """One row for each member (a, node, component, crowd, shingles) and shingle of its prefix, rarest first.
+
+    Sets of m <= n shingles are linked if they share at least 4 (m + n) / 9. That is 8 m / 9 or more and 4 n / 5 or more, so their first
+    common shingle has a place up to m // 9 in the smaller set (``home``) and up to n // 5 in the larger.
+    """
+    slots = rows.select("a", "shingles").mapInArrow(_slot_counts, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    counts = np.zeros(SLOTS_OF_COUNTS, dtype=np.int64)
+    for slot, n in slots.collect():  # SLOTS_OF_COUNTS rows at most
+        counts[slot] = n
+    shared = rows.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for batch in batches:
+            for a, b in chunks(batch, "shingles"):
+                part = batch.slice(a, b - a)
+                value, size = _in_star(part.column("a").to_numpy(), part.column("shingles"))
+                owner = np.repeat(np.arange(len(size)), size)
+                value = value[np.lexsort((value, often[_slots(value)], owner))]
+                place = np.arange(len(value)) - np.repeat(np.cumsum(size) - size, size)
+                taken = np.flatnonzero(place <= size[owner] // 5)
+                owner, place = owner[taken], place[taken]
+                node, component, crowd = (part.column(x).to_numpy()[owner] for x in ("node", "component", "crowd"))
+                columns = [value[taken].view(np.int64), node, size[owner], place, component, crowd, place <= size[owner] // 9]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "node", "size", "place", "component", "crowd", "home"])
+
+    return rows.mapInArrow(run, "key bigint, node bigint, size bigint, place bigint, component bigint, crowd bigint, home boolean")
+
+
+def _met(node: np.ndarray, size: np.ndarray, place: np.ndarray, component: np.ndarray, home: np.ndarray, guest: np.ndarray) -> np.ndarray:
+    """Which rows of a cell may be linked with another one: of two, the smaller set is at home and the larger its guest."""
+    met = np.zeros(len(node), dtype=bool)
+    h, g = np.flatnonzero(home), np.flatnonzero(guest)
+    h, g = h[np.argsort(size[h], kind="stable")], g[np.argsort(size[g], kind="stable")]
+    for i in range(0, len(h), 256):
+        some = h[i : i + 256]
+        mates = g[np.searchsorted(size[g], size[some[0]]) : np.searchsorted(4 * size[g], 5 * size[some[-1]], side="right")]
+        m, n = size[some][:, None], size[mates][None, :]
+        room = np.minimum(m - place[some][:, None], n - place[mates][None, :])
+        near = (9 * room >= 4 * (m + n)) & (4 * n <= 5 * m) & (component[some][:, None] != component[mates][None, :])
+        near &= (m < n) | ((m == n) & (node[some][:, None] < node[mates][None, :]))
+        met[some] |= near.any(axis=1)
+        met[mates] |= near.any(axis=0)
+    return met
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each cell (key, hb, gb), the members that may be linked with another one there, as links with the first of them."""
+
+    def links(rows: list[np.ndarray], bounds: np.ndarray) -> pa.RecordBatch:
+        start, end = bounds[:-1], bounds[1:]
+        found = [np.zeros((0, 2), dtype=np.int64)]
+        if len(start):
+            kind = rows[6][: end[-1]]
+            for i in np.flatnonzero(np.minimum.reduceat(kind, start) != np.maximum.reduceat(kind, start)).tolist():
+                node, *rest = (x[start[i] : end[i]] for x in rows[3:])
+                ids = np.unique(node[_met(node, *rest)])
+                found.append(np.stack([np.full(max(len(ids) - 1, 0), ids[0] if len(ids) else 0), ids[1:]], axis=1))
+        both = np.concatenate(found)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    left: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+        rows = rows if left is None else [np.concatenate(x) for x in zip(left, rows, strict=True)]
+        fresh = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])
+        bounds = np.concatenate([[0], np.flatnonzero(fresh) + 1])
+        yield links(rows, bounds)
+        left = [x[bounds[-1] :] for x in rows]
+    if left is not None:
+        yield links(left, np.array([0, len(left[0])]))
+
+
+def meetings(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Groups (a, id, size, component) of members of one star that may be linked, over chains of such pairs."""
+    rows = rows.withColumn("node", F.xxhash64("a", "id"))
+    found = stored(postings(rows.join(sets.select("id", "shingles"), "id").select("a", "node", "component", "crowd", "shingles")), "postings")
+    hot = found.filter(F.col("crowd") > POSTINGS).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > POSTINGS)
+    placed = found.join(hot, "key", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / POSTINGS), F.lit(1).cast("long")))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    cell = lambda hb, gb, home, guest: F.struct(hb.alias("hb"), gb.alias("gb"), home.alias("at_home"), guest.alias("guest"))
+    blocks = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    at_home = F.transform(blocks, lambda x: cell(own, x, F.col("home"), F.lit(False)))
+    as_guest = F.transform(blocks, lambda x: cell(x, own, F.lit(False), F.lit(True)))
+    cells = F.when(F.col("blocks") == 1, F.array(cell(own, own, F.col("home"), F.lit(True)))).otherwise(F.concat(at_home, as_guest))
+    placed = placed.select("*", F.inline(cells)).filter("at_home or guest")
+    placed = placed.select("key", "hb", "gb", "node", "size", "place", "component", "at_home", "guest")
+    edges = placed.repartition("key", "hb", "gb").sortWithinPartitions("key", "hb", "gb").mapInArrow(_meetings, "a bigint, b bigint")
+    group = components(edges).select(F.col("id").alias("node"), F.col("component").alias("group"))
+    return rows.join(group, "node").select(F.col("group").alias("a"), "id", "size", "component")
+
+
+def _parts(label: DataFrame) -> DataFrame:
+    """Of each a with members of several components: their number and shingles, and those of its largest component."""
+    each = label.groupBy("a", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    parts = each.groupBy("a").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "component", "size")).alias("top"))
+    return parts.filter("parts > 1")
+
+
 def outsiders(stars: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between members of one star (hub a, mate b) that are in different components so far."""
     members = stars.select("a", F.col("b").alias("id")).union(stars.select("a", F.col("a").alias("id")).distinct())
     label = members.join(found, "id", "left").join(sets.select("id", "size"), "id").select("a", "id", "size", F.coalesce("component", "id").alias("component"))
-    each = label.groupBy("a", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    mixed = each.groupBy("a").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "component", "size")).alias("top"))
     # a star of two is its hub and one mate, which have been compared
+    apart = (F.col("n") - F.col("top.n")) * F.col("size") > APART
+    label = stored(label.join(_parts(label).filter("n > 2").select("a", F.col("n").alias("crowd"), apart.alias("apart")), "a"), "members")
+    groups = label.filter(~F.col("apart")).select("a", "id", "size", "component")
+    if label.filter("apart").limit(1).count():
+        groups = groups.union(meetings(label.filter("apart"), sets))
+
     count = lambda size: F.ceil(size / BLOCK)
-    open_ = mixed.filter("parts > 1 and n > 2").select("a", count(F.col("size")).alias("homes"), count(F.col("size") - F.col("top.size")).alias("guests"), F.col("top.component").alias("top"))
+    open_ = _parts(groups).select("a", count(F.col("size")).alias("homes"), count(F.col("size") - F.col("top.size")).alias("guests"), F.col("top.component").alias("top"))
     deal = F.xxhash64("id")
-    rows = label.join(open_, "a").withColumns({"own_gb": F.pmod(deal, F.col("guests")), "own_hb": F.pmod(F.xxhash64(deal), F.col("homes")), "outside": F.col("component") != F.col("top")})
+    rows = groups.join(open_, "a").withColumns({"own_gb": F.pmod(deal, F.col("guests")), "own_hb": F.pmod(F.xxhash64(deal), F.col("homes")), "outside": F.col("component") != F.col("top")})
     cell = lambda gb, hb: F.struct(gb.alias("gb"), hb.alias("hb"))
     range_ = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     at_home = F.transform(range_("guests"), lambda x: cell(x, F.col("own_hb")))

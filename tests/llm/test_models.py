@@ -124,9 +124,10 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("block", [near_dups.BLOCK, 200])
-def test_near_duplicates(documents, small_batches, monkeypatch, block):
+@pytest.mark.parametrize("block,apart", [(near_dups.BLOCK, near_dups.APART), (200, near_dups.APART), (200, 0)])
+def test_near_duplicates(documents, small_batches, monkeypatch, block, apart):
     monkeypatch.setattr(near_dups, "BLOCK", block)
+    monkeypatch.setattr(near_dups, "APART", apart)
     monkeypatch.setattr(near_dups, "HUB_BLOCK", block // 100)
     docs = documents(near_rows()).withColumn("id", F.lit(1))
     small_batches()
@@ -161,6 +162,51 @@ def test_guests_of_a_star_are_dealt_over_blocks(spark, documents, monkeypatch):
     assert max(r.a for r in near_dups.outsiders(stars, found, sets).collect()) <= 4 * near_dups.BLOCK
 
 
+@pytest.mark.parametrize("postings", [near_dups.POSTINGS, 7])
+def test_members_of_a_star_meet_by_prefixes(spark, documents, monkeypatch, postings):
+    documents([])
+    monkeypatch.setattr(near_dups, "APART", 0)
+    monkeypatch.setattr(near_dups, "POSTINGS", postings)
+    rng = np.random.default_rng(5)
+    fresh = lambda n: rng.integers(0, 1 << 62, n, dtype=np.uint64)
+    template = fresh(200)
+    made = [np.concatenate([template, fresh(30 + int(rng.integers(0, 40)))]) for _ in range(120)]  # alike, not linked
+    made += [np.concatenate([x[int(rng.integers(0, 60)) :], fresh(int(rng.integers(0, 30)))]) for x in made[:80]]
+    made += [fresh(n) for n in (1, 1, 2, 3)] + [template[:1], template[:2]]
+    made = [np.unique(x) for x in made]
+    sets = spark.createDataFrame([(i, bytearray(x.tobytes()), len(x)) for i, x in enumerate(made)], "id bigint, shingles binary, size bigint")
+    stars = spark.createDataFrame([(0, i) for i in range(1, len(made))] + [(3, i) for i in range(60, 130)], "a bigint, b bigint")
+    kind = {i: 1_000 + int(rng.integers(0, 2)) for i in range(110, 200)}
+    found = spark.createDataFrame(list(kind.items()), "id bigint, component bigint")
+
+    def reach(links):
+        root = list(range(len(made)))
+        for i in kind:
+            root[i] = min(j for j in kind if kind[j] == kind[i])
+        for _ in range(len(made)):
+            for a, b in links:
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+        return root
+
+    want = [(i, j) for i in range(len(made)) for j in range(i) if near_dups.linked(made[i], made[j])]
+    got = [tuple(x) for x in near_dups.outsiders(stars, found, sets).collect()]
+    assert len(want) > 40 and {tuple(sorted(x, reverse=True)) for x in got} <= set(want)
+    assert reach(got) == reach(want)
+
+
+def test_texts_on_one_template_never_meet(spark, documents, monkeypatch):
+    documents([])
+    monkeypatch.setattr(near_dups, "APART", 0)
+    rng = np.random.default_rng(6)
+    template = rng.integers(0, 1 << 62, 200, dtype=np.uint64)
+    made = [np.unique(np.concatenate([template, rng.integers(0, 1 << 62, int(rng.integers(32, 48)), dtype=np.uint64)])) for _ in range(300)]
+    made[200] = np.unique(np.concatenate([made[100][10:], made[200][:5]]))
+    sets = spark.createDataFrame([(i, bytearray(x.tobytes()), len(x)) for i, x in enumerate(made)], "id bigint, shingles binary, size bigint")
+    rows = spark.createDataFrame([(0, i, len(x), i, len(made)) for i, x in enumerate(made)], "a bigint, id bigint, size bigint, component bigint, crowd bigint")
+    assert sorted(x.id for x in near_dups.meetings(rows, sets).collect()) == [100, 200]
+
+
 def test_near_signatures_share_a_key():
     import pyarrow as pa
 
