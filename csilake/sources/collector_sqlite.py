@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import shutil
 import sqlite3
 import uuid
 from collections.abc import Iterator
@@ -58,6 +59,8 @@ _COMPARE = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan:
 # Only columns stored as declared compare alike in both systems: the key and the plain texts.
 _PUSHABLE = {"id", "scenario", "type", "mac"}
 _BATCH_ROWS = 4096
+# A job's files wait in a folder of this name. While they move out, a list of them there tells readers to pass over them.
+_STAGED, _COMING = ".job-", "coming"
 
 SCHEMA_DDL = CSI_DDL + ", bad_fields array<string>, file string"
 
@@ -129,7 +132,7 @@ class SqliteReader(DataSourceReader):
             for column, test, arguments in self.where:
                 conditions.append(f"{_stored_name(column, layout)} {test}")
                 values.extend(arguments)
-            select = ", ".join(_stored_name(n, layout) for n in names) or "id"
+            select = ", ".join(_typed(_stored_name(n, layout), kinds.get(n, "string")) for n in names) or "id"
             order = "id" if self.newest is None else "id DESC LIMIT ?"
             values += [] if self.newest is None else [self.newest]
             cursor = db.execute(f"SELECT {select} FROM {TABLE} WHERE {' AND '.join(conditions)} ORDER BY {order}", values)
@@ -166,19 +169,27 @@ def _stored_name(name: str, layout: str) -> str:
     return STORED_NAMES[layout].get(name, name)
 
 
+def _typed(column: str, kind: str) -> str:
+    """SQL for a stored value as its declared type; a text, a fraction where a whole number belongs or a value out of range is null."""
+    if kind == "string":
+        return column
+    if kind == "float":
+        return f"CASE WHEN typeof({column}) IN ('integer', 'real') THEN CAST({column} AS REAL) END"
+    whole = f"typeof({column}) = 'integer' OR typeof({column}) = 'real' AND {column} = CAST({column} AS INTEGER)"
+    limit = 1 << (63 if kind == "bigint" else 31)
+    # the least whole number can't be written as a literal of 64 bits
+    return f"CASE WHEN ({whole}) AND {column} BETWEEN {-limit + 1} - 1 AND {limit - 1} THEN CAST({column} AS INTEGER) END"
+
+
 def _to_batch(rows: list[tuple], names: list[str], kinds: dict[str, str], schema: pa.Schema, path: str) -> pa.RecordBatch:
     columns = dict(zip(names, zip(*rows))) if names else {}
     bad: list[list[str]] = [[] for _ in rows]
-    for name, kind in kinds.items():
-        if name not in columns or kind == "string":
-            continue
-        typed = []
-        for i, stored in enumerate(columns[name]):
-            number = _as_number(stored, kind)
-            if number is None:
-                bad[i].append(name)
-            typed.append(number)
-        columns[name] = typed
+    if "bad_fields" in schema.names:
+        for name, kind in kinds.items():
+            if kind != "string" and None in columns[name]:
+                for i, number in enumerate(columns[name]):
+                    if number is None:
+                        bad[i].append(name)
     stamps = None
     if "captured_at" in columns:
         kind = schema.field("captured_at").type if "captured_at" in schema.names else pa.timestamp("us")
@@ -206,20 +217,6 @@ def _stamps(texts: tuple, kind: pa.DataType) -> pa.Array:
     return pa.Array.from_pandas(parsed, type=kind, safe=False)
 
 
-def _as_number(stored: object, kind: str) -> float | int | None:
-    """A stored value as its declared type; a text or a value out of range is not one."""
-    if isinstance(stored, str | bytes) or stored is None:
-        return None
-    if kind == "float":
-        return float(stored)
-    if isinstance(stored, float):
-        if not stored.is_integer():
-            return None
-        stored = int(stored)
-    limit = 1 << (63 if kind == "bigint" else 31)
-    return stored if -limit <= stored < limit else None
-
-
 def mounted(path: str) -> str:
     """SQLite opens files by plain path, so the folder has to be mounted wherever tasks run."""
     plain = re.sub("^file:(//)?", "", path)
@@ -232,9 +229,16 @@ def _list_files(path: str) -> list[tuple[str, int]]:
     root = mounted(path)
     if os.path.isfile(root):
         return [(root, os.path.getsize(root))]
-    found = []
-    for folder, _, names in os.walk(root):
+    found, coming = [], set()
+    for entry in os.scandir(root):
+        if entry.name.startswith(_STAGED) and os.path.exists(os.path.join(entry.path, _COMING)):
+            with open(os.path.join(entry.path, _COMING)) as names:
+                coming |= set(names.read().split())
+    for folder, inner, names in os.walk(root):
+        inner[:] = [name for name in inner if not name.startswith(_STAGED)]
         for name in names:
+            if name in coming:
+                continue
             # users choose the names; hidden files and SQLite's own side files are no tables
             if name[0] not in "._" and not name.endswith(("-wal", "-shm", "-journal")):
                 full = os.path.join(folder, name)
@@ -254,7 +258,7 @@ class Written(WriterCommitMessage):
 
 
 class SqliteWriter(DataSourceArrowWriter):
-    """One or more files per task, visible only after the job commits."""
+    """One or more files per task, kept aside until the job commits: all of a job's files show at once, by the removal of their list."""
 
     def __init__(self, schema: StructType, options: dict[str, str], overwrite: bool) -> None:
         self.columns = schema.names
@@ -263,18 +267,22 @@ class SqliteWriter(DataSourceArrowWriter):
         self.rows_per_file = int(options.get("rows_per_file", 200_000))
         self.overwrite = overwrite
         self.before = [p for p, _ in _list_files(self.path)] if overwrite and os.path.isdir(self.path) else []
+        self.aside = os.path.join(self.path, f"{_STAGED}{uuid.uuid4().hex}")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        os.makedirs(self.path, exist_ok=True)
+        os.makedirs(self.aside, exist_ok=True)
+        names = [n for n in ["id", "captured_at", "scenario", *WIRE_NAMES] if n in self.columns]
         files, db, held = [], None, 0
         for batch in iterator:
-            rows = batch.to_pylist()
+            columns = [batch.column(self.columns.index(n)).to_pylist() for n in names]
+            columns = [[self._stamp(x) for x in column] if n == "captured_at" else column for n, column in zip(names, columns)]
+            rows = list(zip(*columns))
             while rows:
                 if db is None:
                     db = sqlite3.connect(":memory:")
                     db.execute(create_statement(self.layout))
                 take = min(len(rows), self.rows_per_file - held)
-                self._insert(db, rows[:take])
+                self._insert(db, names, rows[:take])
                 rows, held = rows[take:], held + take
                 if held >= self.rows_per_file:
                     files.append(self._save(db))
@@ -283,14 +291,10 @@ class SqliteWriter(DataSourceArrowWriter):
             files.append(self._save(db))
         return Written(files)
 
-    def _insert(self, db: sqlite3.Connection, rows: list[dict]) -> None:
-        names = [n for n in ["id", "captured_at", "scenario", *WIRE_NAMES] if n in self.columns]
+    def _insert(self, db: sqlite3.Connection, names: list[str], rows: list[tuple]) -> None:
         stored = ", ".join(_stored_name(n, self.layout) for n in names)
         marks = ", ".join("?" * len(names))
-        db.executemany(
-            f"INSERT INTO {TABLE} ({stored}) VALUES ({marks})",
-            ([self._stamp(row[n]) if n == "captured_at" else row[n] for n in names] for row in rows),
-        )
+        db.executemany(f"INSERT INTO {TABLE} ({stored}) VALUES ({marks})", rows)
         db.commit()
 
     def _stamp(self, value) -> str | None:
@@ -299,21 +303,27 @@ class SqliteWriter(DataSourceArrowWriter):
         return value.isoformat() if self.layout == "desktop" else value.strftime("%Y-%m-%d %H:%M:%S")
 
     def _save(self, db: sqlite3.Connection) -> str:
-        # Bytes of the finished database in one write; the leading dot and suffix hide it from readers.
-        hidden = os.path.join(self.path, f".{uuid.uuid4().hex}.part")
-        with open(hidden, "wb") as out:
+        # bytes of the finished database in one write
+        name = f"{uuid.uuid4().hex}.db"
+        with open(os.path.join(self.aside, name), "wb") as out:
             out.write(db.serialize())
         db.close()
-        return hidden
+        return name
 
     def commit(self, messages: list[Written | None]) -> None:
-        for message in messages:
-            for hidden in message.files if message else []:
-                os.replace(hidden, os.path.join(self.path, os.path.basename(hidden)[1:].removesuffix(".part") + ".db"))
+        """A driver lost on the way leaves none of the job's files to be read. On overwriting, the files of before go last."""
+        kept = [name for message in messages if message for name in message.files]
+        if kept:
+            coming = os.path.join(self.aside, _COMING)
+            with open(f"{coming}.part", "w") as names:
+                names.write("\n".join(kept))
+            os.replace(f"{coming}.part", coming)
+            for name in kept:
+                os.replace(os.path.join(self.aside, name), os.path.join(self.path, name))
+            os.remove(coming)
+        shutil.rmtree(self.aside, ignore_errors=True)
         for old in self.before:
             os.remove(old)
 
     def abort(self, messages: list[Written | None]) -> None:
-        for message in messages:
-            for hidden in message.files if message else []:
-                os.remove(hidden)
+        shutil.rmtree(self.aside, ignore_errors=True)

@@ -98,6 +98,47 @@ def test_writes_files_the_reader_and_sqlite_understand(spark, folder):
     assert spark.read.format("collector_sqlite").load(f"{folder}/desktop").count() == 3
 
 
+def test_stored_values_of_any_kind(spark, folder):
+    spark.dataSource.register(CollectorSqlite)
+    stamp = "2024-03-01T10:00:00"
+    values = [(5.0, 1), (5.5, 1.5), (2**31, 2**63 - 1), (-(2**31), -(2**63)), (-(2**31) - 1, 9.3e18), (None, b"7"), ("x", "y"), (float("inf"), float("inf"))]
+    write_collector_file(f"{folder}/a.db", "desktop", [stored(i, stamp, "s") for i in range(len(values))])
+    db = sqlite3.connect(f"{folder}/a.db")
+    for i, (rssi, rate) in enumerate(values):
+        db.execute("UPDATE csi_data SET rssi = ?, rate = ?, local_timestamp = ? WHERE id = ?", (rssi, rate, rate, i + 1))
+    db.commit()
+    db.close()
+    rows = spark.read.format("collector_sqlite").load(folder).orderBy("id").collect()
+    assert [r["rssi"] for r in rows] == [5, None, None, -(2**31), None, None, None, None]
+    assert [r["rate"] for r in rows][:2] == [1.0, 1.5] and [r["rate"] for r in rows][5:7] == [None, None]
+    whole = [None if "local_timestamp" in r["bad_fields"] else r["local_timestamp"] for r in rows]
+    assert whole == [1, None, 2**63 - 1, -(2**63), None, None, None, None]
+    assert ["rssi" in r["bad_fields"] for r in rows] == [False, True, True, False, True, True, True, True]
+
+
+def test_files_of_a_job_show_at_once(spark, folder):
+    spark.dataSource.register(CollectorSqlite)
+    rows, _ = wire.parse_lines(frame(spark, [line(i) for i in range(25)]))
+    stamped = rows.select(F.lit(datetime(2024, 5, 6, 7, 8, 9)).cast("timestamp_ntz").alias("captured_at"), F.lit("s").alias("scenario"), *WIRE_NAMES)
+    read = lambda: spark.read.format("collector_sqlite").load(folder).count()
+    stamped.repartition(3).write.format("collector_sqlite").mode("append").save(folder)
+    assert read() == 25 and all(x.endswith(".db") for x in os.listdir(folder))
+    # a commit that ended half way: one file moved, one not
+    names = sorted(os.listdir(folder))
+    os.makedirs(f"{folder}/.job-1")
+    os.replace(f"{folder}/{names[0]}", f"{folder}/.job-1/{names[0]}")
+    with open(f"{folder}/.job-1/coming", "w") as out:
+        out.write("\n".join(names[:2]))
+    files = {r["file"] for r in spark.read.format("collector_sqlite").load(folder).select("file").collect()}
+    assert {os.path.basename(x) for x in files} == set(names[2:])
+    # a failing job leaves nothing
+    bad = stamped.withColumn("seq", F.when(F.col("seq") == 20, F.raise_error(F.lit("no"))).otherwise(F.col("seq")).cast("int"))
+    before = sorted(os.listdir(folder))
+    with pytest.raises(Exception):
+        bad.write.format("collector_sqlite").mode("append").save(folder)
+    assert sorted(os.listdir(folder)) == before
+
+
 def test_viewer_reads_newest_first(spark, collected):
     df = spark.read.format("collector_sqlite").load(f"{collected}/f0.db")
     assert [r["id"] for r in views.newest_first(df).select("id").collect()] == list(range(50, 0, -1))
