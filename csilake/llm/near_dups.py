@@ -38,8 +38,8 @@ SLOT_BITS = 16
 MOST_ERRORS = 2 * CHUNKS - 1
 #: Shingles of a star's members that one task holds.
 BLOCK = 1 << 21
-#: Comparisons of an outsider with a shingle of its star, above which members look for each other by prefixes first. So many take a task
-#: some ten seconds; below, shuffling prefixes costs more than it saves.
+#: Comparisons of an outsider with a shingle of its star, above which members look for each other by prefixes first. So many took
+#: a task three seconds; below, shuffling prefixes costs more than it saves.
 APART = 1 << 30
 SLOTS_OF_COUNTS = 1 << 18
 #: Members with one shingle in their prefixes that one task compares.
