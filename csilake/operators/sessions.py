@@ -196,9 +196,9 @@ def assign_seq(rows: DataFrame, session: list[str], arrival: str, rows_per_block
     return row_numbers(rows, session, [arrival], arrival_block(arrival, rows_per_block), "seq")
 
 
-def _written(rows: DataFrame, name: str) -> DataFrame:
+def _written(rows: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     path = new_folder(rows.sparkSession, name)
-    rows.write.parquet(path)
+    rows.write.parquet(path, compression=compression)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
@@ -217,7 +217,23 @@ def number_rows(rows: DataFrame, order: list[str], out: str, first: int = 1) ->
     counts = stored.groupBy("_range").agg(F.count("*").alias("_rows"))
     before = F.sum("_rows").over(Window.orderBy("_range")) - F.col("_rows")
     offsets = counts.select("_range", (before + F.lit(first)).alias("_offset"))
-    return stored.join(offsets, "_range").select((F.col("_offset") + F.col("_row")).alias(out), *rows.columns)
+    # one row a range: without the hint, Spark guesses their size from that of the rows and shuffles these again
+    return stored.join(F.broadcast(offsets), "_range").select((F.col("_offset") + F.col("_row")).alias(out), *rows.columns)
+
+
+def number_blocks(rows: DataFrame, order: list[str], out: str, first: int = 1) -> DataFrame:
+    """Adds ``out`` as ``number_rows`` does, to rows that lie in blocks: those alike in ``order`` are read by one task, one after the other.
+
+    Landed lines are such rows, with the file and the place of its part in ``order``. They are stored once, and only counts of blocks are
+    shuffled: a row's number is its place in its block plus the rows of the blocks before. Blocks are parts of files, of which Spark's
+    driver lists the files anyhow, so their offsets go to all tasks.
+    """
+    stored = _written(rows.withColumn("_place", F.monotonically_increasing_id()), "placed", "zstd")
+    counts = stored.groupBy(*order).agg(F.count("*").alias("_rows"), F.min("_place").alias("_start"))
+    before = F.sum("_rows").over(Window.orderBy(*order)) - F.col("_rows")
+    offsets = counts.select(*(F.col(c).alias(f"_of_{c}") for c in order), (before + F.lit(first) - F.col("_start")).alias("_offset"))
+    known = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in order]
+    return stored.join(F.broadcast(offsets), known).select((F.col("_offset") + F.col("_place")).alias(out), *rows.columns)
 
 
 def assign_row_id(

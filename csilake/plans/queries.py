@@ -241,7 +241,7 @@ def ingest_pipeline(spark, sf_dir):
     path, table, bad = (new_folder(spark, x) for x in ("landed", "packets", "rejects"))
     landed.land_lines(inputs.csi_lines(spark, sf_dir), path, ["session_date"])
     lines = landed.clean_lines(landed.read_lines(spark, path), "mobile")
-    numbered = sessions.number_rows(lines, ["session_date", "file", "file_block", "line"], "arrival")
+    numbered = sessions.number_blocks(lines, ["session_date", "file", "file_block"], "arrival")
     classified = wire.classify_lines(numbered, "strict")
     tags = inputs.session_table(spark, sf_dir).withColumn("mac", inputs.device_mac(F.col("device")))
     tagged = sessions.tag_sessions(wire.accepted(classified), tags, ["session_date", "mac"])

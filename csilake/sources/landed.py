@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 
 from csilake.functions.text import decode_line
 from csilake.operators.wire import has_prefix
+from csilake.session import setting
+
+#: Folders that a task writes into side by side. A task with rows for more sorts the rest of them by folder.
+OPEN_FOLDERS = 128
 
 
 def land_lines(lines: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Write ``value`` as text files, e.g. a stored table rendered back to a replay log."""
+    """Write ``value`` as text files, e.g. a stored table rendered back to a replay log.
+
+    Lines are not sorted by folder first, so they neither fill a task's memory nor go to disk twice.
+    """
     by = partition_by or []
-    lines.select(*by, "value").write.mode("append").partitionBy(*by).text(path)
+    with setting(lines.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", OPEN_FOLDERS):
+        lines.select(*by, "value").write.mode("append").partitionBy(*by).text(path)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
