@@ -7,17 +7,18 @@ forms that store sums of each batch (``stateful``, ``windows``) answer from all
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from csilake.operators.sessions import session_end
 from csilake.streaming.stateful import STATE_STORE
 
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 ENDED = "session_id bigint, device bigint, started_at timestamp, ends_at timestamp, packets bigint"
 
 
@@ -43,45 +44,56 @@ class SessionEnds(StatefulProcessor):
         self.handle = handle
         self.running = handle.getValueState("running", "session_id bigint, started bigint, ends bigint, packets bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))
-        at = batch["ts"].to_numpy(dtype="datetime64[us]").astype("int64")
-        packet = batch["is_packet"].to_numpy(dtype=bool)
-        packets = np.sort(at[packet])
-        starts = batch[~packet].assign(at=at[~packet])
-        starts = starts[starts["n"] > 0].sort_values(["at", "session_id"])
-        before = self.running.get() if self.running.exists() else None
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        packets, starts, last = [], [], None
+        for row in rows:
+            at = row.at
+            last = at if last is None or at is not None and at > last else last
+            if at is None:
+                continue
+            if row.is_packet:
+                packets.append(at)
+            elif row.n is not None and row.n > 0:
+                starts.append((at, row.session_id, row.n))
+        packets.sort()
+        starts.sort()
+        before = self.running.get()
         running, ended = before, []
 
         def counted(session: tuple) -> tuple:
             number, start, ends, n = session
-            low, high = np.searchsorted(packets, [start, ends])
-            return number, start, ends, n + int(high - low)
+            return number, start, ends, n + bisect_left(packets, ends) - bisect_left(packets, start)
 
-        for number, start, seconds in zip(starts["session_id"].tolist(), starts["at"].tolist(), starts["n"].tolist(), strict=True):
+        for start, number, seconds in starts:
             if running is None or start >= running[2]:
                 if running is not None:
                     ended.append(counted(running))
-                running = (int(number), start, start + int(seconds) * 1_000_000, 0)
+                running = (number, start, start + seconds * 1_000_000, 0)
         if running is not None:
             running = counted(running)
-            if at.max() >= running[2]:
+            if last is not None and last >= running[2]:
                 ended.append(running)
                 running = None
-        if before is not None and (running is None or running[0] != before[0]):
-            self.handle.deleteTimer(_millis(before[2]))
-        if running is None:
-            self.running.clear()
-        else:
-            self.running.update(running)
-            self.handle.registerTimer(_millis(running[2]))
-        yield _ended(key[0], ended)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        running = self.running.get() if self.running.exists() else None
+        # each call to the state is a message to Spark, so a device whose state stays as it was makes none
+        if running != before:
+            timers = [None if session is None else _millis(session[2]) for session in (before, running)]
+            if timers[0] != timers[1]:
+                if before is not None:
+                    self.handle.deleteTimer(timers[0])
+                if running is not None:
+                    self.handle.registerTimer(timers[1])
+            if running is None:
+                self.running.clear()
+            else:
+                self.running.update(running)
+        for session in ended:
+            yield _ended(key[0], session)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        running = self.running.get()
         if running is not None and _millis(running[2]) <= expiredTimerInfo.getExpiryTimeInMs():
             self.running.clear()
-            yield _ended(key[0], [running])
+            yield _ended(key[0], running)
 
     def close(self) -> None:
         pass
@@ -92,10 +104,9 @@ def _millis(micros: int) -> int:
     return -(-int(micros) // 1000)
 
 
-def _ended(device: int, sessions: list[tuple]) -> pd.DataFrame:
-    stamps = [pd.to_datetime(pd.Series([s[i] for s in sessions], dtype="int64"), unit="us") for i in (1, 2)]
-    columns = {"session_id": [s[0] for s in sessions], "device": [device] * len(sessions), "started_at": stamps[0], "ends_at": stamps[1], "packets": [s[3] for s in sessions]}
-    return pd.DataFrame(columns).astype({"session_id": "int64", "device": "int64", "packets": "int64"})
+def _ended(device: int, session: tuple) -> Row:
+    number, start, ends, packets = session
+    return Row(session_id=number, device=device, started_at=_EPOCH + timedelta(microseconds=start), ends_at=_EPOCH + timedelta(microseconds=ends), packets=packets)
 
 
 def start_session_ends(messages: DataFrame, path: str, checkpoint: str, late: str = "0 seconds", every: str | None = None) -> StreamingQuery:
@@ -106,7 +117,9 @@ def start_session_ends(messages: DataFrame, path: str, checkpoint: str, late: st
     spark = messages.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     dated = messages.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    ended = dated.groupBy("device").transformWithStateInPandas(SessionEnds(), ENDED, "Append", "EventTime")
+    # rows reach Python as rows: a device has few of them in a batch, and a table for each would cost more than they do
+    timed = dated.select("device", "ts", F.unix_micros("ts").alias("at"), "is_packet", "session_id", "n")
+    ended = timed.groupBy("device").transformWithState(SessionEnds(), ENDED, "Append", "EventTime")
     return _started(ended.writeStream, checkpoint, path, every)
 
 
