@@ -17,6 +17,7 @@ import os
 import re
 import shutil
 import sqlite3
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import closing
@@ -273,24 +274,38 @@ class SqliteWriter(DataSourceArrowWriter):
         os.makedirs(self.aside, exist_ok=True)
         names = [n for n in ["id", "captured_at", "scenario", *WIRE_NAMES] if n in self.columns]
         files, db, held = [], None, 0
-        for batch in iterator:
-            columns = [batch.column(self.columns.index(n)).to_pylist() for n in names]
-            columns = [[self._stamp(x) for x in column] if n == "captured_at" else column for n, column in zip(names, columns)]
-            rows = list(zip(*columns))
-            while rows:
-                if db is None:
-                    db = sqlite3.connect(":memory:")
-                    db.execute(create_statement(self.layout))
-                take = min(len(rows), self.rows_per_file - held)
-                self._insert(db, names, rows[:take])
-                rows, held = rows[take:], held + take
-                if held >= self.rows_per_file:
+        # A file grows on the executor's own disk, so a task holds a batch of rows and SQLite's few cached pages, whatever the file's size.
+        with tempfile.TemporaryDirectory(prefix="collector-") as own:
+            try:
+                for batch in (whole.slice(at, _BATCH_ROWS) for whole in iterator for at in range(0, whole.num_rows, _BATCH_ROWS)):
+                    columns = [batch.column(self.columns.index(n)).to_pylist() for n in names]
+                    columns = [[self._stamp(x) for x in column] if n == "captured_at" else column for n, column in zip(names, columns)]
+                    rows = list(zip(*columns))
+                    while rows:
+                        if db is None:
+                            db = self._open(os.path.join(own, f"{uuid.uuid4().hex}.db"))
+                        take = min(len(rows), self.rows_per_file - held)
+                        self._insert(db, names, rows[:take])
+                        rows, held = rows[take:], held + take
+                        if held >= self.rows_per_file:
+                            files.append(self._save(db))
+                            db, held = None, 0
+                if db is not None:
                     files.append(self._save(db))
-                    db, held = None, 0
-        if db is not None:
-            files.append(self._save(db))
+                    db = None
+            finally:
+                if db is not None:
+                    db.close()
         return Written(files)
 
+    def _open(self, path: str) -> sqlite3.Connection:
+        db = sqlite3.connect(path)
+        # a file that is not finished is thrown away, so nothing needs to be undone or to last
+        db.execute("PRAGMA journal_mode = OFF")
+        db.execute("PRAGMA synchronous = OFF")
+        db.execute(create_statement(self.layout))
+        return db
+
     def _insert(self, db: sqlite3.Connection, names: list[str], rows: list[tuple]) -> None:
         stored = ", ".join(_stored_name(n, self.layout) for n in names)
         marks = ", ".join("?" * len(names))
@@ -303,11 +318,13 @@ class SqliteWriter(DataSourceArrowWriter):
         return value.isoformat() if self.layout == "desktop" else value.strftime("%Y-%m-%d %H:%M:%S")
 
     def _save(self, db: sqlite3.Connection) -> str:
-        # bytes of the finished database in one write
-        name = f"{uuid.uuid4().hex}.db"
-        with open(os.path.join(self.aside, name), "wb") as out:
-            out.write(db.serialize())
+        """Copies the finished database to the job's folder, in pieces, and removes it here."""
+        path = db.execute("PRAGMA database_list").fetchone()[2]
         db.close()
+        name = os.path.basename(path)
+        with open(path, "rb") as source, open(os.path.join(self.aside, name), "wb") as out:
+            shutil.copyfileobj(source, out, 1 << 20)
+        os.remove(path)
         return name
 
     def commit(self, messages: list[Written | None]) -> None:
