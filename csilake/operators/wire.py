@@ -147,6 +147,11 @@ def _data(field: Column, profile: str) -> Column:
     return F.when(usual, inner).otherwise(text.strip_quotes(field))
 
 
+def data_of(raw: Column, profile: str) -> Column:
+    """``data`` of a line with all its fields, as ``classify_lines`` gives it."""
+    return _data(F.get(split_fields(raw), F.lit(N_FIELDS - 1)), profile)
+
+
 def _typed(fields: Column, profile: str) -> list[Column]:
     columns = []
     for index, (name, kind) in enumerate(WIRE_FIELDS):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from csilake.operators.control import route
-from csilake.operators.wire import accepted, classify_lines, rejected
+from csilake.operators.wire import accepted, classify_lines, data_of, rejected
 from csilake.sources.landed import clean_lines
 
 
@@ -34,6 +34,7 @@ def start_ingest(
     """Accepted packets to ``table``, rejected lines with their reason and the columns ``keep`` to ``rejects``.
 
     ``tag`` adds what is known of a packet's session when its batch is stored, such as ``sessions.tag_sessions`` with a table of sessions.
+    It is given the packets without ``data``.
 
     Each batch has folders of its own and overwrites them when it is repeated, so each line is stored exactly once.
     Without ``every`` it ends with the landed files.
@@ -43,21 +44,31 @@ def start_ingest(
     def save(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        classified = classify_lines(batch, profile).persist()
+        classified = classify_lines(batch, profile).drop("payload")
+        if rejects is not None:  # else the batch is looked at once
+            classified = classified.persist()
         try:
-            packets = accepted(classified).drop("payload")
-            outputs = [(table, packets if tag is None else tag(packets), partition_by or [])]
+            packets = accepted(classified)
+            outputs = [(table, packets if tag is None else _tagged(packets, tag, profile), partition_by or [])]
             if rejects is not None:
                 outputs.append((rejects, rejected(classified, keep or []), []))
             for path, rows, layout in outputs:
                 rows.write.mode("overwrite").partitionBy(*layout).parquet(f"{path}/batch_id={batch_id}")
         finally:
-            classified.unpersist()
+            if rejects is not None:
+                classified.unpersist()
 
     writer = clean_lines(lines, decode).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return _triggered(writer, every).start()
 
 
+def _tagged(packets: DataFrame, tag: Callable[[DataFrame], DataFrame], profile: str) -> DataFrame:
+    """Tagging shuffles the packets, so ``data``, which ``raw`` holds too, is left out and read from it again afterwards."""
+    tagged = tag(packets.drop("data"))
+    added = [c for c in tagged.columns if c not in packets.columns]
+    return tagged.withColumn("data", data_of(F.col("raw"), profile)).select(*packets.columns, *added)
+
+
 def start_routing(messages: DataFrame, tables: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """One pass over mixed messages into the tables packets, rejects, discovery, start and other.
 
