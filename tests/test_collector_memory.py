@@ -13,7 +13,7 @@ from csilake.sources.collector_sqlite import SqliteWriter
 
 
 @pytest.mark.parametrize("rows_per_file", [20_000, 7_001])
-def test_a_collector_file_does_not_fill_memory(folder, rows_per_file):
+def test_a_collector_file_does_not_fill_memory(spark, folder, rows_per_file):
     schema = StructType.fromDDL("id bigint, captured_at timestamp_ntz, scenario string, data string")
     writer = SqliteWriter(schema, {"path": folder, "rows_per_file": str(rows_per_file)}, False)
     stamp = dt.datetime(2024, 5, 1)
