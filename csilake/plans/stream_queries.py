@@ -9,7 +9,7 @@ from csilake.operators import control, sessions
 from csilake.plans import inputs
 from csilake.plans.queries import PROGRESS_PERIOD, SESSION, STREAK_THRESHOLD, messages, query
 from csilake.schema import WIRE_NAMES
-from csilake.session import new_folder
+from csilake.session import new_folder, setting
 from csilake.sources import landed
 from csilake.sources.collector_sqlite import mounted
 from csilake.sources.datagrams import DatagramLog
@@ -17,6 +17,9 @@ from csilake.streaming import ingest, stateful, timed, windows
 
 
 BATCHES = 3
+#: Writes a query's logs through Hadoop's FileSystem. On mounted folders the default also looks for the file and then renames, but starts processes for that
+#: where Hadoop has no native library, which is most of what a small batch's logs cost.
+LOG_FILES = "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"
 
 
 def _parts(rows, order):
@@ -186,7 +189,8 @@ def stream_datagrams(spark, sf_dir):
         reader = spark.readStream.format("datagram_log").option("state", f"{state}/planned.json")
         rows = reader.option("bytes_per_trigger", 16 << 20).option("bytes_per_split", 1 << 20).load(path)
         # availableNow would end after one limited batch
-        running = rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).start()
+        with setting(spark, "spark.sql.streaming.checkpointFileManagerClass", LOG_FILES):
+            running = rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).start()
         try:
             running.processAllAvailable()
         finally:
