@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,10 +14,19 @@ from csilake.operators.asof import last_before
 from csilake.operators.ordered import ROWS_PER_BLOCK, SECONDS_PER_BLOCK, arrival_block, row_numbers, running_total, time_block
 from csilake.operators.repeats import collapse_repeats
 from csilake.schema import START_TAG
-from csilake.session import new_folder
+from csilake.session import OPEN_FILES, OPEN_WRITERS, new_folder, setting
 
 #: Ticks of a session's timer that are listed at once.
 TICKS_PER_ROW = 1_000
+#: Rows of a chunk of blocks, about; buckets per chunk, so that few chunks meet in one, and the most of them that Spark takes.
+ROWS_PER_CHUNK, BUCKETS_PER_CHUNK, MOST_BUCKETS = 1 << 17, 2, 100_000
+
+
+class Chunks(NamedTuple):
+    """Rows lie stored by this column, in so many buckets."""
+
+    column: str
+    buckets: int
 
 
 def read_starts(commands: DataFrame) -> DataFrame:
@@ -158,12 +170,17 @@ def bound_packets(
     )
 
 
-def tag_sessions(rows: DataFrame, sessions: DataFrame, on: list[str]) -> DataFrame:
+def tag_sessions(rows: DataFrame, sessions: DataFrame, on: list[str], chunks: Chunks | None = None) -> DataFrame:
     """Adds the session's ``session_id``, ``captured_at`` and ``scenario`` to each row.
 
-    A row whose session is not known is kept, with nulls.
+    A row whose session is not known is kept, with nulls. Rows that lie in ``chunks`` stay there: the tags of a chunk's sessions
+    are shuffled to it (under ``CO_PARTITION``, as ``append_sessions`` sets it for gathered rows).
     """
-    return rows.join(session_tags(sessions, on), on, "left")
+    tags = session_tags(sessions, on)
+    if chunks is None:
+        return rows.join(tags, on, "left")
+    held = rows.select(chunks.column, *on).distinct().join(tags, on)
+    return rows.join(held.repartition(chunks.buckets, chunks.column), [chunks.column, *on], "left")
 
 
 def session_tags(sessions: DataFrame, on: list[str]) -> DataFrame:
@@ -196,10 +213,19 @@ def assign_seq(rows: DataFrame, session: list[str], arrival: str, rows_per_block
     return row_numbers(rows, session, [arrival], arrival_block(arrival, rows_per_block), "seq")
 
 
-def _written(rows: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    path = new_folder(rows.sparkSession, name)
-    rows.write.parquet(path, compression=compression)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+def _written(rows: DataFrame, name: str, compression: str = "snappy", chunks: Chunks | None = None) -> DataFrame:
+    spark, path = rows.sparkSession, new_folder(rows.sparkSession, name)
+    writer = rows.write.option("compression", compression)
+    if chunks is None:
+        writer.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+    # Only a table of the catalog can have buckets. Its name goes at once; the files stay, as they lie below a path of their own.
+    table = f"{name}_{uuid.uuid4().hex}"
+    with setting(spark, OPEN_WRITERS, OPEN_FILES):
+        writer.bucketBy(chunks.buckets, chunks.column).option("path", path).saveAsTable(table)
+    stored = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return stored
 
 
 def number_rows(rows: DataFrame, order: list[str], out: str, first: int = 1) -> DataFrame:
@@ -221,19 +247,41 @@ def number_rows(rows: DataFrame, order: list[str], out: str, first: int = 1) ->
     return stored.join(F.broadcast(offsets), "_range").select((F.col("_offset") + F.col("_row")).alias(out), *rows.columns)
 
 
-def number_blocks(rows: DataFrame, order: list[str], out: str, first: int = 1) -> DataFrame:
+def _rows_before(counts: DataFrame, order: list[str]) -> Column:
+    return F.sum("_rows").over(Window.orderBy(*order)) - F.col("_rows")
+
+
+def _of_blocks(blocks: DataFrame, order: list[str], column: Column) -> tuple[DataFrame, list[Column]]:
+    """A column of the blocks for their rows, and what joins it to them, nulls included. Blocks are parts of files, of which Spark's
+    driver lists the files anyhow, so it goes to all tasks."""
+    known = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in order]
+    return F.broadcast(blocks.select(*(F.col(c).alias(f"_of_{c}") for c in order), column)), known
+
+
+def chunk_blocks(rows: DataFrame, order: list[str], column: str = "chunk", rows_per_chunk: int = ROWS_PER_CHUNK) -> tuple[DataFrame, Chunks]:
+    """Adds the number of the chunk that a row's block belongs to: blocks that follow each other along ``order``, small ones together.
+
+    Rows are counted per block first, for which landed text is read once more, but not parsed, moved or stored.
+    """
+    counts = _written(rows.groupBy(*order).agg(F.count("*").alias("_rows")), "counts")
+    chunk, known = _of_blocks(counts, order, F.floor(_rows_before(counts, order) / rows_per_chunk).alias(column))
+    total = counts.select(F.sum("_rows")).head()[0] or 0
+    buckets = min(BUCKETS_PER_CHUNK * (total // rows_per_chunk + 1), MOST_BUCKETS)
+    # a row of a block that was cut otherwise the second time would still be kept
+    chunked = rows.join(chunk, known, "left").select(*rows.columns, F.coalesce(F.col(column), F.lit(0).cast("bigint")).alias(column))
+    return chunked, Chunks(column, buckets)
+
+
+def number_blocks(rows: DataFrame, order: list[str], out: str, first: int = 1, chunks: Chunks | None = None) -> DataFrame:
     """Adds ``out`` as ``number_rows`` does, to rows that lie in blocks: those alike in ``order`` are read by one task, one after the other.
 
     Landed lines are such rows, with the file and the place of its part in ``order``. They are stored once, and only counts of blocks are
-    shuffled: a row's number is its place in its block plus the rows of the blocks before. Blocks are parts of files, of which Spark's
-    driver lists the files anyhow, so their offsets go to all tasks.
+    shuffled: a row's number is its place in its block plus the rows of the blocks before. With ``chunks`` they are stored by chunk.
     """
-    stored = _written(rows.withColumn("_place", F.monotonically_increasing_id()), "placed", "zstd")
+    stored = _written(rows.withColumn("_place", F.monotonically_increasing_id()), "placed", "zstd", chunks)
     counts = stored.groupBy(*order).agg(F.count("*").alias("_rows"), F.min("_place").alias("_start"))
-    before = F.sum("_rows").over(Window.orderBy(*order)) - F.col("_rows")
-    offsets = counts.select(*(F.col(c).alias(f"_of_{c}") for c in order), (before + F.lit(first) - F.col("_start")).alias("_offset"))
-    known = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in order]
-    return stored.join(F.broadcast(offsets), known).select((F.col("_offset") + F.col("_place")).alias(out), *rows.columns)
+    offsets, known = _of_blocks(counts, order, (_rows_before(counts, order) + F.lit(first) - F.col("_start")).alias("_offset"))
+    return stored.join(offsets, known).select((F.col("_offset") + F.col("_place")).alias(out), *rows.columns)
 
 
 def assign_row_id(

@@ -13,6 +13,12 @@ from pyspark.sql import SparkSession
 
 import csilake
 
+#: Setting for the files that a task writes side by side, into folders or buckets, and their number here. A task with rows for more
+#: sorts the rest of them.
+OPEN_WRITERS, OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters", 128
+#: Setting that, if false, lets rows that lie by one key of a join stay where they are.
+CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """Session for tests and the benchmark. A cluster brings its own settings."""

@@ -7,17 +7,25 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from csilake.session import CO_PARTITION, OPEN_FILES, OPEN_WRITERS, setting
+
 SESSION_DATE = "session_date"
 SENDER_BUCKET = "mac_bucket"
 SENDER_BUCKETS = 64
 
 
-def append_sessions(rows: DataFrame, path: str) -> None:
+def append_sessions(rows: DataFrame, path: str, gathered: bool = False) -> None:
     """Bag append; the table is created when absent. The commit is all or nothing per job.
 
-    Rebalancing gathers each date into full files and splits a date that is too large for one task.
+    Rebalancing gathers each date into full files and splits a date that is too large for one task. Rows that lie in chunks along the
+    date are ``gathered`` that way before, and are neither shuffled nor sorted again.
     """
-    rows.hint("rebalance", SESSION_DATE).write.mode("append").partitionBy(SESSION_DATE).parquet(path)
+    spark = rows.sparkSession
+    if gathered:
+        with setting(spark, OPEN_WRITERS, OPEN_FILES), setting(spark, CO_PARTITION, "false"):
+            rows.write.mode("append").partitionBy(SESSION_DATE).parquet(path)
+    else:
+        rows.hint("rebalance", SESSION_DATE).write.mode("append").partitionBy(SESSION_DATE).parquet(path)
 
 
 def sender_bucket(mac: Column) -> Column:
