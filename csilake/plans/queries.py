@@ -240,15 +240,17 @@ def ingest_pipeline(spark, sf_dir):
     """Landed files to numbered, parsed, tagged and stored packets and stored rejects; rows per session and reason."""
     path, table, bad = (new_folder(spark, x) for x in ("landed", "packets", "rejects"))
     landed.land_lines(inputs.csi_lines(spark, sf_dir), path, ["session_date"], "gzip", "device")
-    lines = landed.clean_lines(landed.read_lines(spark, path, "device").withColumn("device", F.col("device").cast("bigint")), "mobile")
+    lines = landed.clean_lines(landed.read_lines(spark, path, "device"), "mobile")
     blocks = ["session_date", "file", "file_block"]
     lines, chunks = sessions.chunk_blocks(lines, blocks)
     # classified before they are stored, so lines are parsed once and only rejects are stored as text
     classified = wire.classify_lines(lines, "strict").drop("payload", "bad_fields")
     classified = classified.withColumn("raw", F.when(F.col("reject_reason").isNotNull(), F.col("raw")))
     numbered = sessions.number_blocks(classified, blocks, "arrival", chunks=chunks)
-    # by device, not by the text of its mac, which devices share from the 65,536th on
-    tagged = sessions.tag_sessions(wire.accepted(numbered), inputs.session_table(spark, sf_dir), SESSION, chunks)
+    # by device as landed, not by the text of its mac, which devices share from the 65,536th on
+    device = F.coalesce(F.col("device").cast("string"), F.lit(""))
+    tags = inputs.session_table(spark, sf_dir).withColumn("device", device)
+    tagged = sessions.tag_sessions(wire.accepted(numbered), tags, SESSION, chunks)
     tables.append_sessions(tagged.drop("raw", "device", chunks.column), table, gathered=True)
     wire.rejected(numbered, ["arrival"]).write.parquet(bad)
     counts = [F.count("*").alias("n"), F.count_distinct("arrival").alias("arrivals")]

@@ -19,7 +19,8 @@ def land_lines(lines: DataFrame, path: str, partition_by: list[str] | None = Non
     """Write ``value`` as text files, e.g. a stored table rendered back to a replay log.
 
     Lines are not sorted by folder first, so they neither fill a task's memory nor go to disk twice. With ``sender``, each line
-    stands behind that column and a tab, as its receiver knows whom it came from. ``read_lines`` reads files of any ``compression``.
+    stands behind that column's text, empty for a null, and a tab, as its receiver knows whom it came from. ``read_lines`` reads files
+    of any ``compression``.
     """
     by = partition_by or []
     options = {} if compression is None else {"maxRecordsPerFile": LINES_PER_FILE, "zlib.compress.level": "BEST_SPEED"}
@@ -45,7 +46,7 @@ def read_lines(spark: SparkSession, path: str, sender: str | None = None) -> Dat
     if sender is None:
         return lines
     tab = F.instr("value", "\t")
-    return lines.withColumns({sender: F.nullif(F.substring("value", F.lit(1), tab - 1), F.lit("")), "value": F.substr("value", tab + 1)})
+    return lines.withColumns({sender: F.substring("value", F.lit(1), tab - 1), "value": F.substr("value", tab + 1)})
 
 
 def clean_lines(lines: DataFrame, profile: str, value: str = "value") -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 from check import TABLES, compare, tables_db
-from csilake.operators import sessions
+from csilake.operators import sessions, wire
+from csilake.plans import inputs
 from csilake.plans.oracle import ORACLE
 from csilake.plans.queries import QUERIES
 from csilake.session import CO_PARTITION, setting
@@ -140,17 +141,33 @@ def test_lines_come_back_with_their_senders(spark, folder):
     lines = [(1, "a\tb "), (None, "\tc"), (70000, " é,d"), (2, ""), (3, None)]
     landed.land_lines(spark.createDataFrame(lines, "device bigint, value string"), folder, sender="device")
     read = landed.read_lines(spark, folder, "device").select("device", "value").collect()
-    assert {tuple(r) for r in read} == {(None if d is None else str(d), v or "") for d, v in lines}
+    assert {tuple(r) for r in read} == {("" if d is None else str(d), v or "") for d, v in lines}
 
 
-def test_devices_of_one_mac_text_keep_their_packets_apart(spark, tmp_path):
+def tables_with(tmp_path, events):
+    """Folder of the smallest tables with other events."""
     for name in TABLES:
         if name != "events":
             os.symlink(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")
+    events.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    os.symlink(glob.glob(f"{tmp_path}/parts/*.parquet")[0], tmp_path / "events.parquet")
+    return str(tmp_path)
+
+
+def test_devices_of_one_mac_text_keep_their_packets_apart(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet")
     n = events.count()
     # the mac has two digits for these, which are 100, 101 and 10f in hex
     copies = [events.withColumns({"event_id": F.col("event_id") + k * n, "user_id": 256 * F.lit(high) + F.col("user_id") % 3}) for k, high in enumerate((256, 257, 271))]
-    functools.reduce(DataFrame.unionByName, copies).coalesce(1).write.parquet(str(tmp_path / "parts"))
-    os.symlink(glob.glob(f"{tmp_path}/parts/*.parquet")[0], tmp_path / "events.parquet")
-    assert compare(QUERIES["ingest_pipeline"](spark, str(tmp_path)), tables_db(str(tmp_path)), ORACLE["ingest_pipeline"]) is None
+    folder = tables_with(tmp_path, functools.reduce(DataFrame.unionByName, copies))
+    assert compare(QUERIES["ingest_pipeline"](spark, folder), tables_db(folder), ORACLE["ingest_pipeline"]) is None
+
+
+def test_packets_without_a_device_are_a_session_of_their_date(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    folder = tables_with(tmp_path, events.withColumn("user_id", F.when(F.col("user_id") % 2 == 0, F.col("user_id"))))
+    found = QUERIES["ingest_pipeline"](spark, folder).where("captured_at is not null")
+    assert found.where("kind is null").count() == 0
+    no_device = found.where("not contains(kind, '-')").collect()
+    accepted = wire.accepted(wire.classify_lines(inputs.csi_lines(spark, folder))).where("device is null").groupBy("session_date").count().collect()
+    assert {r.kind: r.n for r in no_device} == {r.session_date.strftime("%Y%m%d"): r["count"] for r in accepted} and accepted
